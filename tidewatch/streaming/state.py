@@ -1,0 +1,122 @@
+"""Per-device state carried across micro-batches.
+
+Arrow hands the rows of a key over in pieces and in no order. A micro-batch is bounded by the
+source's admission limits; across micro-batches the order of arrival rules.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from tidewatch.operators.analytics import HISTORY_LENGTH
+from tidewatch.operators.features import STREAM_WINDOW
+from tidewatch.schemas import SENSORS
+from tidewatch.session import use_rocksdb_state
+
+EVENT = "device_id string, event_id bigint, ts timestamp, temperature double, humidity double, vibration double"
+STATS = ("temp_mean double, temp_std double, temp_min double, temp_max double, temp_range double, "
+         "hum_mean double, hum_std double, vib_mean double, vib_std double, event_count int, trend string")
+READINGS = "temperature double, humidity double, vibration double"
+SNAPSHOT = "event_id bigint, ts timestamp, temperature double, humidity double, vibration double"
+
+
+def _windowed(values: np.ndarray, carried: int, n: int) -> dict[str, np.ndarray]:
+    """Mean, deviation and extremes over the last ``n`` values, for the rows after the carried."""
+    padded = np.concatenate([np.full(n - 1, np.nan), values])
+    view = np.lib.stride_tricks.sliding_window_view(padded, n)[carried:]
+    return {"mean": np.nanmean(view, axis=1), "std": np.nanstd(view, axis=1),
+            "min": np.nanmin(view, axis=1), "max": np.nanmax(view, axis=1)}
+
+
+class RollingStats(StatefulProcessor):
+    """The last ``n`` readings of a device as list state; one output row per event."""
+
+    def __init__(self, n: int = STREAM_WINDOW) -> None:
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.window = handle.getListState("window", READINGS)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
+        fresh = batch[list(SENSORS)].to_numpy(dtype=float)
+        fresh = np.where(np.isnan(fresh), 0.0, fresh)
+        carried = np.array([tuple(r) for r in self.window.get()], dtype=float).reshape(-1, len(SENSORS))
+        readings = np.concatenate([carried, fresh])
+        k = len(carried)
+        temp, hum, vib = (_windowed(readings[:, i], k, self.n) for i in range(len(SENSORS)))
+        step = np.diff(readings[:, 0], prepend=readings[0, 0])[k:]
+        out = pd.DataFrame({
+            "device_id": key[0], "event_id": batch["event_id"], "ts": batch["ts"],
+            "temperature": fresh[:, 0], "humidity": fresh[:, 1], "vibration": fresh[:, 2],
+            "temp_mean": temp["mean"], "temp_std": temp["std"], "temp_min": temp["min"],
+            "temp_max": temp["max"], "temp_range": temp["max"] - temp["min"],
+            "hum_mean": hum["mean"], "hum_std": hum["std"], "vib_mean": vib["mean"], "vib_std": vib["std"],
+            "event_count": np.minimum(np.arange(k + 1, len(readings) + 1), self.n).astype("int32"),
+            "trend": np.select([step > 0, step < 0], ["increasing", "decreasing"], "stable"),
+        })
+        self.window.put([tuple(map(float, r)) for r in readings[-self.n:]])
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+class HistoryRing(StatefulProcessor):
+    """The newest ``n`` snapshots of a device; emits the ring after every micro-batch it grew in.
+
+    Pieces are folded one at a time, so a busy device never holds more than a piece and the ring.
+    """
+
+    def __init__(self, n: int = HISTORY_LENGTH) -> None:
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getListState("ring", SNAPSHOT)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        columns = ["event_id", "ts", *SENSORS]
+        held = [tuple(r) for r in self.ring.get()]
+        old = pd.DataFrame(held, columns=columns) if held else None
+        newest = None
+        for piece in rows:
+            parts = [p for p in (newest, piece[columns]) if p is not None]
+            newest = pd.concat(parts).nlargest(self.n, ["ts", "event_id"], keep="first")
+        ring = newest.fillna({s: 0.0 for s in SENSORS})
+        if old is not None and len(ring) < self.n:
+            # earlier micro-batches arrived earlier, whatever their event time
+            old = old.sort_index().head(self.n - len(ring))
+            old["ts"] = pd.to_datetime(old["ts"])
+            ring = pd.concat([ring.assign(ts=pd.to_datetime(ring["ts"])), old])
+        self.ring.put([(int(r.event_id), pd.Timestamp(r.ts).to_pydatetime(), float(r.temperature),
+                        float(r.humidity), float(r.vibration)) for r in ring.itertuples(index=False)])
+        out = ring.reset_index(drop=True)
+        out.insert(0, "device_id", key[0])
+        out["position"] = np.arange(1, len(out) + 1, dtype="int32")
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def rolling_features_stream(events: DataFrame, n: int = STREAM_WINDOW) -> DataFrame:
+    """The rolling features of ``events`` (columns of EVENT), windows carried across micro-batches."""
+    use_rocksdb_state(events.sparkSession)
+    return (events.select("device_id", "event_id", "ts", *SENSORS).groupBy("device_id")
+            .transformWithStateInPandas(RollingStats(n), outputStructType=f"{EVENT}, {STATS}",
+                                        outputMode="Append", timeMode="None"))
+
+
+def history_stream(events: DataFrame, n: int = HISTORY_LENGTH) -> DataFrame:
+    """The newest ``n`` snapshots of every device that reported, again after each micro-batch."""
+    use_rocksdb_state(events.sparkSession)
+    filled = events.select("device_id", "event_id", "ts", *[F.coalesce(s, F.lit(0.0)).alias(s) for s in SENSORS])
+    return (filled.groupBy("device_id")
+            .transformWithStateInPandas(HistoryRing(n), outputStructType=f"device_id string, {SNAPSHOT}, position int",
+                                        outputMode="Append", timeMode="None"))
