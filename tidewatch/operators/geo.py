@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tidewatch.functions.geometry import bounds, edges, inside, parse_polygon, polygon_valid
 from tidewatch.functions.readings import has_gps, heat_intensity, marker_class
 from tidewatch.operators.lookup import lookup_join
+from tidewatch.operators.sizing import estimated_bytes
 
 _SMALLEST_LEVEL = -30  # cells of 2^-30 degrees for areas without extent
+_CELLS_PER_AREA, _ROW_BYTES, _EDGE_BYTES = 4, 256, 64  # size of the cell table, for the broadcast check
 
 
 def members(area_devices: DataFrame, devices: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def areas_with_devices(areas: DataFrame, area_devices: DataFrame, devices: DataF
     counts = pairs.groupBy("area_id").agg(F.count(F.lit(1)).alias("device_count"))
     sized = areas.select(F.col("id").alias("area_id"), "name").join(counts, "area_id", "left")
     named = sized.withColumn("device_count", F.coalesce("device_count", F.lit(0)))
-    with_members = lookup_join(pairs, named, "area_id", "inner")
+    with_members = lookup_join(pairs, named, "area_id", "inner", table_bytes=estimated_bytes(areas))
     without = named.where(F.col("device_count") == 0).withColumn("device_id", F.lit(None).cast("string"))
     return with_members.unionByName(without)
 
@@ -96,13 +98,15 @@ def spatial_join(devices: DataFrame, areas: DataFrame) -> DataFrame:
                                              F.col("_j").alias("j")))
                .select("_cell", "area_id", "area_name", "created_at", "_edges", "_b"))
     levels = shapes.agg(F.collect_set("_level").alias("l")).scalar()
+    shape_count, edge_count = shapes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_edges")), F.lit(0))).first()
+    covered_bytes = _CELLS_PER_AREA * (shape_count * _ROW_BYTES + edge_count * _EDGE_BYTES)
     points = (devices.where(has_gps(F.col("latitude"), F.col("longitude")))
               .select("device_id", "latitude", "longitude", F.explode(levels).alias("_level"))
               .withColumn("_cell", _cell(F.col("_level"), F.col("latitude"), F.col("longitude")))
               .drop("_level"))
     in_box = (F.col("latitude").between(F.col("_b.lat0"), F.col("_b.lat1"))
               & F.col("longitude").between(F.col("_b.lng0"), F.col("_b.lng1")))
-    return (lookup_join(points, covered, "_cell", "inner")
+    return (lookup_join(points, covered, "_cell", "inner", table_bytes=covered_bytes)
             .where(in_box & inside(F.col("latitude"), F.col("longitude"), F.col("_edges")))
             .select("area_id", "area_name", "created_at", "device_id", "latitude", "longitude"))
 
@@ -120,7 +124,8 @@ def geo_area_members(areas: DataFrame, located: DataFrame) -> DataFrame:
     counts = located.groupBy("area_id").agg(F.count(F.lit(1)).alias("device_count"))
     named = (areas.select(F.col("id").alias("area_id"), "name").join(counts, "area_id", "left")
              .withColumn("device_count", F.coalesce("device_count", F.lit(0))))
-    with_members = lookup_join(located.select("area_id", "device_id"), named, "area_id", "inner")
+    with_members = lookup_join(located.select("area_id", "device_id"), named, "area_id", "inner",
+                               table_bytes=estimated_bytes(areas))
     without = named.where(F.col("device_count") == 0).withColumn("device_id", F.lit(None).cast("string"))
     return with_members.unionByName(without)
 
@@ -128,7 +133,7 @@ def geo_area_members(areas: DataFrame, located: DataFrame) -> DataFrame:
 def areas_at_risk(areas: DataFrame, pairs: DataFrame, marked: DataFrame) -> DataFrame:
     """All areas with a flag: at least one member device (``pairs``) is anomalous."""
     bad = marked.where("is_anomaly").select("device_id").distinct()
-    hit = lookup_join(pairs.select("area_id", "device_id"), bad, "device_id", "left_semi")
+    hit = pairs.select("area_id", "device_id").join(bad, "device_id", "left_semi")
     hit = hit.groupBy("area_id").agg(F.lit(True).alias("_hit"))
     return (areas.select(F.col("id").alias("area_id"), "name").join(hit, "area_id", "left")
             .select("area_id", "name", F.coalesce("_hit", F.lit(False)).alias("high_risk")))
@@ -147,7 +152,7 @@ def filter_map(marked: DataFrame, pairs: DataFrame | None = None, area_id: int |
     """Devices in one area and/or only ``anomaly`` or ``normal`` ones."""
     if area_id is not None:
         chosen = pairs.where(F.col("area_id") == area_id).select("device_id").distinct()
-        marked = lookup_join(marked, chosen, "device_id", "left_semi")
+        marked = marked.join(chosen, "device_id", "left_semi")
     if severity in ("anomaly", "normal"):
         marked = marked.where(F.col("is_anomaly") == (severity == "anomaly"))
     return marked

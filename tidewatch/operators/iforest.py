@@ -67,6 +67,8 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple[int
             continue
         f = int(rng.choice(varying))
         cut = float(rng.uniform(low[f], high[f]))
+        if cut >= high[f]:  # rounding in a very narrow range; both sides must get rows
+            cut = float(low[f])
         left = sub[:, f] <= cut
         out.append((node, f, cut, len(rows)))
         todo += [(2 * node, depth + 1, rows[left]), (2 * node + 1, depth + 1, rows[~left])]

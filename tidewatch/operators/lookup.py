@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.sizing import BROADCAST_BYTES, fits_broadcast, group_limit, hot_keys
+from tidewatch.operators.sizing import BROADCAST_BYTES, estimated_bytes, group_limit, hot_keys
+from tidewatch.session import stored
 
 
 def lookup_join(facts: DataFrame, table: DataFrame, on: str, how: str = "inner",
-                group_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                group_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES,
+                table_bytes: int | None = None) -> DataFrame:
     """Join ``facts`` to a ``table`` on one column (inner, left, left_semi or left_anti).
 
     A table within the broadcast limit is broadcast. Beyond it the join shuffles, and facts of hot
     keys are kept out of the single task their key would hash to: where a hot key has one table
     row, those rows are few enough to broadcast; otherwise facts are salted and the table rows of
     hot keys are copied once per salt.
+
+    ``table_bytes`` is the size of ``table`` where the caller knows it better than Catalyst, which
+    multiplies the sides of a join and does not see rows added by an explode.
     """
-    if fits_broadcast(table, broadcast_bytes):
+    size = estimated_bytes(table) if table_bytes is None else table_bytes
+    if size <= broadcast_bytes:
         return facts.join(F.broadcast(table), on, how)
     limit = group_limit(facts.select(on), group_rows)
     if limit is None:
@@ -26,7 +32,7 @@ def lookup_join(facts: DataFrame, table: DataFrame, on: str, how: str = "inner",
     keyless = facts.where(F.col(on).isNull()).join(table.where(F.lit(False)), on, how)
     facts = facts.where(F.col(on).isNotNull())
     salts = F.ceil(F.col("_rows") / limit).cast("int").alias("_salts")
-    hot = hot_keys(facts, [on], limit).select(on, salts)
+    hot = stored(hot_keys(facts, [on], limit).select(on, salts), "hot-keys")
     if hot.isEmpty():
         return facts.join(table, on, how).unionByName(keyless)
     hot = F.broadcast(hot)

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.operators.sizing import group_limit, hot_keys
+from tidewatch.session import stored
 
 _POINTS_PER_SLICE = 32  # sampled order values per slice; only balance depends on it
 _SEARCH_STEPS = [2 ** i for i in range(20, -1, -1)]  # binary search over up to 2^21 cut points
@@ -86,12 +87,12 @@ def ordered_window(df: DataFrame, key: str, order: list[str], lookback: int, col
     overrides the size above which a key is split.
     """
     limit = group_limit(df.select(key, *order), group_rows)
-    hot = hot_keys(df, [key], limit) if limit is not None else None
+    hot = stored(hot_keys(df, [key], limit), "hot-keys") if limit is not None else None
     if hot is None or hot.isEmpty():
         return df.withColumns(columns(W.partitionBy(key).orderBy(*_sorted(order))))
     names = df.columns
     quoted = [f"`{c}`" for c in names]
-    cuts = _cut_points(df, key, order, hot, limit)
+    cuts = stored(_cut_points(df, key, order, hot, limit), "cuts")
     placed = (df.join(F.broadcast(cuts), key, "left").withColumn("_position", _position(order))
               .withColumn("_slice", _slice_number()))
     carried = _carried_rows(placed.where(F.col("_cuts").isNotNull()).select(*quoted, "_slice"),

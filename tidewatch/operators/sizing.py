@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A build side up to this size is broadcast.
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 32 * 1024 * 1024
 # When the whole input is smaller than this, so is every key group in it.
 ONE_TASK_BYTES = 256 * 1024 * 1024
 # A group up to this many rows is left to one task.
@@ -20,10 +20,6 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    return estimated_bytes(df) <= limit
-
-
 def group_limit(df: DataFrame, group_rows: int | None = None) -> int | None:
     """Rows above which a key group must be split, or None when the input is too small to matter.
 
@@ -39,10 +35,3 @@ def group_limit(df: DataFrame, group_rows: int | None = None) -> int | None:
 def hot_keys(df: DataFrame, key: list[str], limit: int) -> DataFrame:
     """Keys with more than ``limit`` rows; counted with map-side combine."""
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out

@@ -18,7 +18,7 @@ def device_counters(d: Domain) -> DataFrame:
     return analytics.device_stats(d.redelivered)
 
 
-@query("""SELECT device_id, event_count, round(event_count * 100.0::double / (SELECT sum(event_count) FROM stats), 6) AS share_pct
+@query("""SELECT device_id, event_count, round(event_count * 100.0::double / (SELECT sum(event_count) FROM stats), 8) AS share_pct
 FROM stats""")
 def device_share(d: Domain) -> DataFrame:
     return rounded(analytics.device_share(d.stats))

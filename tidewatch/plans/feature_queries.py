@@ -11,7 +11,7 @@ from tidewatch.plans.views import Domain
 from tidewatch.schemas import SENSORS
 
 _STATS = ["temp_mean", "temp_std", "temp_min", "temp_max", "temp_range", "hum_mean", "hum_std", "vib_mean", "vib_std"]
-_ROUNDED_STATS = ", ".join(f"round({c}, 6) AS {c}" for c in _STATS)
+_ROUNDED_STATS = ", ".join(f"round({c}, 8) AS {c}" for c in _STATS)
 
 
 @query(f"SELECT device_id, event_id, {_ROUNDED_STATS}, event_count FROM featured")
@@ -31,11 +31,11 @@ _CLIPPED = "(SELECT * REPLACE (least(greatest(temperature, -50.0), 150.0) AS tem
 def _ml_sql(*parts: str) -> str:
     """SQL for some of the engineered columns of every sensor."""
     forms = {
-        "mean": "round(avg({s}) {w}, 6) AS feat_{s}_rolling_mean_5",
-        "std": "round(coalesce(stddev_samp({s}) {w}, 0.0), 6) AS feat_{s}_rolling_std_5",
-        "min": "round(min({s}) {w}, 6) AS feat_{s}_rolling_min_5",
-        "max": "round(max({s}) {w}, 6) AS feat_{s}_rolling_max_5",
-        "delta": "round(coalesce({s} - lag({s}) OVER (PARTITION BY device_id ORDER BY ts, event_id), 0.0), 6) AS feat_{s}_delta",
+        "mean": "round(avg({s}) {w}, 8) AS feat_{s}_rolling_mean_5",
+        "std": "round(coalesce(stddev_samp({s}) {w}, 0.0), 8) AS feat_{s}_rolling_std_5",
+        "min": "round(min({s}) {w}, 8) AS feat_{s}_rolling_min_5",
+        "max": "round(max({s}) {w}, 8) AS feat_{s}_rolling_max_5",
+        "delta": "round(coalesce({s} - lag({s}) OVER (PARTITION BY device_id ORDER BY ts, event_id), 0.0), 8) AS feat_{s}_delta",
     }
     items = ", ".join(forms[p].format(s=s, w=_W) for s in SENSORS for p in parts)
     return f'SELECT device_id AS "deviceId", event_id AS "eventId", {items} FROM {_CLIPPED}'

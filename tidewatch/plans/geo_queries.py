@@ -63,7 +63,7 @@ def geo_area_members(d: Domain) -> DataFrame:
     return geo.geo_area_members(d.areas, d.located)
 
 
-@query("""SELECT device_id, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude,
+@query("""SELECT device_id, round(latitude, 8) AS latitude, round(longitude, 8) AS longitude,
   CASE WHEN is_anomaly THEN greatest(0.6, anomaly_score) ELSE 0.15 END AS intensity
 FROM marked WHERE latitude IS NOT NULL AND longitude IS NOT NULL""")
 def heat_intensity(d: Domain) -> DataFrame:
@@ -102,8 +102,8 @@ def device_conflicts(d: Domain) -> DataFrame:
 @query(f"""SELECT coalesce(b.device_id, c.device_id) AS device_id,
   CASE WHEN c.created THEN c.type ELSE b.type END AS type, CASE WHEN c.created THEN 'ACTIVE' ELSE b.status END AS status,
   CASE WHEN c.flagged THEN c.simulated ELSE b.simulated END AS simulated,
-  round(CASE WHEN c.moved THEN c.latitude ELSE b.latitude END, 6) AS latitude,
-  round(CASE WHEN c.moved THEN c.longitude ELSE b.longitude END, 6) AS longitude
+  round(CASE WHEN c.moved THEN c.latitude ELSE b.latitude END, 8) AS latitude,
+  round(CASE WHEN c.moved THEN c.longitude ELSE b.longitude END, 8) AS longitude
 FROM devices b FULL JOIN (
   SELECT device_id, bool_or(op = 'create') AS created, bool_or(op IN ('create', 'simulate')) AS flagged,
     bool_or(op IN ('create', 'locate')) AS moved,

@@ -47,7 +47,7 @@ def ingest_envelope(d: Domain) -> DataFrame:
 
 _ENRICHED_SQL = """SELECT device_id AS "deviceId", CAST(event_id AS varchar) AS "eventId",
   temperature AS "enrichedData_temperature", humidity AS "enrichedData_humidity",
-  round(temp_mean, 6) AS "sparkFeatures_temp_mean", round(vib_std, 6) AS "sparkFeatures_vib_std",
+  round(temp_mean, 8) AS "sparkFeatures_temp_mean", round(vib_std, 8) AS "sparkFeatures_vib_std",
   event_count AS "sparkFeatures_event_count", trend AS "sparkFeatures_trend" FROM featured"""
 
 

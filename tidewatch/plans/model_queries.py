@@ -86,6 +86,6 @@ def train_metrics(d: Domain) -> DataFrame:
     return stored_model(d).metrics
 
 
-@query("SELECT round(quantile_cont(temperature, 0.05), 6) AS threshold FROM readings")
+@query("SELECT round(quantile_cont(temperature, 0.05), 8) AS threshold FROM readings")
 def percentile_threshold(d: Domain) -> DataFrame:
-    return percentile.threshold(d.readings, "temperature").select(F.round("threshold", 6).alias("threshold"))
+    return percentile.threshold(d.readings, "temperature").select(F.round("threshold", 8).alias("threshold"))

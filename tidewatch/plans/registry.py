@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.plans.views import Domain, sql
+from tidewatch.session import tune
 
-DIGITS = 6
+DIGITS = 8  # enough that no mean of up to 20 readings lies halfway between two roundings
 
 
 @dataclass(frozen=True)
@@ -20,6 +21,7 @@ class Query:
     oracle: str | None
 
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
+        tune(spark)
         return self.build(Domain(spark, folder))
 
 

@@ -52,7 +52,7 @@ def kafka_source(d: Domain) -> DataFrame:
     return _naive(out)
 
 
-@query("""SELECT device_id AS "deviceId", CAST(event_id AS varchar) AS "eventId", temperature, round(temp_mean, 6) AS temp_mean, trend
+@query("""SELECT device_id AS "deviceId", CAST(event_id AS varchar) AS "eventId", temperature, round(temp_mean, 8) AS temp_mean, trend
 FROM featured""")
 def kafka_sink_enriched(d: Domain) -> DataFrame:
     records = to_json_value(enriched_records(state.rolling_features_stream(_stream(d))))
@@ -63,7 +63,7 @@ def kafka_sink_enriched(d: Domain) -> DataFrame:
               "sparkFeatures struct<temp_mean: double, trend: string>")
     parsed = d.spark.read.schema("value string").parquet(path).select(F.from_json("value", schema).alias("r"))
     return parsed.select("r.deviceId", "r.eventId", "r.enrichedData.temperature",
-                         F.round("r.sparkFeatures.temp_mean", 6).alias("temp_mean"), "r.sparkFeatures.trend")
+                         F.round("r.sparkFeatures.temp_mean", 8).alias("temp_mean"), "r.sparkFeatures.trend")
 
 
 @query(f"SELECT device_id, event_id, {_ROUNDED_STATS}, event_count, trend FROM featured")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,6 +29,13 @@ def build_session(app_name: str = "tidewatch", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> None:
+    """Runtime settings the plans count on, for a session that somebody else built."""
+    for key in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
+                "spark.sql.adaptive.forceOptimizeSkewedJoin"):
+        spark.conf.set(key, DEFAULTS[key])
+
+
 def use_rocksdb_state(spark: SparkSession) -> None:
     """Stateful operators need the RocksDB provider; it is a runtime setting."""
     key = "spark.sql.streaming.stateStore.providerClass"
@@ -47,3 +54,11 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="tidewatch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a small intermediate table to the shared folder and read it back, so that it is
+    computed once and survives lost executors."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

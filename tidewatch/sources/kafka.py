@@ -22,8 +22,9 @@ class SourceConfig:
     starting_offsets: str = "latest"
     path: str = ""
     schema: str = ""
+    # A stateful operator holds one key's share of a micro-batch in a task: these bound it.
     per_trigger: int = 1_000_000  # records of a Kafka trigger
-    files_per_trigger: int = 1000
+    files_per_trigger: int = 64
     options: dict[str, str] = field(default_factory=dict)
 
     def reader_options(self) -> dict[str, str]:
