@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidewatch.functions.geometry import bounds, edges, inside, parse_polygon, polygon_valid
 from tidewatch.functions.readings import has_gps, heat_intensity, marker_class
 from tidewatch.operators.lookup import lookup_join
-from tidewatch.operators.sizing import estimated_bytes
+from tidewatch.operators.sizing import estimated_bytes, spread
+from tidewatch.session import stored
 
 _SMALLEST_LEVEL = -30  # cells of 2^-30 degrees for areas without extent
 _CELLS_PER_AREA, _ROW_BYTES, _EDGE_BYTES = 4, 256, 64  # size of the cell table, for the broadcast check
@@ -100,7 +101,7 @@ def spatial_join(devices: DataFrame, areas: DataFrame) -> DataFrame:
     levels = shapes.agg(F.collect_set("_level").alias("l")).scalar()
     shape_count, edge_count = shapes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_edges")), F.lit(0))).first()
     covered_bytes = _CELLS_PER_AREA * (shape_count * _ROW_BYTES + edge_count * _EDGE_BYTES)
-    points = (devices.where(has_gps(F.col("latitude"), F.col("longitude")))
+    points = (spread(devices.where(has_gps(F.col("latitude"), F.col("longitude"))), "device_id")
               .select("device_id", "latitude", "longitude", F.explode(levels).alias("_level"))
               .withColumn("_cell", _cell(F.col("_level"), F.col("latitude"), F.col("longitude")))
               .drop("_level"))
@@ -120,12 +121,15 @@ def valid_areas(areas: DataFrame) -> DataFrame:
 
 
 def geo_area_members(areas: DataFrame, located: DataFrame) -> DataFrame:
-    """As ``areas_with_devices``, membership being the polygon (``located`` from ``spatial_join``)."""
+    """As ``areas_with_devices``, membership being the polygon (``located`` from ``spatial_join``).
+
+    The pairs are counted and listed; storing them spares a second spatial join.
+    """
+    located = stored(located.select("area_id", "device_id"), "located")
     counts = located.groupBy("area_id").agg(F.count(F.lit(1)).alias("device_count"))
     named = (areas.select(F.col("id").alias("area_id"), "name").join(counts, "area_id", "left")
              .withColumn("device_count", F.coalesce("device_count", F.lit(0))))
-    with_members = lookup_join(located.select("area_id", "device_id"), named, "area_id", "inner",
-                               table_bytes=estimated_bytes(areas))
+    with_members = lookup_join(located, named, "area_id", "inner", table_bytes=estimated_bytes(areas))
     without = named.where(F.col("device_count") == 0).withColumn("device_id", F.lit(None).cast("string"))
     return with_members.unionByName(without)
 

@@ -7,6 +7,7 @@ of i are 2i and 2i+1. A leaf has feature -1.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -37,19 +38,26 @@ def tree_samples(features: DataFrame, id_col: str, n: int, trees: int = TREES,
                  tree_rows: int = TREE_ROWS, seed: int = SEED) -> DataFrame:
     """``min(tree_rows, n)`` rows for every tree, chosen by hashes of the row id.
 
-    A first hash keeps the few rows that any tree may want, so that only those are multiplied by
-    the number of trees. The choice does not depend on partitioning or on retried tasks.
+    A row gets a few tickets, each drawn with the same chance and naming one tree, so that the work
+    per row does not grow with the number of trees. More rows are drawn per tree than needed, then
+    cut exactly. The choice does not depend on partitioning or on retried tasks.
     """
-    per_tree = min(1.0, _OVERSAMPLE * tree_rows / n)
-    any_tree = min(1.0, per_tree * trees)
-
-    def draw(share: float, *parts: Column) -> Column:
-        return F.pmod(F.xxhash64(*parts), F.lit(_HASH_RANGE)) < int(share * _HASH_RANGE)
-
-    picked = features.where(draw(any_tree, F.col(id_col), F.lit(seed))) if any_tree < 1 else features
-    wanted = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                      lambda t: draw(per_tree / any_tree, F.col(id_col), t, F.lit(seed + 1)))
-    copies = picked.withColumn("tree", F.explode(wanted))
+    row_id = F.col(id_col)
+    share = _OVERSAMPLE * tree_rows / n
+    if share >= 1:
+        copies = features.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    else:
+        tickets = max(1, ceil(share * trees))
+        chance = int(share * trees / tickets * _HASH_RANGE)
+
+        def drawn(ticket: Column) -> Column:
+            return F.pmod(F.xxhash64(row_id, ticket, F.lit(seed)), F.lit(_HASH_RANGE)) < chance
+
+        named = F.transform(F.filter(F.sequence(F.lit(0), F.lit(tickets - 1)), drawn),
+                            lambda t: F.pmod(F.xxhash64(row_id, t, F.lit(seed + 1)), F.lit(trees)).cast("int"))
+        # with one ticket most rows of a large table go with a plain filter
+        picked = features.where(drawn(F.lit(0))) if tickets == 1 else features
+        copies = picked.withColumn("tree", F.explode(F.array_distinct(named)))
     cut = W.partitionBy("tree").orderBy(F.xxhash64(id_col, "tree", F.lit(seed + 2)), id_col)
     return (copies.withColumn("_n", F.row_number().over(cut)).where(F.col("_n") <= tree_rows).drop("_n"))
 
@@ -103,48 +111,51 @@ class Forest:
 
     feature: np.ndarray
     threshold: np.ndarray
-    depth_at: np.ndarray
+    children: np.ndarray  # of node i at 2i and 2i+1; a leaf is its own child
+    path: np.ndarray  # depth of a leaf plus the mean path its rows would still take
     levels: int
     norm: float
 
     @staticmethod
     def collect(nodes: DataFrame) -> Forest:
         table = nodes.toPandas()  # at most trees * (2 * tree_rows - 1) rows
-        trees, width = int(table["tree"].max()) + 1, int(table["node"].max()) + 1
-        feature = np.full((trees, width), -1, dtype=np.int16)
-        threshold = np.zeros((trees, width))
-        depth_at = np.zeros((trees, width), dtype=np.float32)
-        t, node = table["tree"].to_numpy(), table["node"].to_numpy()
-        depth = np.floor(np.log2(node))
-        feature[t, node] = table["feature"]
-        threshold[t, node] = table["threshold"]
-        depth_at[t, node] = depth + average_path(table["rows"].to_numpy())
-        present = np.unique(t)
-        rows = int(table.loc[table["node"] == 1, "rows"].max())
-        return Forest(feature[present], threshold[present], depth_at[present],
-                      int(depth.max()), float(average_path(rows)))
+        number, row_count = table["node"].to_numpy(), table["rows"].to_numpy()
+        tree = np.unique(table["tree"], return_inverse=True)[1]
+        shape = (int(tree.max()) + 1, int(number.max()) + 1)
+        inner = table["feature"].to_numpy() >= 0
+        depth = np.floor(np.log2(number))
+        feature = np.zeros(shape, dtype=np.intp)
+        threshold = np.full(shape, np.inf)
+        children = np.tile(np.repeat(np.arange(shape[1]), 2), (shape[0], 1))
+        path = np.zeros(shape)
+        feature[tree[inner], number[inner]] = table["feature"].to_numpy()[inner]
+        threshold[tree[inner], number[inner]] = table["threshold"].to_numpy()[inner]
+        for side in (0, 1):
+            children[tree[inner], 2 * number[inner] + side] = 2 * number[inner] + side
+        path[tree, number] = depth + average_path(row_count)
+        return Forest(feature, threshold, children, path, int(depth.max()),
+                      float(average_path(row_count[number == 1].max())))
 
     def decision(self, x: np.ndarray) -> np.ndarray:
         """0.5 minus the anomaly score; lower is more anomalous."""
         if self.norm == 0:
             return np.zeros(len(x))
-        tree = np.arange(len(self.feature))[None, :]
-        row = np.arange(len(x))[:, None]
-        node = np.ones((len(x), len(self.feature)), dtype=np.int32)
-        for _ in range(self.levels):
-            f = self.feature[tree, node]
-            step = 2 * node + (x[row, np.maximum(f, 0)] > self.threshold[tree, node])
-            node = np.where(f >= 0, step, node)
-        return 0.5 - np.power(2.0, -self.depth_at[tree, node].mean(axis=1, dtype=float) / self.norm)
+        values, start = x.ravel(), np.arange(len(x)) * x.shape[1]
+        total = np.zeros(len(x))
+        for feature, threshold, children, path in zip(self.feature, self.threshold, self.children, self.path):
+            node = np.ones(len(x), dtype=np.intp)
+            for _ in range(self.levels):
+                right = values.take(start + feature.take(node)) > threshold.take(node)
+                node = children.take(2 * node + right)
+            total += path.take(node)
+        return 0.5 - np.power(2.0, -total / len(self.feature) / self.norm)
 
 
 def decision_column(forest: Forest, inputs: list[Column]) -> Column:
     """The decision value as one vectorised expression over Arrow batches."""
     @F.pandas_udf("double")
     def decide(*series: pd.Series) -> pd.Series:
-        x = np.column_stack([s.to_numpy(dtype=float) for s in series])
-        parts = [forest.decision(part) for part in np.array_split(x, max(1, len(x) // 4096))]
-        return pd.Series(np.concatenate(parts))
+        return pd.Series(forest.decision(np.column_stack([s.to_numpy(dtype=float) for s in series])))
     return decide(*inputs)
 
 

@@ -11,6 +11,9 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 ONE_TASK_BYTES = 256 * 1024 * 1024
 # A group up to this many rows is left to one task.
 GROUP_ROWS = 5_000_000
+# Inputs below this come in few splits; one task per so many bytes is worth its start.
+SPREAD_BELOW_BYTES = 64 * 1024 * 1024
+SPREAD_TASK_BYTES = 32 * 1024
 # Upper bound on the number of hot keys, and so on every table keyed by them.
 MAX_HOT_KEYS = 65_536
 
@@ -32,6 +35,15 @@ def group_limit(df: DataFrame, group_rows: int | None = None) -> int | None:
     return max(GROUP_ROWS, df.count() // MAX_HOT_KEYS)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give expensive work per row all cores when the input is so small that it is one split."""
+    size = estimated_bytes(df)
+    if size > SPREAD_BELOW_BYTES:
+        return df
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, 1 + size // SPREAD_TASK_BYTES)
+    return df.repartition(tasks, key)
+
+
 def hot_keys(df: DataFrame, key: list[str], limit: int) -> DataFrame:
     """Keys with more than ``limit`` rows; counted with map-side combine."""
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)

@@ -30,11 +30,13 @@ def train(spark: SparkSession, prepared: DataFrame, id_col: str, folder: str,
     The threshold is the exact 5th percentile of the training scores.
     """
     columns = features_only(prepared).columns
+    prepared = prepared.persist()  # read by the sampling and by the scoring of all rows
     iforest.fit(prepared, id_col, columns, trees=trees, seed=seed).write.parquet(f"{folder}/nodes")
     nodes = spark.read.parquet(f"{folder}/nodes")
     scored = (iforest.score(prepared, nodes, columns, 0.0, rounded=False)
               .select(F.col("if_score").alias("score")))
     scored.write.parquet(f"{folder}/training_scores")
+    prepared.unpersist()
     scored = spark.read.parquet(f"{folder}/training_scores")
     threshold = exact_percentile(scored, "score", iforest.THRESHOLD_PERCENTILE)
     return Model(nodes, columns, threshold, train_metrics(scored, threshold, len(columns)))

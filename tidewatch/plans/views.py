@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewatch.operators import scoring
 from tidewatch.operators.alerts import raise_alerts
@@ -277,6 +279,12 @@ def sql(query: str) -> str:
     return f"WITH {ctes}\n{query.strip()}" if ctes else query.strip()
 
 
+@lru_cache(maxsize=256)
+def _schema(spark: SparkSession, application: str, path: str) -> StructType:
+    """Schema of a table; reading footers is a job, done once per application and table."""
+    return spark.read.parquet(path).schema
+
+
 @dataclass(frozen=True)
 class Domain:
     """The views as DataFrames over the tables of one folder."""
@@ -285,7 +293,8 @@ class Domain:
     folder: str
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        return self.spark.read.schema(_schema(self.spark, self.spark.sparkContext.applicationId, path)).parquet(path)
 
     def base(self, name: str) -> DataFrame:
         table, columns, condition = BASE[name]

@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join partition even where that costs one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # windows are bound by CPU: keep small shuffles on several cores
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -20,10 +22,19 @@ DEFAULTS = {
 }
 
 
-def build_session(app_name: str = "tidewatch", master: str | None = None, **conf: str) -> SparkSession:
+SHUFFLE_BYTES_PER_TASK = 128 * 1024 * 1024
+
+
+def build_session(app_name: str = "tidewatch", master: str | None = None,
+                  input_bytes: int | None = None, **conf: str) -> SparkSession:
+    """A session with the defaults; ``input_bytes`` sizes the shuffles for the data to be read,
+    as AQE merges shuffle partitions but does not add any."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if input_bytes is not None:
+        tasks = max(200, input_bytes // SHUFFLE_BYTES_PER_TASK)
+        builder = builder.config("spark.sql.shuffle.partitions", str(tasks))
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
