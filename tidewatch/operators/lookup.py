@@ -25,7 +25,8 @@ def lookup_join(facts: DataFrame, table: DataFrame, on: str, how: str = "inner",
     size = estimated_bytes(table) if table_bytes is None else table_bytes
     if size <= broadcast_bytes:
         return facts.join(F.broadcast(table), on, how)
-    limit = group_limit(facts.select(on), group_rows)
+    # a stream cannot be counted; its jobs look up inside a micro-batch where skew matters
+    limit = None if facts.isStreaming else group_limit(facts.select(on), group_rows)
     if limit is None:
         return facts.join(table, on, how)
     # facts without a key match nothing, and would share one task

@@ -57,10 +57,10 @@ def enriched_records(featured: DataFrame) -> DataFrame:
 
 def export_csv(rows: DataFrame, path: str) -> None:
     """CSV files with headers; a field with a comma, quote or line break is quoted, quotes doubled."""
-    rows.write.mode("append").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    rows.write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     schema = ", ".join(f"`{c}` string" for c in columns)
     return (spark.read.schema(schema).option("header", True).option("escape", '"')
-            .option("multiLine", True).option("emptyValue", "").csv(path))
+            .option("multiLine", True).option("nullValue", "\\N").csv(path))  # a quoted empty text is no null
