@@ -17,7 +17,6 @@ from tidewatch.operators.sizing import group_limit, hot_keys
 from tidewatch.session import stored
 
 _POINTS_PER_SLICE = 32  # sampled order values per slice; only balance depends on it
-_SEARCH_STEPS = [2 ** i for i in range(20, -1, -1)]  # binary search over up to 2^21 cut points
 
 ColumnsOf = Callable[[WindowSpec], dict[str, Column]]
 
@@ -44,14 +43,17 @@ def _cut_points(df: DataFrame, key: str, order: list[str], hot: DataFrame, limit
             .select(key, F.expr(f"filter(_points, (p, i) -> i % {stride} = {stride - 1})").alias("_cuts")))
 
 
-def _slice_number() -> Column:
-    """How many cut points lie at or before the row: a binary search as a fold."""
-    def step(found: Column, width: Column) -> Column:
-        probe = found + width
-        hit = (probe <= F.size("_cuts")) & (F.get("_cuts", probe - 1) <= F.col("_position"))
-        return F.when(hit, probe).otherwise(found)
-    steps = F.array(*[F.lit(s) for s in _SEARCH_STEPS])
-    return F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), step))
+def _with_slice(df: DataFrame, cuts: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Number of cut points at or before each row: a binary search, one halving per projection, all
+    in generated code. Rows of other keys have no cut points and stay in slice 0."""
+    most = cuts.agg(F.max(F.size("_cuts"))).first()[0] or 0
+    out = (df.join(F.broadcast(cuts), key, "left").withColumn("_position", _position(order))
+           .withColumn("_slice", F.lit(0)))
+    for step in reversed(range(most.bit_length())):
+        width = 2 ** step
+        passed = F.get("_cuts", F.col("_slice") + (width - 1)) <= F.col("_position")
+        out = out.withColumn("_slice", F.when(passed, F.col("_slice") + width).otherwise(F.col("_slice")))
+    return out
 
 
 def _carried_rows(hot_rows: DataFrame, key: str, order: list[str], lookback: int,
@@ -93,8 +95,7 @@ def ordered_window(df: DataFrame, key: str, order: list[str], lookback: int, col
     names = df.columns
     quoted = [f"`{c}`" for c in names]
     cuts = stored(_cut_points(df, key, order, hot, limit), "cuts")
-    placed = (df.join(F.broadcast(cuts), key, "left").withColumn("_position", _position(order))
-              .withColumn("_slice", _slice_number()))
+    placed = _with_slice(df, cuts, key, order)
     carried = _carried_rows(placed.where(F.col("_cuts").isNotNull()).select(*quoted, "_slice"),
                             key, order, lookback, only, quoted)
     whole = (placed.select(*quoted, "_slice", F.lit(False).alias("_carried"))

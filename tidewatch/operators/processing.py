@@ -13,10 +13,12 @@ from tidewatch.schemas import TOPIC_RECEIVED
 
 def dedup(events: DataFrame, key: str = "event_id", order: tuple[str, ...] = ("arrival",),
           processed: DataFrame | None = None) -> DataFrame:
-    """Keep the first arrival of each event, without those in the ``processed`` ids table."""
-    if processed is not None:
-        events = lookup_join(events, processed.select(key).distinct(), key, "left_anti")
-    return first_per_key(events, key, list(order))
+    """Keep the first arrival of each event, without those in the ``processed`` ids table.
+
+    Copies go first: afterwards no event id can be hot in the join.
+    """
+    once = first_per_key(events, key, list(order))
+    return once if processed is None else once.join(processed.select(key).distinct(), key, "left_anti")
 
 
 def enrich(events: DataFrame, devices: DataFrame) -> DataFrame:

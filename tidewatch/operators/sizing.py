@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 # A build side up to this size is broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
 # When the whole input is smaller than this, so is every key group in it.
-ONE_TASK_BYTES = 256 * 1024 * 1024
+ONE_TASK_BYTES = 64 * 1024 * 1024
 # A group up to this many rows is left to one task.
-GROUP_ROWS = 5_000_000
+GROUP_ROWS = 1_000_000
 # Inputs below this come in few splits; one task per so many bytes is worth its start.
 SPREAD_BELOW_BYTES = 64 * 1024 * 1024
 SPREAD_TASK_BYTES = 32 * 1024

@@ -1,6 +1,10 @@
 """Per-device state carried across micro-batches.
 
-Arrow hands the rows of a key over in pieces and in no order. A micro-batch is bounded by the
+State is keyed by a bucket of devices, not by device: a call into Python and to the state store
+costs milliseconds, and a micro-batch may hold very many devices. All devices of a bucket are
+computed together as arrays. The number of buckets is part of the checkpoint and cannot change.
+
+Arrow hands the rows of a bucket over in pieces and in no order. A micro-batch is bounded by the
 source's admission limits; across micro-batches the order of arrival rules.
 """
 
@@ -10,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,104 +23,133 @@ from tidewatch.operators.features import STREAM_WINDOW
 from tidewatch.schemas import SENSORS
 from tidewatch.session import use_rocksdb_state
 
+BUCKETS = 512
 EVENT = "device_id string, event_id bigint, ts timestamp, temperature double, humidity double, vibration double"
 STATS = ("temp_mean double, temp_std double, temp_min double, temp_max double, temp_range double, "
          "hum_mean double, hum_std double, vib_mean double, vib_std double, event_count int, trend string")
-READINGS = "temperature double, humidity double, vibration double"
 SNAPSHOT = "event_id bigint, ts timestamp, temperature double, humidity double, vibration double"
+_BLOCK = 50_000  # rows whose windows are expanded at a time
 
 
-def _windowed(values: np.ndarray, carried: int, n: int) -> dict[str, np.ndarray]:
-    """Mean, deviation and extremes over the last ``n`` values, for the rows after the carried."""
-    padded = np.concatenate([np.full(n - 1, np.nan), values])
-    view = np.lib.stride_tricks.sliding_window_view(padded, n)[carried:]
-    return {"mean": np.nanmean(view, axis=1), "std": np.nanstd(view, axis=1),
-            "min": np.nanmin(view, axis=1), "max": np.nanmax(view, axis=1)}
+def window_stats(values: np.ndarray, sizes: np.ndarray, ends: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """Statistics of the ``sizes[i]`` values up to and including position ``ends[i]``."""
+    out = {name: np.empty(len(ends)) for name in ("mean", "std", "min", "max")}
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(n - 1), values]), n)
+    for at in range(0, len(ends), _BLOCK):
+        part = slice(at, at + _BLOCK)
+        outside = np.arange(n) < n - sizes[part, None]
+        w = np.where(outside, 0.0, view[ends[part]])
+        mean = w.sum(axis=1) / sizes[part]
+        spread = np.where(outside, 0.0, w - mean[:, None])
+        out["mean"][part] = mean
+        out["std"][part] = np.sqrt((spread ** 2).sum(axis=1) / sizes[part])
+        out["min"][part] = np.where(outside, np.inf, w).min(axis=1)
+        out["max"][part] = np.where(outside, -np.inf, w).max(axis=1)
+    return out
 
 
-class RollingStats(StatefulProcessor):
-    """The last ``n`` readings of a device as list state; one output row per event."""
+class BucketState(StatefulProcessor):
+    """A table of rows per bucket, kept as one value with an array per column."""
 
-    def __init__(self, n: int = STREAM_WINDOW) -> None:
-        self.n = n
+    columns: dict[str, str] = {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getListState("window", READINGS)
+        schema = ", ".join(f"{c} array<{t}>" for c, t in self.columns.items())
+        self.table = handle.getValueState("table", schema)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
-        fresh = batch[list(SENSORS)].to_numpy(dtype=float)
-        fresh = np.where(np.isnan(fresh), 0.0, fresh)
-        carried = np.array([tuple(r) for r in self.window.get()], dtype=float).reshape(-1, len(SENSORS))
-        readings = np.concatenate([carried, fresh])
-        k = len(carried)
-        temp, hum, vib = (_windowed(readings[:, i], k, self.n) for i in range(len(SENSORS)))
-        step = np.diff(readings[:, 0], prepend=readings[0, 0])[k:]
-        out = pd.DataFrame({
-            "device_id": key[0], "event_id": batch["event_id"], "ts": batch["ts"],
-            "temperature": fresh[:, 0], "humidity": fresh[:, 1], "vibration": fresh[:, 2],
-            "temp_mean": temp["mean"], "temp_std": temp["std"], "temp_min": temp["min"],
-            "temp_max": temp["max"], "temp_range": temp["max"] - temp["min"],
-            "hum_mean": hum["mean"], "hum_std": hum["std"], "vib_mean": vib["mean"], "vib_std": vib["std"],
-            "event_count": np.minimum(np.arange(k + 1, len(readings) + 1), self.n).astype("int32"),
-            "trend": np.select([step > 0, step < 0], ["increasing", "decreasing"], "stable"),
-        })
-        self.window.put([tuple(map(float, r)) for r in readings[-self.n:]])
-        yield out
+    def load(self) -> pd.DataFrame:
+        held = self.table.get()
+        values = held if held is not None else [[] for _ in self.columns]
+        return pd.DataFrame({c: pd.Series(list(v), dtype={"string": object, "bigint": "int64", "double": float}[t])
+                             for (c, t), v in zip(self.columns.items(), values)})
+
+    def store(self, frame: pd.DataFrame) -> None:
+        self.table.update(tuple(frame[c].tolist() for c in self.columns))
 
     def close(self) -> None:
         pass
 
 
-class HistoryRing(StatefulProcessor):
-    """The newest ``n`` snapshots of a device; emits the ring after every micro-batch it grew in.
+class RollingStats(BucketState):
+    """The last ``n`` readings of every device; one output row per event."""
+
+    columns = {"device_id": "string", **{s: "double" for s in SENSORS}}
+
+    def __init__(self, n: int = STREAM_WINDOW) -> None:
+        self.n = n
 
-    Pieces are folded one at a time, so a busy device never holds more than a piece and the ring.
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["device_id", "ts", "event_id"])
+        batch = batch.fillna({s: 0.0 for s in SENSORS})
+        held = self.load()
+        active = held["device_id"].isin(batch["device_id"].unique())
+        # earlier readings of a device go before its new ones
+        both = pd.concat([held[active].assign(fresh=False), batch.assign(fresh=True)], ignore_index=True)
+        both = both.sort_values("device_id", kind="stable", ignore_index=True)
+        place = both.groupby("device_id").cumcount().to_numpy()
+        ends = np.flatnonzero(both["fresh"].to_numpy(dtype=bool))
+        sizes = np.minimum(place[ends] + 1, self.n)
+        temp, hum, vib = (window_stats(both[s].to_numpy(dtype=float), sizes, ends, self.n) for s in SENSORS)
+        step = np.where(place > 0, np.diff(both["temperature"], prepend=np.nan), 0.0)[ends]
+        out = both.loc[ends, ["device_id", "event_id", "ts", *SENSORS]].astype({"event_id": "int64"})
+        yield out.assign(
+            temp_mean=temp["mean"], temp_std=temp["std"], temp_min=temp["min"], temp_max=temp["max"],
+            temp_range=temp["max"] - temp["min"], hum_mean=hum["mean"], hum_std=hum["std"],
+            vib_mean=vib["mean"], vib_std=vib["std"], event_count=sizes.astype("int32"),
+            trend=np.select([step > 0, step < 0], ["increasing", "decreasing"], "stable"))
+        self.store(pd.concat([held[~active], both.groupby("device_id").tail(self.n)]))
+
+
+class HistoryRing(BucketState):
+    """The newest ``n`` snapshots of every device; emits the rings that a micro-batch changed.
+
+    Pieces are folded one at a time, so a busy device never holds more than a piece and its ring.
     """
 
+    columns = {"device_id": "string", "event_id": "bigint", "micros": "bigint", **{s: "double" for s in SENSORS}}
+
     def __init__(self, n: int = HISTORY_LENGTH) -> None:
         self.n = n
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getListState("ring", SNAPSHOT)
+    def _newest(self, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["device_id", "ts", "event_id"], ascending=[True, False, False])
+        return frame.groupby("device_id").head(self.n)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns = ["event_id", "ts", *SENSORS]
-        held = [tuple(r) for r in self.ring.get()]
-        old = pd.DataFrame(held, columns=columns) if held else None
         newest = None
         for piece in rows:
-            parts = [p for p in (newest, piece[columns]) if p is not None]
-            newest = pd.concat(parts).nlargest(self.n, ["ts", "event_id"], keep="first")
-        ring = newest.fillna({s: 0.0 for s in SENSORS})
-        if old is not None and len(ring) < self.n:
-            # earlier micro-batches arrived earlier, whatever their event time
-            old = old.sort_index().head(self.n - len(ring))
-            old["ts"] = pd.to_datetime(old["ts"])
-            ring = pd.concat([ring.assign(ts=pd.to_datetime(ring["ts"])), old])
-        self.ring.put([(int(r.event_id), pd.Timestamp(r.ts).to_pydatetime(), float(r.temperature),
-                        float(r.humidity), float(r.vibration)) for r in ring.itertuples(index=False)])
-        out = ring.reset_index(drop=True)
-        out.insert(0, "device_id", key[0])
-        out["position"] = np.arange(1, len(out) + 1, dtype="int32")
-        yield out
-
-    def close(self) -> None:
-        pass
-
-
-def rolling_features_stream(events: DataFrame, n: int = STREAM_WINDOW) -> DataFrame:
+            newest = self._newest(piece if newest is None else pd.concat([newest, piece]))
+        newest = newest.assign(micros=newest["ts"].astype("datetime64[us]").astype("int64"))
+        held = self.load()
+        active = held["device_id"].isin(newest["device_id"].unique())
+        # earlier micro-batches arrived earlier, whatever their event time
+        ring = pd.concat([newest[list(self.columns)], held[active]], ignore_index=True)
+        ring = ring.sort_values("device_id", kind="stable", ignore_index=True)
+        ring["position"] = ring.groupby("device_id").cumcount() + 1
+        ring = ring[ring["position"] <= self.n]
+        yield pd.DataFrame({"device_id": ring["device_id"], "event_id": ring["event_id"],
+                            "ts": pd.to_datetime(ring["micros"], unit="us"), **{s: ring[s] for s in SENSORS},
+                            "position": ring["position"].astype("int32")})
+        self.store(pd.concat([held[~active], ring]))
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("device_id"), F.lit(buckets)).cast("int")
+
+
+def rolling_features_stream(events: DataFrame, n: int = STREAM_WINDOW, buckets: int = BUCKETS) -> DataFrame:
     """The rolling features of ``events`` (columns of EVENT), windows carried across micro-batches."""
     use_rocksdb_state(events.sparkSession)
-    return (events.select("device_id", "event_id", "ts", *SENSORS).groupBy("device_id")
+    return (events.select("device_id", "event_id", "ts", *SENSORS)
+            .withColumn("bucket", _bucket(buckets)).groupBy("bucket")
             .transformWithStateInPandas(RollingStats(n), outputStructType=f"{EVENT}, {STATS}",
                                         outputMode="Append", timeMode="None"))
 
 
-def history_stream(events: DataFrame, n: int = HISTORY_LENGTH) -> DataFrame:
+def history_stream(events: DataFrame, n: int = HISTORY_LENGTH, buckets: int = BUCKETS) -> DataFrame:
     """The newest ``n`` snapshots of every device that reported, again after each micro-batch."""
     use_rocksdb_state(events.sparkSession)
     filled = events.select("device_id", "event_id", "ts", *[F.coalesce(s, F.lit(0.0)).alias(s) for s in SENSORS])
-    return (filled.groupBy("device_id")
+    return (filled.withColumn("bucket", _bucket(buckets)).groupBy("bucket")
             .transformWithStateInPandas(HistoryRing(n), outputStructType=f"device_id string, {SNAPSHOT}, position int",
                                         outputMode="Append", timeMode="None"))
