@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import detectors as d
-from tidewatch.operators import iforest
-from tidewatch.operators.features import ML_WINDOW, engineered_columns, rolling_columns
 from tidewatch.functions.readings import clip
-from tidewatch.operators.features import STREAM_WINDOW, TEMPERATURE_RANGE
+from tidewatch.operators import iforest
+from tidewatch.operators.features import (ML_WINDOW, STREAM_WINDOW, TEMPERATURE_RANGE, engineered_columns,
+                                          rolling_columns)
 from tidewatch.operators.ordered import ordered_window
 from tidewatch.schemas import ENRICHED, SENSORS
 

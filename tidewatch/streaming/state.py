@@ -23,7 +23,7 @@ from tidewatch.operators.features import STREAM_WINDOW
 from tidewatch.schemas import SENSORS
 from tidewatch.session import use_rocksdb_state
 
-BUCKETS = 512
+BUCKETS = 256
 EVENT = "device_id string, event_id bigint, ts timestamp, temperature double, humidity double, vibration double"
 STATS = ("temp_mean double, temp_std double, temp_min double, temp_max double, temp_range double, "
          "hum_mean double, hum_std double, vib_mean double, vib_std double, event_count int, trend string")
