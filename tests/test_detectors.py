@@ -173,3 +173,11 @@ def test_anomaly_stats_of_nothing(spark):
 def test_default_device(spark):
     df = spark.createDataFrame([(None, 1, 1, 20.0, 1.0, 1.0)], "device_id string, event_id int, ts int, " + EVENT)
     assert scoring.score_events(df, None, default_device="req-1").first().device_id == "req-1"
+
+
+def test_training_from_the_lake_takes_the_newest(spark, domain):
+    folder, path = scratch_dir(spark, "model"), scratch_dir(spark, "registry")
+    model = training.train_from_lake(spark, domain.lake, folder, path, "20240101_000000", limit=300)
+    assert model.columns == scoring.model_columns()[:3] + [c for c in model.columns if c.startswith("feat_")]
+    row = registry.read_registry(spark, path).first()
+    assert (row.samples, row.feature_count, row.threshold) == (300, 18, model.threshold)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.lookup import lookup_join
 from tidewatch.operators.ordered import newest_per_key
 from tidewatch.schemas import SENSORS
 
@@ -89,7 +88,3 @@ def search_devices(devices: DataFrame, query: str) -> DataFrame:
 
 def simulated(devices: DataFrame) -> DataFrame:
     return devices.where("simulated")
-
-
-def with_registry(events: DataFrame, devices: DataFrame) -> DataFrame:
-    return lookup_join(events, devices, "device_id", "left")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import iforest
-from tidewatch.operators.features import features_only
+from tidewatch.operators.features import features_only, prepare_for_ml
+from tidewatch.operators.lake import TRAINING_ROWS, latest
 from tidewatch.operators.percentile import exact_percentile
 from tidewatch.operators.registry import register
 from tidewatch.operators.scoring import train_metrics
@@ -47,3 +48,10 @@ def train_and_register(spark: SparkSession, prepared: DataFrame, id_col: str, fo
     model = train(spark, prepared, id_col, f"{folder}/{version}")
     register(spark, registry, version, model.columns, model.metrics)
     return model
+
+
+def train_from_lake(spark: SparkSession, lake: DataFrame, folder: str, registry: str, version: str,
+                    limit: int = TRAINING_ROWS) -> Model:
+    """Train on the newest ``limit`` records of the lake and register the model as the current one."""
+    prepared = prepare_for_ml(latest(lake, limit))
+    return train_and_register(spark, prepared, "eventId", folder, registry, version)
