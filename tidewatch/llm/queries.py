@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tidewatch.llm.bpe import decode, encode, read_ranks
-from tidewatch.llm import curriculum
+from tidewatch.llm import crf, curriculum
 from tidewatch.llm.chosen_path import near_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ def op8_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "source_size", "target",
         F.coalesce(F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"]), F.lit(0).cast("long")).alias("taken"),
         F.array_min(F.transform("copies", lambda c: c["position"])).alias("position")).orderBy(F.asc_nulls_last("position"), "doc_id")
+
+
+@query()
+def op1_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every whole text by a conditional random field over its lines."""
+    return crf.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
