@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tidewatch.llm.bpe import decode, encode, read_ranks
-from tidewatch.llm import crf, curriculum
+from tidewatch.llm import crf, curriculum, toxicity
 from tidewatch.llm.chosen_path import near_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,9 @@ def op8_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
 def op1_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every whole text by a conditional random field over its lines."""
     return crf.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op4_segment_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every whole text by its significant maximum-scoring segments."""
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))

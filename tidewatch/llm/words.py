@@ -14,6 +14,8 @@ _MIX = 0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: What ends a token when only letters count: every ASCII character but A-Z and a-z.
+_NO_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 
 
 def mix(values: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -24,16 +26,16 @@ def mix(values: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _letters(lower: bool) -> np.ndarray:
+def _letters(lower: bool, apart: np.ndarray) -> np.ndarray:
     folded = np.arange(256, dtype=np.uint64)
     if lower:
         folded[65:91] += 32
     table = mix(folded, 7)
-    table[_SPACE] = 0
+    table[apart] = 0
     return table
 
 
-_AS_IS, _LOWER = _letters(False), _letters(True)
+_TABLES = {(lower, letters): _letters(lower, _NO_LETTER if letters else _SPACE) for lower in (False, True) for letters in (False, True)}
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -47,9 +49,10 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _hash_chunk(data: np.ndarray, base: int, limits: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_chunk(data: np.ndarray, base: int, limits: np.ndarray, table: np.ndarray,
+                apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts (in the whole buffer) and hashes of the words of a chunk that begins at base."""
-    space = _SPACE[data]
+    space = apart[data]
     fresh = np.empty(len(data), dtype=bool)
     fresh[0] = True
     fresh[1:] = space[:-1]
@@ -65,23 +68,26 @@ def _hash_chunk(data: np.ndarray, base: int, limits: np.ndarray, table: np.ndarr
     return starts + base, mix(np.add.reduceat(table[data[starts[0] :]] * power[at], starts - starts[0]))
 
 
-def hash_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, their byte offsets in the joined texts, and the first word of each text (one more for the end)."""
+def hash_words(texts: pa.Array, lower: bool = True, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, their byte offsets in the joined texts, and the first word of each text (one more for the end).
+
+    letters: words are runs of letters; ASCII characters of other kinds stand between words.
+    """
     data, offsets = text_buffer(texts)
-    table = _LOWER if lower else _AS_IS
+    table, apart = _TABLES[lower, letters], _NO_LETTER if letters else _SPACE
     edges = np.unique(offsets)
     starts, hashes, begin = [], [], 0
     while begin < len(data):
         end = min(begin + CHUNK, len(data))
-        while end < len(data) and not _SPACE[data[end - 1]]:
+        while end < len(data) and not apart[data[end - 1]]:
             ahead = data[end : end + CHUNK]
-            gap = np.flatnonzero(_SPACE[ahead])
+            gap = np.flatnonzero(apart[ahead])
             stop = edges[np.searchsorted(edges, end)]
             end = min(int(stop), end + (int(gap[0]) + 1 if len(gap) else len(ahead)))
             if end == stop:
                 break
         inside = edges[np.searchsorted(edges, begin) : np.searchsorted(edges, end)] - begin
-        found, values = _hash_chunk(data[begin:end], begin, inside, table)
+        found, values = _hash_chunk(data[begin:end], begin, inside, table, apart)
         starts.append(found)
         hashes.append(values)
         begin = end
