@@ -23,6 +23,7 @@ from tidewatch.session import stored
 TRAINING_DOCS = 20_000  # labelled documents that lexicon and calibration are fitted to
 PRIOR = 0.1  # the Dirichlet prior counts for this share of the sample's tokens
 DRIFT = -0.25  # score of a token outside the lexicon
+SIGNIFICANT = 4.0  # standard errors that a token's log-odds must be away from 0
 CHANCE = 0.05  # a segment is significant if fewer of its score are expected in the text
 THRESHOLD = 0.5
 SEGMENTS = "array<struct<first int, last int, score double, expected double>>"
@@ -31,8 +32,7 @@ SEGMENTS = "array<struct<first int, last int, score double, expected double>>"
 def lexicon(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, log-odds, and share in clean text of the tokens that tell toxic from clean, from rows of (text, label).
 
-    A token counts once for each document. Tokens that chance would explain are left out, so that the lexicon's size is that of
-    the toxic vocabulary and does not grow with the number of different words.
+    A token counts once for each document. Tokens whose odds chance would explain are left out: with at most at_most documents to count, the lexicon is bounded.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -50,16 +50,15 @@ def lexicon(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     counts = stored(rows.mapInArrow(count, "token long, t double, c double")
                     .groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "tokens")
-    total = counts.agg(F.sum("t"), F.sum("c"), F.count(F.lit(1))).first()
+    total = counts.agg(F.sum("t"), F.sum("c")).first()
     toxic, clean = float(total[0] or 0), float(total[1] or 0)
     if not toxic or not clean:
         return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
-    significant = float(np.sqrt(2 * np.log(max(total[2], 2))))  # standard errors that chance alone hardly gives to any token
     weight = PRIOR * (toxic + clean)
     t, c = F.col("t") + PRIOR * (F.col("t") + F.col("c")), F.col("c") + PRIOR * (F.col("t") + F.col("c"))
     odds = F.log(t / (toxic + weight - t)) - F.log(c / (clean + weight - c))
     found = (counts.select("token", odds.alias("odds"), F.sqrt(1 / t + 1 / c).alias("error"), (c / (clean + weight)).alias("share"))
-             .where(F.abs("odds") >= significant * F.col("error")).orderBy("token").collect())
+             .where(F.abs("odds") >= SIGNIFICANT * F.col("error")).orderBy("token").collect())
     tokens = np.array([r["token"] for r in found], dtype=np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return (tokens[order], np.array([r["odds"] for r in found], dtype=float)[order],
