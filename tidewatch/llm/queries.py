@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tidewatch.llm.bpe import decode, encode, read_ranks
-from tidewatch.llm import crf, curriculum, toxicity
+from tidewatch.llm import compact_windows, crf, curriculum, toxicity
 from tidewatch.llm.chosen_path import near_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,9 @@ def op1_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op4_segment_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every whole text by its significant maximum-scoring segments."""
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op5_compact_window_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the passages of 50 words or more that they share with earlier ones."""
+    return compact_windows.repeated(table(spark, folder, "documents"))
