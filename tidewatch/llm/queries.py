@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tidewatch.llm.bpe import decode, encode, read_ranks
-from tidewatch.llm import compact_windows, crf, curriculum, toxicity
+from tidewatch.llm import compact_windows, crf, curriculum, piecewise, toxicity
 from tidewatch.llm.chosen_path import near_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,12 @@ def op4_segment_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op5_compact_window_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with the passages of 50 words or more that they share with earlier ones."""
     return compact_windows.repeated(table(spark, folder, "documents"))
+
+
+@query()
+def op6_piecewise_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every whole text, of the text edited at its end, and their likeness to each other and to the next text's."""
+    rows = piecewise.beside_next(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+                       piecewise.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+                       piecewise.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
