@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tidewatch.llm.bpe import decode, encode, read_ranks
-from tidewatch.llm import compact_windows, crf, curriculum, piecewise, toxicity
+from tidewatch.llm import compact_windows, crf, curriculum, piecewise, tag_paths, toxicity
 from tidewatch.llm.chosen_path import near_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,9 @@ def op6_piecewise_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                        piecewise.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
                        piecewise.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+
+
+@query()
+def op9_tag_path_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return tag_paths.extract(table(spark, folder, "pages"))
