@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tidewatch.llm.bpe import decode, encode, read_ranks
-from tidewatch.llm import compact_windows, crf, curriculum, piecewise, tag_paths, toxicity
+from tidewatch.llm import compact_windows, crf, curriculum, piecewise, reply_trees, tag_paths, toxicity
 from tidewatch.llm.chosen_path import near_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,37 @@ def op6_piecewise_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def op9_tag_path_text(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return tag_paths.extract(table(spark, folder, "pages"))
+
+
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+written AS (
+  SELECT *, replace(replace(replace(text, '\', '\s'), '###', '\h'), '</turn>', '\t') AS body,
+    CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' WHEN 'system' THEN 'System' ELSE '~' || role END AS name
+  FROM turns),
+texts AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS t,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS l,
+    sum(4 + length(name) + 2 + length(body) + 8)::BIGINT AS formatted_chars FROM written GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(l)::BIGINT AS loss_chars, sha256(l) AS loss_sha256, formatted_chars FROM texts
+"""
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
+
+@query(CHAT_SQL)
+def op2_reply_tree_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, and one that quotes the template, formatted and read back."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)],
+                                 "conv_id long, turn long, role string, text string")
+    written = reply_trees.conversations(reply_trees.as_tree(rows.unionByName(hard)))
+    read = written.select("conv_id", "formatted", reply_trees.read_back(F.col("formatted")).alias("turns"),
+                          reply_trees.learned(F.col("formatted"), F.col("loss")).alias("learned"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
+                       F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("turns_sha256"),
+                       F.length("learned").cast("long").alias("loss_chars"),
+                       F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
