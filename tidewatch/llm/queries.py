@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tidewatch.llm.bpe import decode, encode, read_ranks
-from tidewatch.llm import compact_windows, crf, curriculum, piecewise, reply_trees, tag_paths, toxicity
+from tidewatch.llm import compact_windows, crf, curriculum, piecewise, reply_trees, tag_paths, toxicity, voronoi
 from tidewatch.llm.chosen_path import near_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,21 @@ def op2_reply_tree_chat(spark: SparkSession, folder: str) -> DataFrame:
                        F.length("learned").cast("long").alias("loss_chars"),
                        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
                        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+TOP_SQL = r"""
+WITH points AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, p.vec_id, list_inner_product(q.v, p.v)::BIGINT AS score
+  FROM points q JOIN points p ON q.vec_id % 20 = 0 AND p.vec_id <> q.vec_id)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM pairs) WHERE rank <= 20
+"""
+
+
+@query(TOP_SQL)
+def op3_voronoi_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 vectors of highest inner product to every vector whose id is divisible by 20."""
+    return voronoi.top_k(table(spark, folder, "embeddings"))
