@@ -51,61 +51,73 @@ class Encoder:
         size = max(ranks.values(), default=0) + 1
         self.buckets: list[list[int]] = [[] for _ in range(size)]
         self.lower = [0] * (size // WORD + 1)  # a bit for each bucket that holds something
-        self.upper = [0] * (size // WORD // WORD + 1)  # a bit for each word of the lower level that is not zero
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one pre-token; every single byte must have a rank."""
-        ranks, buckets, lower, upper = self.ranks, self.buckets, self.lower, self.upper
-        rank_of = ranks.get
-        whole = rank_of(piece)
+        ranks, buckets, lower = self.ranks, self.buckets, self.lower
+        whole = ranks.get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
-        end = list(range(1, n + 2))  # where the token that starts at a position ends
-        before = list(range(-1, n))
-        pair = [-1] * n  # rank of the token at a position with the next one; -1: none, or no token starts there
-        fresh = range(n - 1)
-        while True:
-            for i in fresh:
-                stop = end[end[i]] if end[i] < n else n + 1
-                rank = rank_of(piece[i:stop]) if stop <= n else None
-                if rank is None:
-                    pair[i] = -1
-                    continue
-                pair[i] = rank
+        end = list(range(1, n + 1))  # where the token that starts at a position ends
+        before = list(range(-1, n))  # where the token before it starts
+        pair = [ranks.get(piece[i : i + 2], -1) for i in range(n)]  # rank of the token at a position with the next one
+        pair[-1] = -1
+        upper = 0  # a bit for each word of the lower level that is not zero
+        for i, rank in enumerate(pair):
+            if rank >= 0:
                 bucket = buckets[rank]
                 if not bucket:
                     word = rank >> BITS
-                    if not lower[word]:
-                        upper[word >> BITS] |= 1 << (word & WORD - 1)
                     lower[word] |= 1 << (rank & WORD - 1)
+                    upper |= 1 << word
                 heappush(bucket, i)
-            for top, bits in enumerate(upper):
-                if bits:
-                    break
-            else:
-                break
-            word = top << BITS | (bits & -bits).bit_length() - 1
-            rank = word << BITS | (lower[word] & -lower[word]).bit_length() - 1
+        while upper:
+            word = (upper & -upper).bit_length() - 1
+            bits = lower[word]
+            rank = word << BITS | (bits & -bits).bit_length() - 1
             bucket = buckets[rank]
             i = heappop(bucket)
             if not bucket:
-                lower[word] &= lower[word] - 1
-                if not lower[word]:
-                    upper[top] &= bits - 1
+                bits &= bits - 1
+                lower[word] = bits
+                if not bits:
+                    upper &= upper - 1
             if pair[i] != rank:
-                fresh = ()  # a stale entry
-                continue
+                continue  # a stale entry
             gone = end[i]
-            end[i] = end[gone]
+            stop = end[i] = end[gone]
             pair[gone] = -1
-            if end[i] < n:
-                before[end[i]] = i
-            fresh = (before[i], i) if before[i] >= 0 else (i,)
+            if stop < n:
+                before[stop] = i
+                fresh = ranks.get(piece[i : end[stop]], -1)
+                pair[i] = fresh
+                if fresh >= 0:
+                    bucket = buckets[fresh]
+                    if not bucket:
+                        word = fresh >> BITS
+                        lower[word] |= 1 << (fresh & WORD - 1)
+                        upper |= 1 << word
+                    heappush(bucket, i)
+            else:
+                pair[i] = -1
+            left = before[i]
+            if left >= 0:
+                fresh = ranks.get(piece[left:stop], -1)
+                if fresh != pair[left]:
+                    pair[left] = fresh
+                    if fresh >= 0:
+                        bucket = buckets[fresh]
+                        if not bucket:
+                            word = fresh >> BITS
+                            lower[word] |= 1 << (fresh & WORD - 1)
+                            upper |= 1 << word
+                        heappush(bucket, left)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
+            stop = end[i]
+            out.append(ranks[piece[i:stop]])
+            i = stop
         return out
 
 
@@ -155,6 +167,18 @@ class TextEncoder:
         return self._by_pattern(first) + b"".join(map(self.after_space, others))
 
 
+_ENCODERS: dict[tuple[str, int], TextEncoder] = {}
+
+
+def _encoder(ranks: dict[bytes, int], pattern: str) -> TextEncoder:
+    """The encoder of this Python worker, with what it remembers from earlier tasks; one vocabulary at a time."""
+    key = (pattern, hash(tuple(ranks.items())))
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = TextEncoder(ranks, pattern)
+    return _ENCODERS[key]
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with ids_col: the token ids of the whole text; each match of pattern is encoded on its own.
 
@@ -165,7 +189,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     names = [c for c in docs.columns if c != ids_col]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = TextEncoder(shared.value, pattern)
+        ids_of = _encoder(shared.value, pattern)
         for batch in slices(batches, text_col):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             blobs = [ids_of(t) for t in texts]
