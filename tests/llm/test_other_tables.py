@@ -15,15 +15,14 @@ def test_main_text(spark):
       <i>more</i> text; it goes on, and on.</p><ul><li>point one<li>point two</ul></div><div class="cookie-notice">We use cookies.</div>
       <div id="comments"><p>Great post, thanks, really, I mean it!</p></div><form><p>Name, mail, and so on.</p></form></body>"""
     assert tag_paths.main_text(page) == ("Head line\n\nFirst long paragraph, with commas, and words. More sentences, too.\n\n"
-                                         "Second & more text; it goes on, and on.\n\npoint one\n\npoint two") or \
-        tag_paths.main_text(page).startswith("Head line\n\nFirst long paragraph")
+                                         "Second & more text; it goes on, and on.")
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<div"), (5, "u", "plain"), (None, "u", "<p>a<p>b"),
             (6, "u", "<script>x"), (7, "u", "<article><h1>A</h1><p>b &lt; c&nbsp;d<br>e</p><aside>no</aside></article><p>Other, text, here.</p>"),
             (8, "u", "<p>" + "long text, " * 50_000)]
     got = {r.page_id: r for r in tag_paths.extract(spark.createDataFrame(rows, "page_id long, url string, html string")
                                                    .withColumn("text", F.lit(1))).collect()}
     assert len(got) == 9 and got[7].text == "A\n\nb < c d e" and got[None].text == "a\n\nb" and got[5].text == "plain"
-    assert all(got[i].text == "" and got[i].n_chars == 0 for i in (2, 3, 4, 6)) and got[8].n_chars == 50_000 * 11 - 0
+    assert all(got[i].text == "" and got[i].n_chars == 0 for i in (2, 3, 4, 6)) and got[8].n_chars == 50_000 * 11 - 1
     assert tag_paths.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -66,17 +65,16 @@ def test_top_k_equals_brute_force(spark):
     same = [rng.gauss(0, 1) for _ in range(8)]
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)] if i % 3 else same) for i in range(400)]
     rows += [(1000, None), (1020, []), (1040, [1.0, None]), (1060, [float("nan")] * 8), (1080, [float("inf")] * 8), (None, same),
-             (1100, [0.5] * 5), (20, same), (1120, [0.0] * 8)]
+             (1100, [0.5] * 5), (20, same), (3, same), (1120, [0.0] * 8)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
     usable = [(i, [math.floor(64 * x) for x in v]) for i, v in ((r.vec_id, r.embedding) for r in table.collect())
               if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for i, q in usable:
+    for at, (i, q) in enumerate(usable):
         if i % 20 == 0:
-            near = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for j, v in usable if j != i)[:20]
+            near = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for n, (j, v) in enumerate(usable) if n != at)[:20]
             want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(near)]
     got = sorted(tuple(r) for r in voronoi.top_k(table).collect())
-    assert [(a, b, d) for a, b, _, d in got] == [(a, b, d) for a, b, _, d in sorted(want)]
     assert got == sorted(want)
     assert voronoi.top_k(table.limit(0)).count() == 0
     assert voronoi.top_k(table.where("vec_id in (20, 21)").limit(2), k=5).count() <= 2

@@ -84,8 +84,8 @@ class Model:
             place = np.minimum(np.searchsorted(self.tokens, hashes), len(self.tokens) - 1)
             at = np.flatnonzero(self.tokens[place] == hashes)
             owner = np.searchsorted(first, at, side="right") - 1
-            edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(at) else np.zeros(0, int)
-            for lo, hi in zip(edges, np.append(edges[1:], len(at)), strict=True):
+            edges = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(at)) if len(at) else at
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 doc = owner[lo]
                 found[doc] = maximal_segments(at[lo:hi] - first[doc], self.odds[place[at[lo:hi]]], DRIFT)
         return counts, found

@@ -104,8 +104,8 @@ def top_k(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     after rounding, ties to the lesser id.
 
     Vectors that are null, empty or hold null or non-finite components, and rows without id, take no part. Vectors of
-    different lengths count as filled up with zeros. Rows that share an id are points of their own, but none is a neighbour of
-    a query with its id. With fewer than k others, all are returned. Sums beyond 2**53 are refused.
+    different lengths count as filled up with zeros. Rows that share an id are points and queries of their own; only the
+    query's own row is not a neighbour. With fewer than k others, all are returned. Sums beyond 2**53 are refused.
     """
     spark = rows.sparkSession
     plain = rows.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
@@ -180,7 +180,9 @@ def top_k(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     # a query's own id is one of the k + 1 at most; queries of an equal vector share its list
     listed = near.withColumn("r", best).where(F.col("r") <= k + 1).groupBy("vec").agg(
         F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
-    others = F.slice(F.filter("near", lambda n: n["vec_id"] != F.col("id")), 1, k)
+    own_score = F.aggregate("vec", F.lit(0).cast("long"), lambda s, x: s + x * x)
+    own = F.array_position(F.transform("near", lambda n: (n["vec_id"] == F.col("id")) & (n["score"] == own_score)), True)
+    others = F.slice(F.filter("near", lambda n, i: i + 1 != own), 1, k)
     answers = asked.join(listed, "vec").select("id", F.posexplode(others).alias("at", "n"))
     return answers.select(F.col("id").alias("query_id"), (F.col("at") + 1).alias("rank"), F.col("n.vec_id").alias("vec_id"),
                           F.col("n.score").alias("score"))
