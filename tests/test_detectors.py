@@ -177,7 +177,7 @@ def test_default_device(spark):
 
 def test_training_from_the_lake_takes_the_newest(spark, domain):
     folder, path = scratch_dir(spark, "model"), scratch_dir(spark, "registry")
-    model = training.train_from_lake(spark, domain.lake, folder, path, "20240101_000000", limit=300)
+    model = training.train_from_lake(spark, domain.lake, folder, path, "20240101_000000")
     assert model.columns == scoring.model_columns()[:3] + [c for c in model.columns if c.startswith("feat_")]
     row = registry.read_registry(spark, path).first()
-    assert (row.samples, row.feature_count, row.threshold) == (300, 18, model.threshold)
+    assert (row.samples, row.feature_count, row.threshold) == (domain.lake.count(), 18, model.threshold)

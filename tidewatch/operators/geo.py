@@ -62,9 +62,9 @@ def device_area_names(areas: DataFrame, area_devices: DataFrame, devices: DataFr
             .select("device_id", F.array_join(F.col("a.name"), ", ").alias("area_names")))
 
 
-def mark_anomalies(devices: DataFrame, recent: DataFrame) -> DataFrame:
-    """Flag devices among recent anomalies; the score is that of the most recent one, else 0."""
-    last = recent.groupBy("device_id").agg(F.max_by("score", "seq").alias("_score"))
+def mark_anomalies(devices: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """Flag devices that have an anomaly; the score is that of the most recent one, else 0."""
+    last = anomalies.groupBy("device_id").agg(F.max_by("score", "seq").alias("_score"))
     last = last.withColumn("_hit", F.lit(True))
     return (lookup_join(devices, last, "device_id", "left")
             .withColumn("is_anomaly", F.coalesce("_hit", F.lit(False)))

@@ -5,17 +5,16 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions.timestamps import normalize_ts
 from tidewatch.operators.ordered import newest_per_key
 
-STATS_ROWS = 1000
-TRAINING_ROWS = 10_000
 CONTEXT_ROWS = 5
 
 
-def latest(df: DataFrame, limit: int = STATS_ROWS, order: tuple[str, ...] = ("arrival_timestamp", "eventId"),
+def latest(df: DataFrame, limit: int = 1000, order: tuple[str, ...] = ("arrival_timestamp", "eventId"),
            since_day: str | None = None) -> DataFrame:
     """The newest records. ``since_day`` bounds the scan to the partitions from that day on, for a
     caller who knows that they hold enough."""
@@ -28,12 +27,11 @@ def recent_per_device(df: DataFrame, k: int = CONTEXT_ROWS, key: str = "deviceId
                       order: tuple[str, ...] = ("arrival_timestamp", "eventId")) -> DataFrame:
     """The last ``k`` events of every device; ``position`` 1 is the oldest of them.
 
-    The position is counted within the at most ``k`` rows kept per device.
+    The position is counted within the at most ``k`` rows kept per device, on the same shuffle.
     """
     kept = newest_per_key(df, key, list(order), k, rank="_back")
-    sizes = kept.groupBy(key).agg(F.max("_back").alias("_kept"))
-    return (kept.join(sizes, key).withColumn("position", F.col("_kept") - F.col("_back") + 1)
-            .drop("_back", "_kept"))
+    return (kept.withColumn("position", F.max("_back").over(W.partitionBy(key)) - F.col("_back") + 1)
+            .drop("_back"))
 
 
 def union_evolving(*frames: DataFrame) -> DataFrame:
@@ -41,13 +39,12 @@ def union_evolving(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def lake_stats(df: DataFrame, limit: int = STATS_ROWS,
-               order: tuple[str, ...] = ("arrival_timestamp", "eventId")) -> DataFrame:
-    """Records, devices and latest event time over the newest ``limit`` records."""
-    newest = latest(df.select("deviceId", "timestamp", *order), limit, order)
-    return newest.agg(F.count(F.lit(1)).alias("total_events"),
-                      F.array_sort(F.collect_set("deviceId")).alias("devices"),
-                      F.max(normalize_ts(F.col("timestamp"))).alias("latest_timestamp"))
+def lake_stats(df: DataFrame) -> DataFrame:
+    """Number of records and of devices, and the latest event time; ``distinct_devices`` lists the devices."""
+    per_device = df.groupBy("deviceId").agg(F.count(F.lit(1)).alias("events"),
+                                            F.max(normalize_ts(F.col("timestamp"))).alias("latest"))
+    return per_device.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("total_events"),
+                          F.count("deviceId").alias("devices"), F.max("latest").alias("latest_timestamp"))
 
 
 def distinct_devices(df: DataFrame) -> DataFrame:

@@ -115,20 +115,20 @@ def prediction_history(predictions: DataFrame, n: int = HISTORY) -> DataFrame:
     return predictions.orderBy(F.col("seq").desc()).limit(n)
 
 
-def anomaly_stats(predictions: DataFrame, n: int = HISTORY) -> DataFrame:
+def anomaly_stats(predictions: DataFrame) -> DataFrame:
+    """Counts over all the predictions given; filter them by time for the figures of a period."""
     rate = F.try_divide(F.col("anomaly_count") * F.lit(100.0), F.col("total_predictions"))
-    return (prediction_history(predictions.select("seq", "is_anomaly"), n)
+    return (predictions
             .agg(F.count(F.lit(1)).alias("total_predictions"), F.count_if("is_anomaly").alias("anomaly_count"))
             .withColumn("anomaly_rate", F.coalesce(F.round(rate, 1), F.lit(0.0))))
 
 
-def anomalies_by_device(predictions: DataFrame, n: int = HISTORY) -> DataFrame:
-    return (prediction_history(predictions, n).where("is_anomaly")
-            .groupBy("device_id").agg(F.count(F.lit(1)).alias("anomalies")))
+def anomalies_by_device(predictions: DataFrame) -> DataFrame:
+    return predictions.where("is_anomaly").groupBy("device_id").agg(F.count(F.lit(1)).alias("anomalies"))
 
 
-def affected_devices(predictions: DataFrame, n: int = HISTORY) -> DataFrame:
-    return anomalies_by_device(predictions, n).agg(F.count(F.lit(1)).alias("affected_devices"))
+def affected_devices(predictions: DataFrame) -> DataFrame:
+    return anomalies_by_device(predictions).agg(F.count(F.lit(1)).alias("affected_devices"))
 
 
 def recent_anomalies(predictions: DataFrame, n: int = HISTORY, k: int = RECENT) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import iforest
 from tidewatch.operators.features import features_only, prepare_for_ml
-from tidewatch.operators.lake import TRAINING_ROWS, latest
 from tidewatch.operators.percentile import exact_percentile
 from tidewatch.operators.registry import register
 from tidewatch.operators.scoring import train_metrics
@@ -31,13 +30,13 @@ def train(spark: SparkSession, prepared: DataFrame, id_col: str, folder: str,
     The threshold is the exact 5th percentile of the training scores.
     """
     columns = features_only(prepared).columns
-    prepared = prepared.persist()  # read by the sampling and by the scoring of all rows
+    prepared.write.parquet(f"{folder}/prepared")  # read by the sampling and by the scoring of all rows
+    prepared = spark.read.schema(prepared.schema).parquet(f"{folder}/prepared")
     iforest.fit(prepared, id_col, columns, trees=trees, seed=seed).write.parquet(f"{folder}/nodes")
     nodes = spark.read.parquet(f"{folder}/nodes")
     scored = (iforest.score(prepared, nodes, columns, 0.0, rounded=False)
               .select(F.col("if_score").alias("score")))
     scored.write.parquet(f"{folder}/training_scores")
-    prepared.unpersist()
     scored = spark.read.parquet(f"{folder}/training_scores")
     threshold = exact_percentile(scored, "score", iforest.THRESHOLD_PERCENTILE)
     return Model(nodes, columns, threshold, train_metrics(scored, threshold, len(columns)))
@@ -51,7 +50,8 @@ def train_and_register(spark: SparkSession, prepared: DataFrame, id_col: str, fo
 
 
 def train_from_lake(spark: SparkSession, lake: DataFrame, folder: str, registry: str, version: str,
-                    limit: int = TRAINING_ROWS) -> Model:
-    """Train on the newest ``limit`` records of the lake and register the model as the current one."""
-    prepared = prepare_for_ml(latest(lake, limit))
-    return train_and_register(spark, prepared, "eventId", folder, registry, version)
+                    since_day: str | None = None) -> Model:
+    """Train on the lake, or on its days from ``since_day`` on, and register the model as the current one."""
+    if since_day is not None:
+        lake = lake.where(F.col("day") >= F.lit(since_day).cast(lake.schema["day"].dataType))
+    return train_and_register(spark, prepare_for_ml(lake), "eventId", folder, registry, version)

@@ -36,29 +36,24 @@ def dashboard_kpis(d: Domain) -> DataFrame:
     return alerts.dashboard(d.devices, d.alerts, d.readings)
 
 
-@query("""SELECT count(*) AS total_events, string_agg(DISTINCT device_id, ',' ORDER BY device_id) AS devices, max(epoch_us(ts)) AS latest_micros
-FROM (SELECT * FROM readings ORDER BY ts DESC, event_id DESC LIMIT 1000)""")
+@query("""SELECT count(*) AS total_events, count(DISTINCT device_id) AS devices, max(epoch_us(ts)) AS latest_micros FROM readings""")
 def lake_stats(d: Domain) -> DataFrame:
-    stats = lake.lake_stats(d.lake, 1000)
-    return stats.select("total_events", F.array_join("devices", ",").alias("devices"),
+    return lake.lake_stats(d.lake).select("total_events", "devices",
                         F.unix_micros("latest_timestamp").alias("latest_micros"))
 
 
 @query("""SELECT count(*) AS total_predictions, count(CASE WHEN is_anomaly THEN 1 END) AS anomaly_count,
-  coalesce(round(count(CASE WHEN is_anomaly THEN 1 END) * 100.0::double / count(*), 1), 0.0) AS anomaly_rate
-FROM (SELECT * FROM predictions ORDER BY seq DESC LIMIT 500)""")
+  coalesce(round(count(CASE WHEN is_anomaly THEN 1 END) * 100.0::double / count(*), 1), 0.0) AS anomaly_rate FROM predictions""")
 def anomaly_stats(d: Domain) -> DataFrame:
     return scoring.anomaly_stats(d.predictions)
 
 
-@query("""SELECT device_id, count(*) AS anomalies FROM (SELECT * FROM predictions ORDER BY seq DESC LIMIT 500)
-WHERE is_anomaly GROUP BY device_id""")
+@query("""SELECT device_id, count(*) AS anomalies FROM predictions WHERE is_anomaly GROUP BY device_id""")
 def anomalies_by_device(d: Domain) -> DataFrame:
     return scoring.anomalies_by_device(d.predictions)
 
 
-@query("""SELECT count(DISTINCT device_id) AS affected_devices FROM (SELECT * FROM predictions ORDER BY seq DESC LIMIT 500)
-WHERE is_anomaly""")
+@query("""SELECT count(DISTINCT device_id) AS affected_devices FROM predictions WHERE is_anomaly""")
 def affected_devices(d: Domain) -> DataFrame:
     return scoring.affected_devices(d.predictions)
 

@@ -248,7 +248,7 @@ GROUP BY e.id, e.name, e.created_at, d.device_id HAVING count(*) % 2 = 1""",
               "ORDER BY seq DESC LIMIT 10",
     "marked": """
 SELECT d.*, r.device_id IS NOT NULL AS is_anomaly, coalesce(r.score, 0.0) AS anomaly_score
-FROM devices d LEFT JOIN (SELECT device_id, arg_max(score, seq) AS score FROM recent GROUP BY device_id) r
+FROM devices d LEFT JOIN (SELECT device_id, arg_max(score, seq) AS score FROM predictions WHERE is_anomaly GROUP BY device_id) r
   ON d.device_id = r.device_id""",
     "mapped": """
 SELECT d.device_id, d.type, d.status, d.latitude, d.longitude, d.simulated, f.area_name
@@ -342,7 +342,7 @@ class Domain:
 
     @property
     def marked(self) -> DataFrame:
-        return mark_anomalies(self.devices, scoring.recent_anomalies(self.predictions))
+        return mark_anomalies(self.devices, self.predictions.where("is_anomaly"))
 
     @property
     def members(self) -> DataFrame:
