@@ -37,9 +37,12 @@ def test_unreadable_files_are_skipped(spark):
     lake.append_lake(nested(spark, 5), path)
     with open(os.path.join(path, "day=2026-01-01", "event_broken.parquet"), "wb") as f:
         f.write(b"this is no parquet file")
-    assert lake.read_lake(spark, path).count() == 5
+    assert lake.read_lake(spark, path, skip_corrupt=True).count() == 5
+    assert [r.file for r in lake.skipped_files(spark, path).collect()] == ["event_broken.parquet"]
+    with pytest.raises(Exception, match="event_broken"):
+        lake.read_lake(spark, path).count()
     schema = "deviceId string, `enrichedData.temperature` double, day string"
-    assert lake.read_lake(spark, path, schema).count() == 5
+    assert lake.read_lake(spark, path, schema, skip_corrupt=True).count() == 5
 
 
 def test_day_filter_prunes_partitions(spark, capsys):

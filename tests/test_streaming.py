@@ -8,12 +8,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import analytics, iforest, processing, scoring
+from tidewatch.operators import analytics, iforest, processing, scoring, training
 from tidewatch.operators.features import rolling_features
 from tidewatch.session import scratch_dir
 from tidewatch.sources.kafka import SourceConfig, read_stream, to_json_value, write_stream
-from tidewatch.streaming import jobs, state
+from tidewatch.sources.lake import read_lake
+from tidewatch.streaming import jobs, tails
 
+EVENT = "device_id string, event_id bigint, ts timestamp, temperature double, humidity double, vibration double"
 T0 = dt.datetime(2026, 1, 1)
 
 
@@ -34,20 +36,13 @@ class Feed:
     def add(self, rows, files=5):
         rows = list(rows)
         random.Random(0).shuffle(rows)
-        self.spark.createDataFrame(rows, state.EVENT).repartition(files).write.mode("append").parquet(self.path)
+        self.spark.createDataFrame(rows, EVENT).repartition(files).write.mode("append").parquet(self.path)
 
     def stream(self):
-        return read_stream(self.spark, SourceConfig(format="parquet", path=self.path, schema=state.EVENT))
+        return read_stream(self.spark, SourceConfig(format="parquet", path=self.path, schema=EVENT))
 
     def all(self):
-        return self.spark.read.schema(state.EVENT).parquet(self.path)
-
-
-@pytest.fixture
-def small_pieces(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    yield
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        return self.spark.read.schema(EVENT).parquet(self.path)
 
 
 def rows(df, *columns):
@@ -55,65 +50,103 @@ def rows(df, *columns):
     return sorted(map(repr, df.select(*columns).collect()))
 
 
-def test_rolling_stats_over_a_restart(spark, small_pieces):
-    feed, out, checkpoint = Feed(spark), scratch_dir(spark, "out"), scratch_dir(spark, "cp")
+STATS = ["device_id", "event_id", "temp_mean", "temp_std", "temp_min", "temp_max", "temp_range", "hum_mean",
+         "hum_std", "vib_mean", "vib_std", "event_count", "trend"]
 
-    def run():
-        jobs.start(state.rolling_features_stream(feed.stream()), checkpoint, path=out, trigger_seconds=None).awaitTermination()
-        return spark.read.parquet(out)
-    feed.add(events(150))
-    run()
-    feed.add(events(120, first=150, seed=2))
-    columns = ["device_id", "event_id", "temp_mean", "temp_std", "temp_min", "temp_max", "temp_range", "hum_mean",
-               "hum_std", "vib_mean", "vib_std", "event_count", "trend"]
-    want = rows(rolling_features(feed.all()), *columns)
-    assert rows(run(), *columns) == want
-    assert rows(run(), *columns) == want  # nothing new, nothing added
+
+def writer(path):
+    return lambda df, batch_id: tails.append_batch(df, f"{path}/out", batch_id)
 
 
-def test_history_over_a_restart(spark, small_pieces):
+@pytest.mark.parametrize("group_rows", [None, 20])
+def test_rolling_stats_over_restarts(spark, group_rows):
+    """Four micro-batches, a full table of last rows after every second one, and a device with a third of the rows or more."""
     feed, out, checkpoint = Feed(spark), scratch_dir(spark, "out"), scratch_dir(spark, "cp")
 
     def run():
-        jobs.start(state.history_stream(feed.stream(), 10), checkpoint, batch=jobs.upsert_sink(out),
-                   trigger_seconds=None).awaitTermination()
-    feed.add(events(60))
-    run()
-    feed.add(events(15, first=60, seed=2))
-    run()
-    run()
-    got = jobs.read_latest_rows(spark, out, "device_id")
+        sink = tails.rolling_sink(out, writer(out), fold=2, group_rows=group_rows)
+        jobs.start(feed.stream(), checkpoint, batch=sink, trigger_seconds=None).awaitTermination()
+        return spark.read.parquet(f"{out}/out")
+    for first, n in ((0, 60), (60, 5), (65, 40), (105, 30)):
+        feed.add(events(n, first=first, seed=first))
+        run()
+    want = rows(rolling_features(feed.all()), *STATS)
+    assert rows(run(), *STATS) == want
+
+
+def test_text_ids_and_other_columns_are_kept(spark):
+    out = scratch_dir(spark, "out")
+    sink = tails.rolling_sink(out, writer(out))
+    frame = spark.createDataFrame(events(10), EVENT).withColumn("event_id", F.concat(F.lit("id-"), "event_id")).withColumn("status", F.lit("NORMAL"))
+    sink(frame, 0)
+    sink(frame.withColumn("event_id", F.concat("event_id", F.lit("b"))), 1)
+    sink(frame.withColumn("event_id", F.concat("event_id", F.lit("b"))), 1)  # a replay
+    got = spark.read.parquet(f"{out}/out")
+    assert got.count() == 20 and got.where("status = 'NORMAL' and event_id like 'id-%'").count() == 20
+
+
+def test_history_over_restarts(spark):
+    feed, out, checkpoint = Feed(spark), scratch_dir(spark, "out"), scratch_dir(spark, "cp")
+    for first, n in ((0, 60), (60, 15), (75, 3), (78, 9)):
+        feed.add(events(n, first=first, seed=first))
+        jobs.start(feed.stream(), checkpoint, batch=tails.history_sink(out, 10, fold=2), trigger_seconds=None).awaitTermination()
     columns = ["device_id", "event_id", "temperature", "position"]
-    assert rows(got, *columns) == rows(analytics.device_history(feed.all(), 10), *columns)
+    assert rows(tails.read_history(spark, out, n=10), *columns) == rows(analytics.device_history(feed.all(), 10), *columns)
 
 
-def test_counters_over_a_restart(spark):
+def test_counters_over_restarts(spark):
     feed, out, checkpoint = Feed(spark), scratch_dir(spark, "out"), scratch_dir(spark, "cp")
-
-    def run():
-        jobs.start(jobs.counters_stream(feed.stream()), checkpoint, batch=jobs.upsert_sink(out), mode="update",
+    for first in (0, 50, 100, 150):
+        feed.add(events(50, first=first))
+        jobs.start(jobs.counters_stream(feed.stream()), checkpoint, batch=tails.upsert_sink(out, "device_id", fold=2), mode="update",
                    trigger_seconds=None).awaitTermination()
-        return jobs.read_latest(spark, out, ["device_id"], ["event_count", "last_seen"])
-    feed.add(events(50))
-    run()
-    feed.add(events(50, first=50))
     columns = ["device_id", "event_count", "last_seen"]
-    want = rows(analytics.device_stats(feed.all()), *columns)
-    assert rows(run(), *columns) == want
-    assert rows(run(), *columns) == want
+    got = tails.read_upserts(spark, out, "device_id", "device_id string, event_count bigint, last_seen bigint")
+    assert rows(got, *columns) == rows(analytics.device_stats(feed.all()), *columns)
+
+
+def test_versions_are_folded(spark):
+    path = scratch_dir(spark, "versions")
+    frame = spark.createDataFrame([("a", 1), ("b", 1)], "key string, n int")
+    table = tails.Versions(path, "key", frame.schema, fold=3)
+    for batch in range(10):
+        table.write(frame.where("key = 'a' or %d = 0" % batch).withColumn("n", F.lit(batch)), batch)
+        assert {(r.key, r.n) for r in table.now(spark).collect()} == {("a", batch), ("b", 0)}
+    assert {(r.key, r.n) for r in table.before(spark, 7).collect()} == {("a", 6), ("b", 0)}
+    kept = spark.read.parquet(path).select("batch").distinct().count()
+    assert kept <= 5
 
 
 def test_dedup_across_batches(spark):
+    """Copies go, first arrivals stay, also those an hour late."""
     feed, out, checkpoint = Feed(spark), scratch_dir(spark, "out"), scratch_dir(spark, "cp")
 
     def run():
         jobs.start(jobs.dedup_stream(feed.stream()), checkpoint, path=out, trigger_seconds=None).awaitTermination()
         return sorted(r.event_id for r in spark.read.parquet(out).collect())
-    feed.add(events(30))
-    feed.add(events(10))
-    run()
-    feed.add(events(35))
-    assert run() == list(range(35))
+    every = [(d, i, T0 + dt.timedelta(minutes=5 * i), t, h, v) for d, i, _, t, h, v in events(60)]
+    late = random.Random(3).sample(every, len(every))
+    for at in range(0, 60, 15):
+        feed.add(late[at:at + 15] + late[:at][-5:])
+        run()
+    assert run() == list(range(60))
+
+
+def test_dedup_against_the_history(spark):
+    out = scratch_dir(spark, "out")
+    done = spark.createDataFrame([(3,), (3,), (7,)], "event_id bigint")
+    jobs.dedup_sink(lambda: done, out)(spark.createDataFrame(events(10), EVENT), 0)
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 4, 5, 6, 8, 9]
+
+
+def test_bad_rows_do_not_hold_up_others(spark):
+    out = scratch_dir(spark, "out")
+    raw = spark.createDataFrame([(1, '{"deviceId":"d","payload":{"t":1.0}}'), (2, "NOT_JSON"), (3, None), (4, '{"deviceId":"x","payload":{}}')],
+                                "offset int, value string")
+    devices = spark.createDataFrame([("d",)], "device_id string")
+    jobs.isolating_sink(lambda: devices, "deviceId string, payload map<string, double>", out)(raw, 0)
+    got = {r.offset: (str(r.failed), r.reason) for r in spark.read.parquet(out).collect()}
+    assert got == {1: ("false", None), 2: ("true", "malformed"), 3: ("true", "malformed"), 4: ("true", "unknown_device")}
 
 
 def test_rule_change_without_restart(spark):
@@ -138,36 +171,49 @@ def test_rule_change_without_restart(spark):
 
 
 def forest(spark):
-    df = spark.createDataFrame(events(200), state.EVENT).fillna(0.0)
+    df = spark.createDataFrame(events(200), EVENT).fillna(0.0)
     prepared = scoring.telemetry_features(df)
     return iforest.fit(prepared, "event_id", scoring.model_columns(), trees=10)
 
 
-def test_score_sink_is_replayable(spark):
+def test_score_sink_equals_the_batch_job(spark):
+    """Replays replace themselves, windows go on over micro-batches, and the lake can be trained on."""
+    nodes, folder = forest(spark), scratch_dir(spark, "scored")
+    sink = jobs.score_sink(lambda: (nodes, scoring.model_columns(), 0.0), folder, fold=2)
+    parts = [spark.createDataFrame(events(n, first=first, seed=first), EVENT) for first, n in ((0, 40), (40, 5), (45, 30), (75, 12))]
+    for batch_id, part in enumerate(parts):
+        sink(part, batch_id)
+        sink(part, batch_id)
+    whole = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    want = scoring.ensemble(iforest.score(scoring.telemetry_features(whole), nodes, scoring.model_columns(), 0.0))
+    lake = read_lake(spark, f"{folder}/lake")
+    columns = ["event_id", "anomaly_score", "is_anomaly", "severity"]
+    assert rows(lake.select(F.col("eventId").alias("event_id"), *columns[1:]), *columns) == rows(want.select(*columns), *columns)
+    assert spark.read.parquet(f"{folder}/predictions").count() == 87
+    assert spark.read.parquet(f"{folder}/anomalies").count() == want.where("is_anomaly").count()
+    model = training.train_from_lake(spark, lake, scratch_dir(spark, "model"), scratch_dir(spark, "registry"), "v1")
+    assert model.metrics.first().samples == 87
+
+
+def test_events_wait_when_scoring_fails(spark, capsys):
     nodes, folder = forest(spark), scratch_dir(spark, "scored")
-    sink = jobs.score_sink(lambda: (nodes, scoring.model_columns(), 0.0), folder, scoring.telemetry_features)
-    batch = spark.createDataFrame(events(40), state.EVENT)
-
-    def counts():
-        return [spark.read.parquet(f"{folder}/{p}").count() for p in ("lake", "predictions", "anomalies")]
-    sink(batch, 0)
-    first = counts()
-    assert first[:2] == [40, 40] and first[2] == spark.read.parquet(f"{folder}/lake").where("is_anomaly").count()
-    sink(batch, 0)
-    assert counts() == first
-    sink(spark.createDataFrame(events(5, first=40), state.EVENT), 1)
-    assert counts()[0] == 45
-
-
-def test_events_are_stored_when_scoring_fails(spark, capsys):
-    folder = scratch_dir(spark, "scored")
-
-    def broken():
-        raise RuntimeError("no model store")
-    jobs.score_sink(broken, folder)(spark.createDataFrame(events(12), state.EVENT), 0)
-    stored = spark.read.parquet(f"{folder}/lake")
-    assert stored.count() == 12 and "is_anomaly" not in stored.columns
+    good = (nodes, scoring.model_columns(), 0.0)
+    calls = []
+
+    def sometimes():
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("no model store")
+        return good
+    sink = jobs.score_sink(sometimes, folder)
+    sink(spark.createDataFrame(events(12), EVENT), 0)
+    sink(spark.createDataFrame(events(8, first=12), EVENT), 1)
     assert "no model store" in capsys.readouterr().out
+    assert read_lake(spark, f"{folder}/lake").count() == 8
+    assert jobs.score_pending(spark, sometimes, folder) == 1
+    lake = read_lake(spark, f"{folder}/lake")
+    assert lake.count() == 20 and lake.where("is_anomaly is null").count() == 0
+    assert jobs.score_pending(spark, sometimes, folder) == 0
 
 
 def test_alert_stream(spark):

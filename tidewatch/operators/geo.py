@@ -25,7 +25,7 @@ def members(area_devices: DataFrame, devices: DataFrame) -> DataFrame:
 def areas_with_devices(areas: DataFrame, area_devices: DataFrame, devices: DataFrame) -> DataFrame:
     """One row per area and member with the area's member count; one row with a null device for
     an area without members. Members stay rows: a list per area has no bound."""
-    pairs = members(area_devices, devices)
+    pairs = stored(members(area_devices, devices), "members")  # read three times
     counts = pairs.groupBy("area_id").agg(F.count(F.lit(1)).alias("device_count"))
     sized = areas.select(F.col("id").alias("area_id"), "name").join(counts, "area_id", "left")
     named = sized.withColumn("device_count", F.coalesce("device_count", F.lit(0)))

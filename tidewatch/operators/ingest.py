@@ -21,8 +21,13 @@ def _acceptable() -> Column:
     return F.coalesce((F.length(F.trim("device_id")) > 0) & (keys > 0), F.lit(False))
 
 
+def with_accepted(df: DataFrame) -> DataFrame:
+    """Requests (``device_id``, ``payload`` JSON text) with the verdict in one pass."""
+    return df.withColumn("accepted", _acceptable())
+
+
 def validate_ingest(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split requests (``device_id``, ``payload`` JSON text) into accepted and rejected."""
+    """Split requests into accepted and rejected."""
     return df.where(_acceptable()), df.where(~_acceptable())
 
 

@@ -38,8 +38,12 @@ def lookup_join(facts: DataFrame, table: DataFrame, on: str, how: str = "inner",
         return facts.join(table, on, how).unionByName(keyless)
     hot = F.broadcast(hot)
     rest = facts.join(hot, on, "left_anti").join(table, on, how)
-    hot_table = table.join(hot.select(on), on, "left_semi")
-    if hot_table.groupBy(on).count().where("count > 1").isEmpty():
+    hot_table = stored(table.join(hot.select(on), on, "left_semi"), "hot-rows")
+    # one row per hot key is few rows, but each may be wide
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in hot_table.columns]))
+    weight = hot_table.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    single = hot_table.groupBy(on).count().where("count > 1").isEmpty()
+    if single and weight <= max(broadcast_bytes, BROADCAST_BYTES):
         joined = facts.join(hot.select(on), on, "left_semi").join(F.broadcast(hot_table), on, how)
     else:
         salted = (facts.join(hot, on)

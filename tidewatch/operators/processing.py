@@ -72,9 +72,18 @@ def derived_id(source_id: Column, kind: str) -> Column:
 
 
 def to_processed(events: DataFrame, event_id: Column | None = None, now: Column | None = None) -> DataFrame:
-    """The processed event: a new id, the original id, status and enriched data."""
+    """The processed event: a new id, the original id, correlation id, status, enriched data and whatever else it brought.
+
+    Columns without a place of their own go to ``payload``, a map from name to text without nulls.
+    """
     new_id = derived_id(F.col("event_id"), "processed") if event_id is None else event_id
+    own = {"event_id", "correlation_id", "ts", "device_id", "status", "temperature", "humidity", "vibration", "device_type"}
+    rest = [F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").cast("string").alias("value")) for c in events.columns if c not in own]
+    payload = (F.map_from_entries(F.filter(F.array(*rest), lambda e: e["value"].isNotNull())) if rest
+               else F.lit(None).cast("map<string,string>"))
+    correlation = F.col("correlation_id").cast("string") if "correlation_id" in events.columns else F.lit(None).cast("string")
     return events.select(
+        correlation.alias("correlation_id"), payload.alias("payload"),
         new_id.alias("event_id"), F.col("event_id").alias("original_event_id"),
         F.lit("ProcessedTelemetryEvent").alias("event_type"), F.lit("1.0").alias("version"),
         F.lit("processing-service").alias("source_service"),
@@ -83,12 +92,11 @@ def to_processed(events: DataFrame, event_id: Column | None = None, now: Column
         .alias("enriched_data"))
 
 
-def split_dead_letters(events: DataFrame, devices: DataFrame, schema: str,
-                       value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Split raw records into those that can be processed and dead letters with a reason.
+def reasoned(events: DataFrame, devices: DataFrame, schema: str, value: str = "value") -> DataFrame:
+    """Raw records parsed once: the text, the event as struct ``d``, and the reason why it is a dead letter, or null.
 
-    ``schema`` describes the raw event; ``deviceId`` and ``payload`` decide. Extra columns such as
-    topic, partition and offset are kept on both sides.
+    ``schema`` describes the raw event; ``deviceId`` and ``payload`` decide. Extra columns such as topic, partition and offset
+    are kept. A sink writes this once and splits by ``reason``.
     """
     extra = [c for c in events.columns if c != value]
     parsed = events.select(*extra, F.col(value).cast("string").alias("raw")).withColumn(
@@ -98,7 +106,14 @@ def split_dead_letters(events: DataFrame, devices: DataFrame, schema: str,
     reason = (F.when(F.col("d.deviceId").isNull(), "malformed")
               .when(F.col("d.payload").isNull(), "null_payload")
               .when(F.col("_known").isNull(), "unknown_device"))
-    checked = checked.withColumn("reason", reason)
+    return checked.withColumn("reason", reason).select(*extra, "raw", "d", "reason")
+
+
+def split_dead_letters(events: DataFrame, devices: DataFrame, schema: str,
+                       value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Those records that can be processed, and dead letters with a reason; store ``reasoned`` first to parse only once."""
+    extra = [c for c in events.columns if c != value]
+    checked = reasoned(events, devices, schema, value)
     ok = checked.where(F.col("reason").isNull()).select(*extra, "d.*")
     topic = [] if "topic" in extra else [F.lit(TOPIC_RECEIVED).alias("topic")]
     dead = checked.where(F.col("reason").isNotNull()).select(

@@ -80,13 +80,14 @@ def to_response(df: DataFrame, threshold: Column) -> DataFrame:
                      threshold.alias("threshold"), "severity")
 
 
-def telemetry_features(events: DataFrame, group_rows: int | None = None) -> DataFrame:
+def telemetry_features(events: DataFrame, group_rows: int | None = None,
+                       order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """Stream features and model features of telemetry events from one sort per device."""
     ml = {s: F.coalesce(s, F.lit(0.0)) for s in SENSORS}
     filled = events.withColumns({**ml, **{ENRICHED + s: clip(v, *TEMPERATURE_RANGE) if s == "temperature" else v
                                           for s, v in ml.items()}})
     inputs = [ENRICHED + s for s in SENSORS]
-    return ordered_window(filled, "device_id", ["ts", "event_id"], STREAM_WINDOW - 1,
+    return ordered_window(filled, "device_id", list(order), STREAM_WINDOW - 1,
                           lambda w: {**rolling_columns(w), **engineered_columns(inputs, w)},
                           group_rows=group_rows)
 

@@ -14,7 +14,7 @@ from tidewatch.operators.analytics import get_device, search_devices, simulated
 from tidewatch.operators.geo import filter_map, with_polygon
 from tidewatch.plans.registry import plain_names, query, rounded
 from tidewatch.plans.views import Domain
-from tidewatch.schemas import SENSORS
+from tidewatch.schemas import SENSORS, TOPIC_RECEIVED
 from tidewatch.session import scratch_dir
 from tidewatch.sources import lake as lake_store
 from tidewatch.sources.records import enriched_records, export_csv, read_csv, to_anomalies, to_notifications, to_predictions
@@ -32,9 +32,7 @@ def parse_events(d: Domain) -> DataFrame:
 
 @query("""SELECT event_id, device_id, payload, length(trim(device_id)) > 0 AND payload <> '{}' AS accepted FROM requests""")
 def ingest_validate(d: Domain) -> DataFrame:
-    ok, rejected = ingest.validate_ingest(d.requests)
-    both = ok.withColumn("accepted", F.lit(True)).unionByName(rejected.withColumn("accepted", F.lit(False)))
-    return both.select("event_id", "device_id", "payload", "accepted")
+    return ingest.with_accepted(d.requests).select("event_id", "device_id", "payload", "accepted")
 
 
 @query("""SELECT device_id, payload, coalesce(event_type, 'DeviceTelemetryEvent') AS event_type, '1.0' AS version,
@@ -45,6 +43,11 @@ def ingest_envelope(d: Domain) -> DataFrame:
     return stamped.select("device_id", "payload", "event_type", "version", "ts", "source_service")
 
 
+def _with_millis(df: DataFrame) -> DataFrame:
+    """JSON carries milliseconds."""
+    return df.withColumn("millis", F.unix_millis(F.col("timestamp").cast("timestamp"))).drop("timestamp")
+
+
 _ENRICHED_SQL = """SELECT device_id AS "deviceId", CAST(event_id AS varchar) AS "eventId",
   temperature AS "enrichedData_temperature", humidity AS "enrichedData_humidity",
   round(temp_mean, 8) AS "sparkFeatures_temp_mean", round(vib_std, 8) AS "sparkFeatures_vib_std",
@@ -109,17 +112,17 @@ def project_ml_cols(d: Domain) -> DataFrame:
 
 
 @query("""SELECT device_id AS key, device_id AS "deviceId", event_id AS "originalEventId", is_anomaly AS "isAnomaly",
-  anomaly_score AS "anomalyScore" FROM predictions""")
+  anomaly_score AS "anomalyScore", epoch_us(ts) // 1000 AS millis FROM predictions""")
 def predictions_out(d: Domain) -> DataFrame:
-    schema = "deviceId string, originalEventId bigint, isAnomaly boolean, anomalyScore double"
-    return to_predictions(d.predictions).select("key", F.from_json("value", schema).alias("v")).select("key", "v.*")
+    schema = "deviceId string, originalEventId bigint, isAnomaly boolean, anomalyScore double, timestamp timestamp_ntz"
+    return _with_millis(to_predictions(d.predictions).select("key", F.from_json("value", schema).alias("v")).select("key", "v.*"))
 
 
 @query("""SELECT device_id AS key, device_id AS "deviceId", event_id AS "originalEventId", anomaly_score AS "anomalyScore",
-  'ML_ANOMALY_DETECTED' AS type, 'ml-scoring' AS source FROM predictions WHERE is_anomaly""")
+  'ML_ANOMALY_DETECTED' AS type, 'ml-scoring' AS source, epoch_us(ts) // 1000 AS millis FROM predictions WHERE is_anomaly""")
 def anomalies_out(d: Domain) -> DataFrame:
-    schema = "deviceId string, originalEventId bigint, anomalyScore double, type string, source string"
-    return to_anomalies(d.predictions).select("key", F.from_json("value", schema).alias("v")).select("key", "v.*")
+    schema = "deviceId string, originalEventId bigint, anomalyScore double, type string, source string, timestamp timestamp_ntz"
+    return _with_millis(to_anomalies(d.predictions).select("key", F.from_json("value", schema).alias("v")).select("key", "v.*"))
 
 
 @query("""SELECT CAST(id AS varchar) AS "ID", device_id AS "Device", severity AS "Severity", message AS "Message",
@@ -161,7 +164,7 @@ def table_source(d: Domain) -> DataFrame:
 def lake_scan(d: Domain) -> DataFrame:
     """A lake whose files differ: older ones lack a sensor, some have no device."""
     path = scratch_dir(d.spark, "mixed-lake")
-    typed = d.lake.join(d.readings.select(F.col("event_id").alias("eventId"), "event_type"), "eventId")
+    typed = d.lake_with("event_type")
     lake_store.append_lake(typed.where("event_type = 'click'").drop("enrichedData.vibration"), path)
     lake_store.append_lake(typed.where("event_type <> 'click'"), path)
     lake_store.append_lake(d.lake.drop("deviceId"), path)
@@ -216,10 +219,11 @@ def status_classify(d: Domain) -> DataFrame:
     return processing.with_status(d.requests, d.rules, number).select("event_id", "status")
 
 
-@query("""SELECT original_event_id, 'ProcessedTelemetryEvent' AS event_type, '1.0' AS version, 'processing-service' AS source_service,
+@query("""SELECT original_event_id, correlation_id, reading_type, 1 AS payload_keys, 'ProcessedTelemetryEvent' AS event_type, '1.0' AS version, 'processing-service' AS source_service,
   ts, device_id, status, temperature, humidity, vibration, device_type FROM processed""")
 def processed_projection(d: Domain) -> DataFrame:
-    return d.processed.select("original_event_id", "event_type", "version", "source_service", "ts", "device_id", "status",
+    return d.processed.select("original_event_id", "correlation_id", F.col("payload")["event_type"].alias("reading_type"),
+                              F.size("payload").alias("payload_keys"), "event_type", "version", "source_service", "ts", "device_id", "status",
                               *[f"enriched_data.{s}" for s in SENSORS], F.col("enriched_data.deviceType").alias("device_type"))
 
 
@@ -231,10 +235,9 @@ FROM (SELECT event_id, device_id, CASE WHEN device_id IS NULL THEN 'malformed' W
                CASE WHEN value <> 'NOT_JSON' THEN value->>'$.payload' END AS payload FROM received))""")
 def dead_letter_split(d: Domain) -> DataFrame:
     schema = "deviceId string, payload map<string, double>"
-    ok, dead = processing.split_dead_letters(d.received, d.devices, schema)
-    ok = ok.select("event_id", F.col("deviceId").alias("device_id"), F.lit("ok").alias("reason"),
-                   F.lit(None).cast("string").alias("topic"))
-    return ok.unionByName(dead.select("event_id", "device_id", "reason", "topic"))
+    rows = processing.reasoned(d.received, d.devices, schema)
+    return rows.select("event_id", F.col("d.deviceId").alias("device_id"), F.coalesce("reason", F.lit("ok")).alias("reason"),
+                       F.when(F.col("reason").isNotNull(), TOPIC_RECEIVED).alias("topic"))
 
 
 @query("""SELECT value->>'$.eventId' AS event_id, coalesce(CAST(value->>'$.enrichedData.temperature' AS double), 0.0) AS temperature,

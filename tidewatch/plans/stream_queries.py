@@ -1,30 +1,47 @@
-"""The streaming operators, run over the events until none are left, then read back."""
+"""The streaming operators, run over the events in several micro-batches, then read back."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import scoring
 from tidewatch.plans.analytics_queries import _HISTORY
 from tidewatch.plans.feature_queries import _ROUNDED_STATS, _STATS
-from tidewatch.plans.model_queries import stored_model
 from tidewatch.plans.registry import query, rounded
-from tidewatch.plans.views import BASE, Domain
+from tidewatch.plans.views import BASE, LITERAL_LIMIT, Domain
 from tidewatch.session import scratch_dir
-from tidewatch.sources.kafka import SourceConfig, read_stream, to_json_value, write_stream
-from tidewatch.sources.records import enriched_records
-from tidewatch.streaming import jobs, state
+from tidewatch.sources.kafka import SourceConfig, read_stream
+from tidewatch.sources.lake import read_lake
+from tidewatch.streaming import jobs, tails
 
 _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+PARTS = 4
+_FILES = 4  # of a part; a micro-batch takes as many
+
+
+@lru_cache(maxsize=64)
+def _arrivals(spark: SparkSession, application: str, folder: str, order: str) -> str:
+    """The events in PARTS additions to a folder: by time, by id, or mixed, so that many come hours late."""
+    events = Domain(spark, folder).table("events").select(*[c.split()[0] for c in _EVENTS.split(", ")])
+    by = {"time": F.unix_micros(F.col("ts").cast("timestamp")), "id": F.col("event_id"),
+          "mixed": F.pmod(F.xxhash64("event_id"), F.lit(1_000_003))}[order].cast("double").alias("at")
+    cuts = events.select(by).approxQuantile("at", [i / PARTS for i in range(1, PARTS)], 0.001)
+    path = scratch_dir(spark, f"arrivals-{order}")
+    low = float("-inf")
+    for high in [*sorted(cuts), float("inf")]:
+        part = events.withColumn("at", by).where((F.col("at") > low) & (F.col("at") <= high)).drop("at")
+        part.repartition(_FILES).write.mode("append").parquet(path)
+        low = high
+    return path
 
 
-def _stream(d: Domain, view: str = "readings") -> DataFrame:
-    """A view of the events as a stream; event time becomes a zoned timestamp.
-
-    The pattern matches the table both as a file and as a folder of files.
-    """
-    cfg = SourceConfig(format="parquet", path=f"{d.folder}/events.parque[t]", schema=_EVENTS)
+def _stream(d: Domain, view: str = "readings", order: str = "time") -> DataFrame:
+    """A view of the events as a stream of several micro-batches; event time becomes a zoned timestamp."""
+    path = _arrivals(d.spark, d.spark.sparkContext.applicationId, d.folder, order)
+    cfg = SourceConfig(format="parquet", path=path, schema=_EVENTS, files_per_trigger=_FILES)
     events = read_stream(d.spark, cfg).selectExpr(*[f"{e} AS {c}" for c, e in BASE[view][1].items()])
     return events.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in events.columns else events
 
@@ -46,47 +63,55 @@ def _run_batches(d: Domain, df: DataFrame, name: str, sink, mode: str = "append"
     return path
 
 
+def _writer(path: str) -> tails.Sink:
+    return lambda df, batch_id: tails.append_batch(df, f"{path}/out", batch_id)
+
+
 @query("SELECT event_id, device_id, temperature, ts FROM readings")
 def kafka_source(d: Domain) -> DataFrame:
     out = _run_to_folder(d, _stream(d).select("event_id", "device_id", "temperature", "ts"), "source")
     return _naive(out)
 
 
-@query("""SELECT device_id AS "deviceId", CAST(event_id AS varchar) AS "eventId", temperature, round(temp_mean, 8) AS temp_mean, trend
-FROM featured""")
+@query("""SELECT device_id AS key, device_id AS "deviceId", event_id AS "eventId", sent AS timestamp, status, temperature, humidity, vibration,
+  device_type AS "deviceType", device_location AS "deviceLocation", round(temp_mean, 8) AS temp_mean, round(temp_std, 8) AS temp_std,
+  temp_min, temp_max, round(temp_range, 8) AS temp_range, hum_mean, hum_std, vib_mean, vib_std, event_count, trend FROM topic_featured""")
 def kafka_sink_enriched(d: Domain) -> DataFrame:
-    records = to_json_value(enriched_records(state.rolling_features_stream(_stream(d))))
-    path = scratch_dir(d.spark, "enriched")
-    write_stream(records, scratch_dir(d.spark, "enriched-checkpoint"), path=path,
-                 trigger_seconds=None).start().awaitTermination()
-    schema = ("deviceId string, eventId string, enrichedData struct<temperature: double>, "
-              "sparkFeatures struct<temp_mean: double, trend: string>")
-    parsed = d.spark.read.schema("value string").parquet(path).select(F.from_json("value", schema).alias("r"))
-    return parsed.select("r.deviceId", "r.eventId", "r.enrichedData.temperature",
-                         F.round("r.sparkFeatures.temp_mean", 8).alias("temp_mean"), "r.sparkFeatures.trend")
+    """From the raw topic to the enriched topic: parse, fill, rolling features, JSON; every field is compared."""
+    readings = jobs.topic_readings(_stream(d, "raw_records", "id"))
+    path = _run_batches(d, readings, "enriched", lambda p: jobs.enriched_sink(p, _writer(p)))
+    schema = ("deviceId string, eventId string, timestamp string, status string, enrichedData struct<temperature: double, "
+              "humidity: double, vibration: double, deviceType: string, deviceLocation: string>, sparkFeatures struct<"
+              "temp_mean: double, temp_std: double, temp_min: double, temp_max: double, temp_range: double, hum_mean: double, "
+              "hum_std: double, vib_mean: double, vib_std: double, event_count: int, trend: string>")
+    parsed = d.spark.read.schema("key string, value string").parquet(f"{path}/out").select("key", F.from_json("value", schema).alias("r"))
+    flat = parsed.select("key", "r.deviceId", "r.eventId", "r.timestamp", "r.status", "r.enrichedData.*", "r.sparkFeatures.*")
+    return rounded(flat, "temp_mean", "temp_std", "temp_range")
 
 
 @query(f"SELECT device_id, event_id, {_ROUNDED_STATS}, event_count, trend FROM featured")
 def stream_rolling_stats(d: Domain) -> DataFrame:
-    out = _run_to_folder(d, state.rolling_features_stream(_stream(d)), "rolling")
+    path = _run_batches(d, _stream(d), "rolling", lambda p: tails.rolling_sink(p, _writer(p)))
+    out = d.spark.read.parquet(f"{path}/out")
     return rounded(out.select("device_id", "event_id", *_STATS, "event_count", "trend"))
 
 
-@query("SELECT event_type, count(*) AS events FROM readings GROUP BY event_type")
+@query("""SELECT reason IS NOT NULL AS failed, reason, count(*) AS records FROM (
+  SELECT CASE WHEN device_id IS NULL THEN 'malformed' WHEN payload IS NULL THEN 'null_payload'
+    WHEN device_id NOT IN (SELECT device_id FROM devices) THEN 'unknown_device' END AS reason
+  FROM (SELECT CASE WHEN value <> 'NOT_JSON' THEN value->>'$.deviceId' END AS device_id,
+               CASE WHEN value <> 'NOT_JSON' THEN value->>'$.payload' END AS payload FROM received)) GROUP BY 1, 2""")
 def micro_batch(d: Domain) -> DataFrame:
-    """Checkpointed micro-batches into one folder each; a batch without rows writes no rows."""
-    def sink(path: str):
-        def run(batch: DataFrame, batch_id: int) -> None:
-            if not batch.isEmpty():
-                jobs.append_batch(batch, path, batch_id)
-        return run
-    path = _run_batches(d, _stream(d), "batches", sink)
-    return d.spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+    """Checkpointed micro-batches; rows that can't be processed go to the dead letters, the others go on."""
+    path = _run_batches(d, _stream(d, "received"), "batches",
+                        lambda p: jobs.isolating_sink(lambda: d.devices, "deviceId string, payload map<string, double>", p))
+    return d.spark.read.parquet(path).groupBy(F.col("failed").cast("boolean").alias("failed"), "reason").agg(F.count(F.lit(1)).alias("records"))
 
 
 @query("SELECT event_id, device_id FROM readings")
 def stream_dedup(d: Domain) -> DataFrame:
-    twice = _stream(d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    """Every event twice, in micro-batches that mix early and late ones."""
+    twice = _stream(d, order="mixed").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     return _run_to_folder(d, jobs.dedup_stream(twice).select("event_id", "device_id"), "dedup")
 
 
@@ -107,22 +132,25 @@ def stream_alerts(d: Domain) -> DataFrame:
 
 @query("SELECT device_id, event_count, last_seen FROM stats")
 def stream_counters(d: Domain) -> DataFrame:
-    path = _run_batches(d, jobs.counters_stream(_stream(d)), "counters", jobs.upsert_sink, mode="update")
-    return jobs.read_latest(d.spark, path, ["device_id"], ["event_count", "last_seen"])
+    path = _run_batches(d, jobs.counters_stream(_stream(d)), "counters", lambda p: tails.upsert_sink(p, "device_id", fold=2), mode="update")
+    return tails.read_upserts(d.spark, path, "device_id", "device_id string, event_count bigint, last_seen bigint")
 
 
 @query(f"SELECT * FROM ({_HISTORY}) WHERE position <= 50")
 def stream_history(d: Domain) -> DataFrame:
-    path = _run_batches(d, state.history_stream(_stream(d, "telemetry")), "history", jobs.upsert_sink)
-    return _naive(jobs.read_latest_rows(d.spark, path, "device_id"))
+    path = _run_batches(d, _stream(d, "telemetry"), "history", lambda p: tails.history_sink(p, fold=2))
+    return _naive(tails.read_history(d.spark, path))
 
 
-@query()
+@query("""SELECT 'lake' AS output, count(*) AS records, round(sum(if_score), 3) AS score FROM forest_predictions
+UNION ALL SELECT 'predictions', count(*), round(sum(if_score), 3) FROM forest_predictions
+UNION ALL SELECT 'anomalies', count(*), round(sum(if_score), 3) FROM forest_predictions WHERE is_anomaly""")
 def stream_score_lake(d: Domain) -> DataFrame:
-    model = stored_model(d)
-    folder = scratch_dir(d.spark, "scored")
-    sink = jobs.score_sink(lambda: (model.nodes, model.columns, model.threshold), folder, scoring.telemetry_features)
-    jobs.start(_stream(d), scratch_dir(d.spark, "scored-checkpoint"), batch=sink, trigger_seconds=None).awaitTermination()
-    counts = [d.spark.read.parquet(f"{folder}/{part}").agg(F.lit(part).alias("output"), F.count(F.lit(1)).alias("records"))
-              for part in ("lake", "predictions", "anomalies")]
+    """The ensemble with a forest that SQL can walk; windows go on across micro-batches."""
+    model = (d.literal_forest, scoring.model_columns()[:3], LITERAL_LIMIT)
+    folder = _run_batches(d, _stream(d), "scored", lambda p: jobs.score_sink(lambda: model, p, fold=2))
+    lake = read_lake(d.spark, f"{folder}/lake").withColumn("anomalyScore", F.col("anomaly_score"))
+    parts = {"lake": lake, **{p: d.spark.read.parquet(f"{folder}/{p}") for p in ("predictions", "anomalies")}}
+    counts = [df.agg(F.lit(name).alias("output"), F.count(F.lit(1)).alias("records"), F.round(F.sum("anomalyScore"), 3).alias("score"))
+              for name, df in parts.items()]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])

@@ -19,6 +19,7 @@ from tidewatch.operators.alerts import raise_alerts
 from tidewatch.operators.analytics import device_stats
 from tidewatch.operators.features import rolling_features
 from tidewatch.operators.geo import mark_anomalies, members, spatial_join, with_polygon
+from tidewatch.operators.iforest import NODES, average_path
 from tidewatch.operators.processing import enrich, to_processed, with_status
 from tidewatch.schemas import ENRICHED, SENSORS
 
@@ -37,6 +38,7 @@ def _polygon(*points: tuple[str, str]) -> str:
     return f"concat({', '.join(parts)}, ']')"
 
 
+_SENT = _text("1775562669731 + event_id * 1000")  # time at which a raw record was sent, epoch ms as text
 _LAT, _LNG = "(36 + s_suppkey % 8)", "(s_suppkey % 12 - 9)"
 
 # name: (table, columns, condition)
@@ -46,6 +48,7 @@ BASE: dict[str, tuple[str, dict[str, str], str | None]] = {
         "device_id": f"concat('dev-', {_text('user_id')})",
         "ts": "ts",
         "event_type": "event_type",
+        "correlation_id": f"concat('request-', {_text('event_id')})",
         "temperature": "CASE WHEN event_type = 'signup' THEN NULL ELSE value END",
         "humidity": "CAST(regexp_extract(props, '([0-9]+)', 1) AS double)",
         "vibration": "CAST(event_id % 97 AS double) / CAST(1000 AS double)",
@@ -76,10 +79,10 @@ BASE: dict[str, tuple[str, dict[str, str], str | None]] = {
         "value": "CASE WHEN event_type = 'error' THEN 'NOT_JSON' "
                  f"WHEN event_type = 'signup' THEN concat('{{\"eventId\":\"', {_text('event_id')}, '\"}}') "
                  f"WHEN event_type = 'view' THEN concat('{{\"deviceId\":\"dev-', {_text('user_id')}, '\",\"eventId\":\"', "
-                 f"{_text('event_id')}, '\",\"status\":\"NORMAL\"}}') "
+                 f"{_text('event_id')}, '\",\"timestamp\":\"', {_SENT}, '\",\"status\":\"NORMAL\"}}') "
                  f"ELSE concat('{{\"deviceId\":\"dev-', {_text('user_id')}, '\",\"eventId\":\"', {_text('event_id')}, "
-                 f"'\",\"status\":\"NORMAL\",\"enrichedData\":{{\"temperature\":', {_text('value')}, "
-                 "',\"humidity\":null,\"deviceType\":\"probe\"}}') END",
+                 f"'\",\"timestamp\":\"', {_SENT}, '\",\"status\":\"WARNING\",\"enrichedData\":{{\"temperature\":', {_text('value')}, "
+                 "',\"humidity\":null,\"deviceType\":\"probe\",\"deviceLocation\":\"roof\"}}') END",
     }, None),
     # records on the received topic, for the dead-letter split
     "received": ("events", {
@@ -192,6 +195,29 @@ FROM (SELECT *,
   FROM (SELECT * REPLACE (coalesce(temperature, 0.0) AS temperature) FROM {source}))"""
 
 
+# A small forest that SQL can walk: (tree, node, feature, threshold, rows); features 0 to 2 are the readings.
+LITERAL_FOREST = [(0, 1, 0, 120.0, 256), (0, 2, 1, 45.0, 200), (0, 4, -1, 0.0, 150), (0, 5, -1, 0.0, 50), (0, 3, 2, 0.05, 56),
+                  (0, 6, -1, 0.0, 50), (0, 7, -1, 0.0, 6), (1, 1, 2, 0.09, 256), (1, 2, 0, 140.0, 240), (1, 4, -1, 0.0, 230),
+                  (1, 5, -1, 0.0, 10), (1, 3, -1, 0.0, 16)]
+LITERAL_LIMIT = 0.08
+
+
+def literal_forest_sql() -> str:
+    """The decision value of LITERAL_FOREST: path lengths as nested cases."""
+    nodes = {(t, n): (f, cut, rows) for t, n, f, cut, rows in LITERAL_FOREST}
+    reading = ("least(greatest(temperature, -50.0), 150.0)", "humidity", "vibration")
+
+    def path(tree: int, node: int, depth: int) -> str:
+        feature, cut, rows = nodes[tree, node]
+        if feature < 0:
+            return f"{depth + float(average_path(rows))!r}::double"
+        return (f"CASE WHEN {reading[feature]} > {cut} THEN {path(tree, 2 * node + 1, depth + 1)} "
+                f"ELSE {path(tree, 2 * node, depth + 1)} END")
+    trees = sorted({t for t, _ in nodes})
+    total = " + ".join(f"({path(t, 1, 0)})" for t in trees)
+    return f"0.5 - pow(2.0::double, -({total}) / {len(trees)} / {float(average_path(256))!r})"
+
+
 # Counterparts of the derived views.
 DERIVED_SQL: dict[str, str] = {
     "redelivered": "SELECT *, event_id * 2 AS arrival FROM telemetry "
@@ -199,7 +225,7 @@ DERIVED_SQL: dict[str, str] = {
     "limits": "SELECT coalesce((SELECT threshold FROM rules WHERE metric = 'temperature' ORDER BY id DESC LIMIT 1), "
               "100.0) AS threshold",
     "processed": """
-SELECT t.event_id AS original_event_id, t.ts, t.device_id, d.type AS device_type, t.temperature, t.humidity, t.vibration,
+SELECT t.event_id AS original_event_id, t.correlation_id, t.event_type AS reading_type, t.ts, t.device_id, d.type AS device_type, t.temperature, t.humidity, t.vibration,
   CASE WHEN t.temperature > l.threshold THEN 'CRITICAL' WHEN t.temperature > l.threshold * 0.8 THEN 'WARNING'
        ELSE 'NORMAL' END AS status
 FROM telemetry t JOIN devices d ON t.device_id = d.device_id CROSS JOIN limits l""",
@@ -211,6 +237,19 @@ SELECT original_event_id AS id, device_id, CASE status WHEN 'CRITICAL' THEN 'HIG
   ts, humidity < 30 AS acknowledged
 FROM processed WHERE status <> 'NORMAL'""",
     "featured": stream_feature_sql("readings"),
+    "topic_readings": """
+SELECT device_id, CAST(event_id AS varchar) AS event_id, event_id AS ts, CAST(1775562669731 + event_id * 1000 AS varchar) AS sent,
+  CASE WHEN event_type = 'view' THEN 'NORMAL' ELSE 'WARNING' END AS status,
+  CASE WHEN event_type = 'view' THEN 0.0 ELSE temperature END AS temperature, 0.0::double AS humidity, 0.0::double AS vibration,
+  CASE WHEN event_type <> 'view' THEN 'probe' END AS device_type, CASE WHEN event_type <> 'view' THEN 'roof' END AS device_location
+FROM readings WHERE event_type NOT IN ('error', 'signup')""",
+    "topic_featured": stream_feature_sql("topic_readings"),
+    "forest_flagged": f"""
+SELECT * REPLACE (raw_score < {LITERAL_LIMIT} AS if_flag, round(raw_score, 4) AS if_score)
+FROM (SELECT *, {literal_forest_sql()} AS raw_score FROM detected)""",
+    "forest_predictions": """
+SELECT *, 2 * CAST(if_flag AS integer) + CAST(zscore_flag AS integer) + CAST(trend_flag AS integer) >= 2 AS is_anomaly
+FROM forest_flagged""",
     "detected": """
 SELECT *, greatest(raw_t, raw_h, raw_v) > 3 AS zscore_flag, round(greatest(raw_t, raw_h, raw_v), 3) AS max_zscore,
   round(raw_t, 3) AS z_temperature, round(raw_h, 3) AS z_humidity, round(raw_v, 3) AS z_vibration,
@@ -336,6 +375,10 @@ class Domain:
             "if_flag": F.col("temperature") > ISOLATION_LIMIT,
             "if_score": F.round((ISOLATION_LIMIT - F.col("temperature")) / 997, 6)})
 
+    @property
+    def literal_forest(self) -> DataFrame:
+        return self.spark.createDataFrame(LITERAL_FOREST, NODES)
+
     @property
     def predictions(self) -> DataFrame:
         return scoring.ensemble(self.flagged).withColumns({"seq": F.col("event_id"), "score": F.col("if_score")})
@@ -358,8 +401,12 @@ class Domain:
 
     @property
     def lake(self) -> DataFrame:
+        return self.lake_with()
+
+    def lake_with(self, *more: str) -> DataFrame:
         """Readings with the column names of the lake; events arrive when they happen."""
         return self.readings.select(
+            *more,
             F.col("device_id").alias("deviceId"), F.col("event_id").alias("eventId"),
             F.col("ts").cast("timestamp").cast("string").alias("timestamp"),
             *[F.col(s).alias(ENRICHED + s) for s in SENSORS],

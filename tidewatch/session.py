@@ -47,12 +47,6 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(key, DEFAULTS[key])
 
 
-def use_rocksdb_state(spark: SparkSession) -> None:
-    """Stateful operators need the RocksDB provider; it is a runtime setting."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, DEFAULTS[key])
-
-
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, the folder all executors share.
 
@@ -67,6 +61,18 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def stored_as(df: DataFrame, path: str) -> DataFrame:
+    """Write a table to a path of its own and read it back; a retry overwrites it."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store through Spark's own file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a small intermediate table to the shared folder and read it back, so that it is
     computed once and survives lost executors."""

@@ -45,7 +45,7 @@ def enriched_records(featured: DataFrame) -> DataFrame:
     text = "string"
     return featured.select(
         F.col("device_id").alias("deviceId"), F.col("event_id").cast(text).alias("eventId"),
-        F.col("ts").cast(text).alias("timestamp"),
+        F.col("timestamp" if "timestamp" in featured.columns else "ts").cast(text).alias("timestamp"),
         (F.col("status") if "status" in featured.columns else F.lit(None).cast(text)).alias("status"),
         F.struct("temperature", "humidity", "vibration",
                  *[(F.col(c) if c in featured.columns else F.lit(None).cast(text)).alias(out)

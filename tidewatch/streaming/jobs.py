@@ -1,4 +1,4 @@
-"""Streaming jobs: de-duplication, processing, alerts, counters and scoring into the lake."""
+"""Streaming jobs: de-duplication, processing, enriched records, alerts, counters and scoring into the lake."""
 
 from __future__ import annotations
 
@@ -8,17 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidewatch.functions.timestamps import normalize_ts
 from tidewatch.operators import iforest, scoring
 from tidewatch.operators.alerts import raise_alerts
-from tidewatch.operators.processing import enrich, to_processed, with_status
-from tidewatch.sources.lake import with_arrival
-from tidewatch.sources.records import anomaly_rows, prediction_rows
+from tidewatch.operators.features import STREAM_WINDOW
+from tidewatch.operators.ingest import fill_readings, parse_events
+from tidewatch.operators.processing import enrich, reasoned, to_processed, with_status
+from tidewatch.schemas import ENGINEERED, ENRICHED, SENSORS
+from tidewatch.session import remove
+from tidewatch.sources.lake import lake_rows, write_lake_batch
+from tidewatch.sources.records import anomaly_rows, enriched_records, prediction_rows
+from tidewatch.streaming.tails import FOLD, Sink, append_batch, carrying, rolling_sink
 
 TRIGGER_SECONDS = 5
+DEDUP_HORIZON = "1 hour"
 Tables = Callable[[], DataFrame]
+ModelParts = tuple[DataFrame | None, list[str], float]
 
 
-def start(df: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None] | None = None,
+def start(df: DataFrame, checkpoint: str, batch: Sink | None = None,
           path: str | None = None, mode: str = "append", trigger_seconds: int | None = TRIGGER_SECONDS) -> StreamingQuery:
     """Run a stream into ``batch`` or a Parquet folder; a trigger of None takes what is there."""
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
@@ -29,22 +37,28 @@ def start(df: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None
     return writer.format("parquet").start(path)
 
 
-def dedup_stream(events: DataFrame, key: str = "event_id", watermark: str = "10 minutes") -> DataFrame:
-    """Drop redelivered events within the watermark. Without one the ids seen would grow forever;
-    the full history is covered by the anti-join of the batch operator."""
-    return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
+def dedup_stream(events: DataFrame, key: str = "event_id", horizon: str = DEDUP_HORIZON) -> DataFrame:
+    """Drop copies that arrive within the horizon after the first one, whatever their event time.
 
+    The watermark is on the time of arrival, stamped per micro-batch, which never goes back: no first arrival is ever dropped
+    as late. The ids seen are forgotten after the horizon; ``dedup_sink`` covers the full history.
+    """
+    return (events.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", horizon)
+            .dropDuplicatesWithinWatermark([key]).drop("_arrived"))
 
-def process_batch(events: DataFrame, devices: DataFrame, rules: DataFrame) -> DataFrame:
-    return to_processed(with_status(enrich(events, devices), rules))
 
+def dedup_sink(processed: Tables, path: str, key: str = "event_id") -> Sink:
+    """Write what is not among the processed ids, for copies that come after the horizon."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        append_batch(batch.join(processed().select(key), key, "left_anti"), path, batch_id)
+    return run
 
-def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """One folder per micro-batch: a replayed batch overwrites its own output and nothing else."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+def process_batch(events: DataFrame, devices: DataFrame, rules: DataFrame) -> DataFrame:
+    return to_processed(with_status(enrich(events, devices), rules))
 
-def process_sink(devices: Tables, rules: Tables, path: str) -> Callable[[DataFrame, int], None]:
+
+def process_sink(devices: Tables, rules: Tables, path: str) -> Sink:
     """Enrich and classify; both tables are read anew for each micro-batch, so a changed rule
     holds for later events without a restart."""
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -52,6 +66,38 @@ def process_sink(devices: Tables, rules: Tables, path: str) -> Callable[[DataFra
     return run
 
 
+def isolating_sink(devices: Tables, schema: str, path: str) -> Sink:
+    """Raw records with the reason why they can't be processed, or null, in one pass.
+
+    The folder is partitioned by the outcome: ``failed=true`` holds the dead letters, ``failed=false`` what goes on. A bad
+    row does not hold up the others of its micro-batch.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = reasoned(batch, devices(), schema).withColumn("failed", F.col("reason").isNotNull())
+        rows.write.mode("overwrite").partitionBy("failed").parquet(f"{path}/batch={batch_id}")
+    return run
+
+
+def topic_readings(records: DataFrame) -> DataFrame:
+    """JSON records of the processed topic as flat readings: text ids, zeros for missing readings, status, type and location.
+
+    The columns ``timestamp`` (text, as sent) and ``ts`` stand side by side. Malformed records and those without a device
+    fall out.
+    """
+    filled = fill_readings(parse_events(records))
+    return filled.select(
+        F.col("deviceId").alias("device_id"), F.col("eventId").alias("event_id"), "timestamp", normalize_ts(F.col("timestamp")).alias("ts"),
+        "status", *[F.col(f"enrichedData.{s}").alias(s) for s in SENSORS],
+        F.col("enrichedData.deviceType").alias("device_type"), F.col("enrichedData.deviceLocation").alias("device_location"))
+
+
+def enriched_sink(folder: str, write: Sink, n: int = STREAM_WINDOW, fold: int = FOLD) -> Sink:
+    """From readings (``topic_readings``) to the records of the enriched topic, one JSON value per event."""
+    def send(featured: DataFrame, batch_id: int) -> None:
+        write(enriched_records(featured).select(F.col("deviceId").alias("key"), F.to_json(F.struct("*")).alias("value")), batch_id)
+    return rolling_sink(folder, send, n, fold=fold)
+
+
 def alerts_stream(processed: DataFrame) -> DataFrame:
     """Stateless: the batch projection holds on a stream."""
     return raise_alerts(processed)
@@ -63,47 +109,47 @@ def counters_stream(events: DataFrame) -> DataFrame:
                                            F.max(F.unix_millis("ts")).alias("last_seen"))
 
 
-def upsert_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """Changed rows of an update-mode aggregate, one folder per micro-batch."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        append_batch(batch, path, batch_id)
-    return run
-
+def _scored(features: DataFrame, model: ModelParts) -> DataFrame:
+    nodes, columns, threshold = model
+    return scoring.ensemble(iforest.score(features, nodes, columns, threshold))
 
-def read_latest(spark: SparkSession, path: str, key: list[str], columns: list[str]) -> DataFrame:
-    """The newest version of every key from an upsert folder."""
-    return (spark.read.parquet(path).groupBy(*key)
-            .agg(F.max_by(F.struct(*columns), "batch").alias("r")).select(*key, "r.*"))
 
+def _publish(scored: DataFrame, folder: str, batch_id: int) -> None:
+    """The lake first; predictions and anomalies are read from what was written, so a batch is scored once."""
+    own = [c for c in scored.columns if not c.startswith((ENRICHED, ENGINEERED, "_"))]
+    written = write_lake_batch(lake_rows(scored.select(*own)), f"{folder}/lake", batch_id)
+    flat = written.select(F.col("deviceId").alias("device_id"), F.col("eventId").alias("event_id"), "is_anomaly", "anomaly_score",
+                          F.col("timestamp").alias("ts"))
+    append_batch(prediction_rows(flat), f"{folder}/predictions", batch_id)
+    append_batch(anomaly_rows(flat), f"{folder}/anomalies", batch_id)
 
-def read_latest_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """All rows of the newest micro-batch in which a key occurs."""
-    rows = spark.read.parquet(path)
-    newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
-    return rows.join(newest, [key, "batch"]).drop("batch")
 
+def score_sink(model: Callable[[], ModelParts], folder: str, fold: int = FOLD) -> Sink:
+    """Score each micro-batch on the windows of its devices and write predictions, anomalies and the lake.
 
-def score_sink(model: Callable[[], tuple[DataFrame | None, list[str], float]], folder: str,
-               features: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
-    """Score each micro-batch and write predictions, anomalies and the lake.
-
-    The batch is scored once: the lake is written first and the other two are read from it. All
-    three are addressed by batch, so a replay replaces its own output. If scoring fails, the events
-    are still stored, without a score.
+    All outputs are addressed by batch, so a replay replaces its own. If scoring fails, the events wait with their features
+    under ``unscored`` for ``score_pending``, and the stream goes on.
     """
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        lake = f"{folder}/lake/batch={batch_id}"
+    def write(features: DataFrame, batch_id: int) -> None:
         try:
-            nodes, columns, threshold = model()
-            scored = scoring.ensemble(iforest.score(features(batch), nodes, columns, threshold))
-            stored = scored.select(*batch.columns, "is_anomaly", "anomaly_score", "severity", "reason")
-            with_arrival(stored).write.mode("overwrite").partitionBy("day").parquet(lake)
-        except Exception as error:  # the events must reach the lake
-            print(f"scoring of batch {batch_id} failed, storing events unscored: {error}")
-            with_arrival(batch).write.mode("overwrite").partitionBy("day").parquet(lake)
-            return
-        written = spark.read.parquet(lake)
-        append_batch(prediction_rows(written), f"{folder}/predictions", batch_id)
-        append_batch(anomaly_rows(written), f"{folder}/anomalies", batch_id)
-    return run
+            _publish(_scored(features, model()), folder, batch_id)
+        except Exception as error:  # the events must not be lost
+            print(f"scoring of batch {batch_id} failed, its events wait to be scored: {error}")
+            features.write.mode("overwrite").parquet(f"{folder}/unscored/batch={batch_id}")
+
+    return carrying(folder, "device_id", ("ts", "event_id"), STREAM_WINDOW - 1, SENSORS,
+                    lambda rows, order: scoring.telemetry_features(rows, order=order), write, fold)
+
+
+def score_pending(spark: SparkSession, model: Callable[[], ModelParts], folder: str) -> int:
+    """Score the micro-batches that ``score_sink`` could not; returns how many."""
+    try:
+        waiting = spark.read.parquet(f"{folder}/unscored")
+    except Exception:
+        return 0
+    ids = [r["batch"] for r in waiting.select("batch").distinct().collect()]
+    for batch_id in ids:
+        one = f"{folder}/unscored/batch={batch_id}"
+        _publish(_scored(spark.read.parquet(one), model()), folder, batch_id)
+        remove(spark, one)
+    return len(ids)
