@@ -29,8 +29,8 @@ def roll(spark, temps, **kw):
 
 
 def test_single_reading(spark):
-    r = roll(spark, [25.0])
-    assert (r.temp_mean, r.temp_std, r.trend, r.event_count) == (25.0, 0.0, "stable", 1)
+    r = roll(spark, [17.5])
+    assert (r.temp_mean, r.temp_std, r.trend, r.event_count) == (17.5, 0.0, "stable", 1)
 
 
 def test_no_readings(spark):
@@ -38,28 +38,28 @@ def test_no_readings(spark):
 
 
 def test_statistics(spark):
-    assert roll(spark, [10.0, 20.0, 30.0, 40.0]).temp_mean == 25.0
-    r = roll(spark, [5.0, 15.0, 25.0])
-    assert (r.temp_min, r.temp_max, r.temp_range) == (5.0, 25.0, 20.0)
-    assert roll(spark, [1.0, 1.0], hum=[60.0, 80.0]).hum_mean == 70.0
-    assert roll(spark, [1.0, 1.0], vib=[0.02, 0.04]).vib_mean == pytest.approx(0.03)
+    r = roll(spark, [-4.0, 7.0, 31.5, 2.5])
+    assert r.temp_mean == 9.25 and r.temp_std == pytest.approx(math.sqrt(sum((x - 9.25) ** 2 for x in (-4.0, 7.0, 31.5, 2.5)) / 4))
+    assert (r.temp_min, r.temp_max, r.temp_range) == (-4.0, 31.5, 35.5)
+    assert roll(spark, [3.0] * 3, hum=[41.0, 44.0, 53.0]).hum_mean == 46.0
+    assert roll(spark, [3.0] * 3, vib=[0.11, 0.25, 0.12]).vib_mean == pytest.approx(0.16)
 
 
-@pytest.mark.parametrize("temps,trend", [([20, 25], "increasing"), ([25, 20], "decreasing"), ([25, 25], "stable"),
-                                         ([20, 25, 30, 28], "decreasing")])
+@pytest.mark.parametrize("temps,trend", [([-3, -1], "increasing"), ([9, 2], "decreasing"), ([6, 6], "stable"),
+                                         ([1, 8, 64, 63], "decreasing"), ([40, 3, 3.5], "increasing")])
 def test_trend(spark, temps, trend):
     assert roll(spark, [float(t) for t in temps]).trend == trend
 
 
 def test_oldest_reading_is_evicted(spark):
-    r = roll(spark, [10.0, 20.0, 30.0, 40.0, 50.0, 60.0])
-    assert (r.event_count, r.temp_min) == (5, 20.0)
+    r = roll(spark, [-9.0, 12.0, 4.0, 8.0, 33.0, 5.0, 6.0])
+    assert (r.event_count, r.temp_min, r.temp_max) == (5, 4.0, 33.0)
 
 
 def test_devices_are_isolated(spark):
-    both = readings(spark, [100.0]).unionByName(readings(spark, [20.0], device="d2"))
-    got = {r.device_id: r.temp_mean for r in features.rolling_features(both, 5).collect()}
-    assert got == {"d1": 100.0, "d2": 20.0}
+    both = readings(spark, [71.0, 73.0]).unionByName(readings(spark, [14.0], device="d2"))
+    got = {r.device_id: r.temp_mean for r in features.rolling_features(both, 5).orderBy("ts").collect()}
+    assert got == {"d1": 72.0, "d2": 14.0}
 
 
 def test_null_reading_counts_as_zero(spark):

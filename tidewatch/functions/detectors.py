@@ -13,7 +13,8 @@ WEIGHT_ISOLATION = 2
 WEIGHT_ZSCORE = 1
 WEIGHT_TREND = 1
 VOTES_FOR_ANOMALY = 2
-MAX_VOTES = 4
+# Fixed value: severity for 0, 1, 2, 3 and 4 votes.
+SEVERITY_BY_VOTES = ("NORMAL", "LOW", "HIGH", "HIGH", "CRITICAL")
 REASON_NONE = "All models nominal"
 
 
@@ -37,8 +38,7 @@ def votes(isolation: Column, zs: Column, trend: Column) -> Column:
 
 
 def severity(n: Column) -> Column:
-    return (F.when(n == 0, "NORMAL").when(n == 1, "LOW")
-            .when(n <= MAX_VOTES - 1, "HIGH").otherwise("CRITICAL"))
+    return F.element_at(F.array(*[F.lit(name) for name in SEVERITY_BY_VOTES]), n + 1)
 
 
 def reason(if_flag: Column, if_score: Column, zs_flag: Column, max_z: Column,

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # A build side up to this size is broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
-# When the whole input is smaller than this, so is every key group in it.
-ONE_TASK_BYTES = 64 * 1024 * 1024
 # A group up to this many rows is left to one task.
 GROUP_ROWS = 1_000_000
 # Inputs below this come in few splits; one task per so many bytes is worth its start.
@@ -24,15 +22,15 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def group_limit(df: DataFrame, group_rows: int | None = None) -> int | None:
-    """Rows above which a key group must be split, or None when the input is too small to matter.
+    """Rows above which a key group must be split, or None when the whole input has no more rows than that.
 
-    The limit grows with the input so that at most MAX_HOT_KEYS groups can exceed it.
+    Rows decide, as bytes on disk say little about them. The limit grows with the input so that at most MAX_HOT_KEYS groups
+    can exceed it.
     """
     if group_rows is not None:
         return group_rows
-    if estimated_bytes(df) <= ONE_TASK_BYTES:
-        return None
-    return max(GROUP_ROWS, df.count() // MAX_HOT_KEYS)
+    rows = df.count()
+    return None if rows <= GROUP_ROWS else max(GROUP_ROWS, rows // MAX_HOT_KEYS)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
