@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -83,6 +84,26 @@ def test_near_groups_of_a_large_group(spark, prose, monkeypatch):
         assert {r.doc_id: r.component_id for r in chosen_path.near_groups(docs, 3, 85).collect()} == want
 
 
+def changed(text, rng, places):
+    """text with other words at so many places that no shingle of five words holds two of them."""
+    words_ = text.split()
+    for at in rng.sample(range(0, len(words_) // 6), places):
+        words_[6 * at + 2] = f"x{rng.randrange(10**9)}"
+    return " ".join(words_)
+
+
+def test_near_groups_of_a_star(spark, prose, monkeypatch):
+    """Copies whose only link is their base are linked to it, also in a cluster beyond the limit."""
+    rng, base = random.Random(3), prose(400)
+    rows = [(1, base)] + [(i, changed(base, rng, 10)) for i in range(2, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_groups(rows, 3, 85)
+    assert set(want.values()) == {1}
+    for name, value in (("NODE", 16), ("BLOCK", 8), ("BLOCKED", 64)):
+        monkeypatch.setattr(chosen_path, name, value)
+    assert {r.doc_id: r.component_id for r in chosen_path.near_groups(docs, 3, 85).collect()} == want
+
+
 def test_keep_one_keeps_columns(odd_docs, no_docs):
     kept = chosen_path.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns

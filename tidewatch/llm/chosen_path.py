@@ -5,8 +5,11 @@
    tokens until it is small, and the members of a small node are compared exhaustively by their sketches.
 3. Vertices that look alike anywhere form clusters. A cluster's full sets meet once, in groups of bounded size, and only
    links that hold on the full sets are kept. Components of these links are the result.
+4. Members of clusters that are too large to meet in full, and vertices that the trees part too often because their nodes had
+   to be split, are joined exactly: two sets at the threshold share one of their rarest shingles (prefix filter).
 
-A link is missed only when the trees separate a pair everywhere (under 1e-5 at the threshold for the default trees).
+A link is missed only when the trees separate a pair everywhere, which for a vertex that is not joined exactly has a computed
+chance of at most MISS at the threshold, or when its sketches look unlike by more than 4.2 standard errors.
 """
 
 from __future__ import annotations
@@ -30,7 +33,10 @@ PER_LEVEL = 2  # tokens that a level of a tree branches by
 NODE = 256  # members that are compared exhaustively
 LEVELS = 12
 BLOCK = 128  # a cluster beyond NODE members meets in pairs of blocks
-BLOCKED = 4096  # a cluster beyond this is branched by trees once more
+BLOCKED = 4096  # a cluster beyond this is branched by trees once more, and what they leave is joined exactly
+MISS = 1e-5  # a vertex whose pairs at the threshold are parted by all trees with a higher chance is joined exactly
+HUBS = 32  # if the vertices to join exactly meet in more nodes each on average, those near the hub of a group are connected first
+BUCKETS = 1 << 16  # in which shingles are counted to tell rare ones
 BROADCAST_ROWS = 500_000  # vertex names of 16 bytes that may be broadcast
 _FACTORS = mix(np.arange(COORDINATES, dtype=np.uint64), 91) | np.uint64(1)
 
@@ -133,22 +139,36 @@ def _branch(nodes: DataFrame, alike: float, level: int) -> DataFrame:
             .mapInArrow(compute, "kind int, a long, b long, tree int, sketch binary"))
 
 
-def _looks_alike(vertices: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) star links between vertices that share a small node of some tree and look alike by their sketches."""
+def _looks_alike(vertices: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Star links (a, b) between vertices that share a small node of some tree and look alike by their sketches; and (vertex) of
+    those that all trees part from a vertex at the threshold with a chance of more than MISS.
+
+    A pair shares a tree's first node with threshold ** 2, and stays together with threshold ** PER_LEVEL at every split.
+    """
     alike = threshold - 4.2 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
     nodes = vertices.select(F.posexplode("paths").alias("tree", "node"), "vertex", "sketch")
-    links = None
+    links = split = None
     for level in range(LEVELS):
         out = stored(_branch(nodes, alike, level), "branches")
         here = out.where("kind = 0").select("a", "b")
         links = here if links is None else links.unionAll(here)
         deeper = out.where("kind = 1").select(F.col("a").alias("node"), "tree", F.col("b").alias("vertex"), "sketch")
-        if deeper.isEmpty():
-            return links
         nodes = deeper
-    # Members that share this many tokens are copies but for a few words: each is linked to the node's least vertex.
-    least = nodes.groupBy("node").agg(F.min("vertex").alias("b"))
-    return links.unionAll(nodes.join(least, "node").select(F.col("vertex").alias("a"), "b"))
+        if deeper.isEmpty():
+            break
+        split = deeper.select("vertex", "tree") if split is None else split.unionAll(deeper.select("vertex", "tree"))
+    else:
+        # Members that share this many tokens are copies but for a few words: each is linked to the node's least vertex.
+        least = nodes.groupBy("node").agg(F.min("vertex").alias("b"))
+        links = links.unionAll(nodes.join(least, "node").select(F.col("vertex").alias("a"), "b"))
+    whole = math.log1p(-threshold**2)  # log of the chance that a tree without splits parts a pair
+    if TREES * whole > math.log(MISS):
+        return links, vertices.select("vertex")
+    if split is None:
+        return links, vertices.select("vertex").limit(0)
+    depth = split.groupBy("vertex", "tree").agg(F.count(F.lit(1)).alias("d"))
+    more = F.sum(F.log1p(-F.pow(F.lit(threshold), 2 + PER_LEVEL * F.col("d"))) - whole)
+    return links, depth.groupBy("vertex").agg(more.alias("more")).where(F.col("more") + TREES * whole > math.log(MISS)).select("vertex")
 
 
 def _verified(groups: DataFrame, percent: int) -> DataFrame:
@@ -221,6 +241,111 @@ def _deep_nodes(vertices: DataFrame, huge: DataFrame) -> DataFrame:
     return small.unionAll(rest).unionAll(joined.select(block.alias("node"), F.col("least").alias("vertex"))).distinct()
 
 
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many shingles of (vertex, set) fall into each of BUCKETS."""
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(_bucket(batch["set"].flatten().to_numpy()), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"bucket": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    for row in sets.select("set").mapInArrow(compute, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        counts[row["bucket"]] = row["n"]
+    return counts
+
+
+def _bucket(values: np.ndarray) -> np.ndarray:
+    return (mix(values.view(np.uint64), 23) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, vertex, common) of (vertex, set): so many of a set's rarest shingles that two sets at the threshold share one of
+    them, and how common the set's shingles are on average."""
+    shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values, sizes = batch["set"].flatten().to_numpy(), batch["set"].value_lengths().to_numpy().astype(np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            count = shared.value[_bucket(values)]
+            order = np.lexsort((values, count, owner))
+            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            some = place < (sizes + 1 + (-percent * sizes) // 100)[owner]
+            mean = np.bincount(owner, weights=count, minlength=len(sizes)) / np.maximum(sizes, 1)
+            yield pa.record_batch({"token": pa.array(values[order][some]), "vertex": batch["vertex"].take(pa.array(owner[some])),
+                                   "common": pa.array(mean[owner[some]])})
+    return sets.mapInArrow(compute, "token long, vertex long, common double")
+
+
+def _apart(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(token, vertex, label, m, hub) of prefix shingles with m vertices that don't all have the same of labels (vertex, label),
+    which only those in some link have; hub is the vertex with the most common shingles."""
+    rows = prefixes.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+    groups = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.max_by("vertex", F.struct("common", "vertex")).alias("hub"),
+                                       F.min("label").alias("low"), F.max("label").alias("high"))
+    return stored(rows.join(groups.where("low <> high").select("token", "m", "hub"), "token"), "apart")
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (vertex, label) after links (a, b) have tied some of them together."""
+    ends = links
+    for end in ("a", "b"):
+        named = labels.select(F.col("vertex").alias(end), F.col("label").alias("label_" + end))
+        ends = ends.join(named, end, "left").withColumn("label_" + end, F.coalesce("label_" + end, end))
+    tied = stored(components(ends, "label_a", "label_b"), "tied")
+    old = labels.join(tied.withColumnRenamed("id", "label"), "label", "left").select(
+        "vertex", F.coalesce("component", "label").alias("label"))
+    new = tied.join(labels, tied["id"] == labels["vertex"], "left_anti").select(
+        F.col("id").alias("vertex"), F.col("component").alias("label"))
+    return stored(old.unionAll(new), "labels")
+
+
+def _around_hubs(apart: DataFrame) -> DataFrame:
+    """(node, vertex): the vertices of large groups in blocks, each with the group's hub."""
+    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.col("m") / BLOCK))).cast("long")
+    node = F.xxhash64("hub", F.pmod(F.xxhash64("vertex"), blocks))
+    rows = apart.where(F.col("m") > NODE).select(node.alias("node"), "vertex", "hub")
+    return rows.select("node", "vertex").unionAll(rows.select("node", F.col("hub").alias("vertex"))).distinct()
+
+
+def _across(apart: DataFrame) -> DataFrame:
+    """(node, vertex) so that any two vertices of a group that are not connected yet share a node of about NODE members.
+
+    The largest connected part of a large group meets the others in pairs of blocks, but not itself.
+    """
+    parts = apart.where(F.col("m") > NODE).groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    largest = parts.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("c"))
+    size = BLOCK * 0.75
+    rows = apart.join(largest, "token").withColumns({
+        "inner": F.ceil(F.col("c") / size).cast("long"), "outer": F.ceil((F.col("m") - F.col("c")) / size).cast("long")})
+    hashed = F.xxhash64("vertex")
+    inner, outer = F.pmod(hashed, "inner"), F.pmod(hashed, "outer")
+    every_inner, every_outer = (F.sequence(F.lit(0).cast("long"), F.col(c) - 1) for c in ("inner", "outer"))
+    nodes = F.when(F.col("label") == F.col("main"), F.transform(every_outer, lambda o: F.xxhash64("token", F.lit(0), o, inner))).otherwise(
+        F.concat(F.transform(every_inner, lambda i: F.xxhash64("token", F.lit(0), outer, i)),
+                 F.transform(every_outer, lambda o: F.xxhash64("token", F.lit(1), F.least(o, outer), F.greatest(o, outer)))))
+    small = apart.where(F.col("m") <= NODE).select(F.col("token").alias("node"), "vertex")
+    return small.unionAll(rows.select(F.explode(nodes).alias("node"), "vertex"))
+
+
+def _joined_exactly(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """labels (vertex, label) of connected vertices after all vertices of (vertex, set) that are linked on their sets have been
+    tied together."""
+    prefixes = stored(_prefixes(sets, percent), "prefixes")
+    apart = _apart(prefixes, labels)
+    if _across(apart).count() > HUBS * sets.count():  # most of a large group is connected by one comparison of each vertex
+        hubs = stored(_verified(_around_hubs(apart).join(sets, "vertex").select("node", "vertex", "set"), percent), "hubs")
+        labels = _relabelled(labels, hubs)
+        apart = _apart(prefixes, labels)
+    if apart.isEmpty():
+        return labels
+    rest = stored(_verified(_across(apart).join(sets, "vertex").select("node", "vertex", "set"), percent), "rest")
+    return labels if rest.isEmpty() else _relabelled(labels, rest)
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs, linked where 100 * common >= percent * union.
@@ -235,20 +360,28 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
                                                    F.first("sketch").alias("sketch")), "vertices")
     # Different sets of this size or less are never linked: one shingle more or less is too much.
     least = math.ceil(percent / (100 - percent))
-    clusters = stored(components(_looks_alike(vertices.where(F.col("n") >= least), percent / 100))
+    found, unsure = _looks_alike(vertices.where(F.col("n") >= least), percent / 100)
+    clusters = stored(components(found)
                       .select(F.col("id").alias("vertex"), F.col("component").alias("cluster")), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCKED)
     huge = stored(clusters.join(sizes, "cluster", "left_semi"), "huge")
     met = _meetings(clusters)
     if not huge.isEmpty():
         met = met.unionAll(_deep_nodes(vertices, huge))
-    # One text for each vertex of a cluster; its set is computed where it is needed instead of being kept for all.
-    wanted = clusters.select("vertex").join(vertices.select("vertex", "id"), "vertex")
-    wanted = F.broadcast(wanted) if clusters.count() <= BROADCAST_ROWS else wanted
-    texts = _numbered(docs, id_col, text_col).join(wanted, "id").select(F.col("id"), "text")
-    sets = _named_sets(texts, width)
-    verified = _verified(met.join(sets, "vertex").select("node", "vertex", "set"), percent)
-    same = components(verified).select(F.col("id").alias("vertex"), F.col("component").alias("group"))
+
+    def sets_of(names: DataFrame) -> DataFrame:
+        # One text for each vertex; its set is computed where it is needed instead of being kept for all.
+        wanted = names.join(vertices.select("vertex", "id"), "vertex")
+        wanted = F.broadcast(wanted) if names.count() <= BROADCAST_ROWS else wanted
+        texts = _numbered(docs, id_col, text_col).join(wanted, "id").select(F.col("id"), "text")
+        return _named_sets(texts, width)
+
+    verified = _verified(met.join(sets_of(clusters.select("vertex")), "vertex").select("node", "vertex", "set"), percent)
+    same = components(verified).select(F.col("id").alias("vertex"), F.col("component").alias("label"))
+    exactly = stored(huge.select("vertex").unionAll(unsure).distinct(), "exactly")
+    if not exactly.isEmpty():
+        same = _joined_exactly(sets_of(exactly).join(exactly, "vertex", "left_semi"), stored(same, "labels"), percent)
+    same = same.withColumnRenamed("label", "group")
     placed = vertices.select("vertex", "id").join(same, "vertex", "left")
     group = F.coalesce("group", "vertex")
     whole = placed.groupBy(group.alias("group")).agg(F.min("id").alias("component_id"))
