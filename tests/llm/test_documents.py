@@ -104,6 +104,21 @@ def test_near_groups_of_a_star(spark, prose, monkeypatch):
     assert {r.doc_id: r.component_id for r in chosen_path.near_groups(docs, 3, 85).collect()} == want
 
 
+def test_near_groups_where_trees_part_pairs(spark, prose, monkeypatch):
+    """Pairs at the threshold are found where the trees' nodes are split often, or the trees are few, for the recall."""
+    rng, shared = random.Random(4), prose(200)
+    rows = []
+    for i in range(150):
+        own = f"{shared} {prose(130)}"
+        rows += [(2 * i, own), (2 * i + 1, changed(own, rng, 8))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_groups(rows, 3, 85)
+    assert len(set(want.values())) == 150
+    monkeypatch.setattr(chosen_path, "NODE", 4)
+    monkeypatch.setattr(chosen_path, "TREES", 1)
+    assert {r.doc_id: r.component_id for r in chosen_path.near_groups(docs, 3, 85).collect()} == want
+
+
 def test_keep_one_keeps_columns(odd_docs, no_docs):
     kept = chosen_path.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
