@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -150,6 +151,12 @@ def test_passages(odd_docs, no_docs, spark):
     assert all(left[i].text == same[i] for i in (1, 3, 4, 5, 6, 7, 11, 12, 13))
 
 
+def test_passages_need_two_hash_functions():
+    """At the threshold of 0.8, at most 0.2 % of the passages agree on too few of the hash functions."""
+    n, agree = compact_windows.HASHES, compact_windows.AGREE
+    assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(agree)) < 0.002
+
+
 def test_every_exact_passage_is_found(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: words(r.text) for r in docs.collect()}
