@@ -26,6 +26,16 @@ def test_main_text(spark):
     assert tag_paths.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_inside_named_elements():
+    """Names that hold a page part's name, and named elements around the main text, take no text away."""
+    text = "The tide came in before noon, and the boats were late. Nobody on the quay had seen them leave, or return."
+    for page in (f'<div id="page" class="has-sidebar"><p>{text}</p></div>', f'<form action="/"><div><p>{text}</p></div></form>',
+                 f'<section class="search-results"><p>{text}</p></section>', f'<div><p class="form-note">{text}</p></div>',
+                 f'<div class="sidebar"><article><p>{text}</p></article></div>', f'<div class="page-with-header"><p>{text}</p></div>',
+                 f'<div class="content"><p>{text}</p></div><div class="ad"><p>Buy now, today.</p></div>'):
+        assert tag_paths.main_text(f"<html><body>{page}</body></html>") == text
+
+
 def test_conversations_read_back(spark):
     hard = "\\### Assistant: </turn> ok \\s\\h\\t\\\\ ####</turn></turn>\n"
     rows = [(1, 0, "user", hard), (1, 1, "assistant", hard), (1, 1, "assistant", hard), (1, None, None, None), (2, 5, "odd: role\n###", "x"),

@@ -2,8 +2,8 @@
 
 Every text block has the path of tags from the root to it. Over a page, text length and punctuation are averaged per path,
 smoothed along the page, and fused; paths whose fused ratio passes a threshold are content. Blocks that stand in the same
-container as content (a headline, a short list) belong to it. Elements that are never main text by their tag, role or class
-do not take part. A page is parsed and judged on its own, so nothing is shuffled.
+container as content (a headline, a short list) belong to it. Elements that are never main text by their tag or role do not
+take part; neither do forms and elements named as page parts, unless they hold the main element or most of the page's text. A page is parsed and judged on its own, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ MAIN_WEIGHT = 8.0  # of paths through an element that says it is the main text
 
 # Names of the markup language and of common page parts.
 _RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "math", "object", "canvas", "audio", "video"}
-_ASIDE = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "label", "fieldset"}
+_ASIDE = {"head", "nav", "header", "footer", "aside", "button", "select", "menu", "dialog", "label"}
+_FORM = {"form", "fieldset"}
 _MAIN = {"article", "main"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd",
@@ -56,34 +57,52 @@ def _is_aside(tag: str, attributes: str) -> bool:
         return True
     if re.search(r"display\s*:\s*none", found.get("style", "")) or found.get("role", "").lower() in _ASIDE_ROLES:
         return True
-    words = re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower())
-    return tag not in ("html", "body", "article", "main") and not _ASIDE_CLASSES.isdisjoint(words)
+    return False
+
+
+def _is_named_aside(tag: str, attributes: str) -> bool:
+    """Whether an element is a form or has a whole class name or id of a page part, and may still hold the main text."""
+    if tag in _FORM:
+        return True
+    if not attributes.strip() or tag in ("html", "body", "article", "main"):
+        return False
+    found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
+    return not _ASIDE_CLASSES.isdisjoint(f"{found.get('class', '')} {found.get('id', '')}".lower().split())
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     """(tag path, text) of each block that may be main text, in page order. Broken markup is read as far as it goes."""
     path: list[str] = []
     asides: list[int] = []  # depths at which elements that don't take part began
+    named: list[tuple[int, int]] = []  # depths and numbers of open elements that may not take part
+    holds_main: set[int] = set()
+    numbers = 0
     found: list[tuple[tuple[str, ...], str]] = []
+    within: list[tuple[int, ...]] = []  # numbers of such elements around each block
     pieces: list[str] = []
     at: tuple[str, ...] = ()
+    inside: tuple[int, ...] = ()
 
     def flush() -> None:
         text = " ".join("".join(pieces).split())
         if text:
             found.append((at, text))
+            within.append(inside)
         pieces.clear()
 
     def close(depth: int) -> None:
         del path[depth:]
         while asides and asides[-1] >= depth:
             asides.pop()
+        while named and named[-1][0] >= depth:
+            named.pop()
 
     def add(raw: str) -> None:
-        nonlocal at
+        nonlocal at, inside
         if raw and not asides:
             if not pieces:
                 at = tuple(t for t in path if t not in _INLINE)
+                inside = tuple(n for _, n in named)
             pieces.append(html.unescape(raw))
 
     begin, end = 0, len(page)
@@ -122,11 +141,23 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             if tag in ("body", "article", "main") and "head" in path:
                 close(path.index("head"))
             if not attributes.rstrip().endswith("/"):
-                if _is_aside(tag, attributes):
+                part = _is_named_aside(tag, attributes)
+                if _is_aside(tag, attributes) or part and tag in _INLINE:
                     asides.append(len(path))
+                elif part:
+                    named.append((len(path), numbers))
+                    numbers += 1
+                if tag in _MAIN and not asides:
+                    holds_main.update(n for _, n in named)
                 path.append(tag)
     flush()
-    return found
+    length: dict[int, int] = defaultdict(int)
+    for (_, text), around in zip(found, within, strict=True):
+        for n in around:
+            length[n] += len(text)
+    total = sum(len(text) for _, text in found)
+    out = {n for n, size in length.items() if n not in holds_main and 2 * size <= total}
+    return [block for block, around in zip(found, within, strict=True) if out.isdisjoint(around)]
 
 
 def content(found: list[tuple[tuple[str, ...], str]]) -> list[bool]:
