@@ -322,6 +322,19 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(marginal, want) and np.allclose(both, pairs) and log_sum == pytest.approx(total)
 
 
+def test_toxicity_fit_counts_every_segment(spark, prose, monkeypatch):
+    """The fit sees as many significant passages of a long text as scoring does."""
+    own = [prose(60) for _ in range(200)]
+    rows = [(i, t if i % 2 else f"{t} {'vile ' * 5}" * 100) for i, t in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = toxicity.logistic
+    monkeypatch.setattr(toxicity, "logistic", lambda x, y: seen.append(x) or fit(x, y))
+    toxicity.train(docs, labels)
+    assert seen[0][:, 1].max() == pytest.approx(np.log1p(100))
+
+
 def test_toxicity(spark, odd_docs, no_docs):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     assert held_out_accuracy(toxicity.toxicity(docs, labels), labels, "toxic") > 0.96

@@ -139,19 +139,25 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
             yield pa.record_batch({"id": batch["id"], "label": batch["label"], "n": pa.array(n), "found": pa.array(
                 [[s[2] for s in segments] for segments in found], pa.list_(pa.float64()))})
 
-    kept = rows.mapInArrow(best, "id long, label int, n long, found array<double>").select(
-        "id", "label", "n", F.sort_array("found", asc=False).alias("found"))
-    # of the scores only the best and as many as could be significant matter for the fit; the count is what grows with a text
-    kept = sorted(kept.select("id", "label", "n", F.slice("found", 1, 64).alias("found")).collect())
+    scored = stored(rows.mapInArrow(best, "id long, label int, n long, found array<double>"), "segments")
+    kept = scored.select("label", "n", F.array_max("found").alias("top")).collect()
     n = np.array([r["n"] for r in kept], dtype=float)
     label = np.array([r["label"] for r in kept], dtype=float)
-    top = np.array([r["found"][0] if r["found"] else 0.0 for r in kept])
+    top = np.array([0.0 if r["top"] is None else r["top"] for r in kept])
     clean = (label == 0) & (n > 0)
     rate = float(clean.sum() / (n[clean] * np.exp(-decay * top[clean])).sum()) if clean.any() else 1.0
     prior = float(label.mean()) if len(label) else 0.5
     model = Model(tokens, odds, decay, rate, np.zeros(3), prior)
-    evidence = model.evidence(n, [[(0, 0, s) for s in r["found"]] for r in kept])
-    return Model(tokens, odds, decay, rate, logistic(evidence, label), prior)
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[(0, 0, s) for s in scores] for scores in batch["found"].to_pylist()]
+            both = model.evidence(batch["n"].to_numpy().astype(float), found).reshape(-1, 2)
+            yield pa.record_batch({"id": batch["id"], "label": batch["label"], "best": pa.array(both[:, 0]), "count": pa.array(both[:, 1])})
+
+    seen = sorted(scored.mapInArrow(evidence, "id long, label int, best double, count double").collect())
+    both = np.array([r[2:] for r in seen], dtype=float).reshape(-1, 2)
+    return Model(tokens, odds, decay, rate, logistic(both, np.array([r["label"] for r in seen], dtype=float)), prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
