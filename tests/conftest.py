@@ -7,6 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from oracle import SF  # noqa: E402
 from tidewatch.session import build_session  # noqa: E402
 
 
@@ -21,9 +22,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-SF = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def domain(spark):
     from tidewatch.plans.views import Domain

@@ -14,6 +14,8 @@ from pyspark.sql import SparkSession
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
+#: The tables that tests run on.
+SF = "/root/testdata/sf0.001"
 
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:

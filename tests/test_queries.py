@@ -5,11 +5,9 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from oracle import compare, connect
+from oracle import SF, compare, connect
 from tidewatch.plans.registry import QUERIES
 
-from conftest import SF
-
 
 @pytest.fixture(scope="module")
 def con():
