@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tidewatch.llm.bpe import decode, encode, read_ranks
-from tidewatch.llm import compact_windows, crf, curriculum, piecewise, reply_trees, tag_paths, toxicity, voronoi
+from tidewatch.llm import (compact_windows, crf, curriculum, piecewise, prefix_trie, reply_trees, rule_cascade, spelling, tag_paths,
+                           toxicity, voronoi)
 from tidewatch.llm.chosen_path import near_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +186,126 @@ SELECT query_id, rank, vec_id, score FROM (
 def op3_voronoi_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 vectors of highest inner product to every vector whose id is divisible by 20."""
     return voronoi.top_k(table(spark, folder, "embeddings"))
+
+
+#: The table of the polynomial of crc32.
+CRC_TABLE_SQL = """crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def crc_sql(data: str) -> str:
+    """SQL for the unsigned crc32 of a list of bytes, beside the one row of crc_table."""
+    return (f"xor(list_reduce([4294967295::BIGINT] || {data}, "
+            "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+TRIE_SQL = rf"""
+WITH {CRC_TABLE_SQL},
+turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x) AS p, r, x
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+  SELECT c, c - c % 100 AS base, {crc_sql("list_transform(string_split(c::VARCHAR, ''), lambda d: ord(d)::BIGINT)")} % 6 AS h
+  FROM (SELECT DISTINCT c FROM turns), crc_table),
+placed AS (
+  SELECT v.c, 0 AS part, t.p, t.r, t.x FROM convs v JOIN turns t ON t.c = v.base AND t.p <= v.h
+  UNION ALL SELECT v.c, 1, t.p, t.r, t.x FROM convs v JOIN turns t ON t.c = v.c AND t.p > v.h),
+numbered AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, p) AS d, r, x FROM placed),
+paths AS (
+  SELECT c, 0 AS d, '' AS k, 0 AS chars FROM convs
+  UNION ALL SELECT c, d, sha256(to_json(list({{'r': r, 'x': x}}) OVER up)::VARCHAR), length(x) FROM numbered
+    WINDOW up AS (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)),
+nodes AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM paths GROUP BY d, k),
+linked AS (  -- each node with its parent, on the path of its least conversation
+  SELECT n.*, q.k AS parent FROM nodes n LEFT JOIN paths q ON q.c = n.conv_id AND q.d = n.d - 1),
+fans AS (SELECT d - 1 AS d, parent AS k, count(*) AS n FROM linked WHERE d > 0 GROUP BY 1, 2),
+own AS (SELECT l.*, coalesce(f.n, 0) AS n_children FROM linked l LEFT JOIN fans f USING (d, k)),
+sums AS (
+  SELECT q.d, q.k, count(*) FILTER (o.n_children = 0) AS n_leaves, sum((o.n_convs - 1) * o.chars)::BIGINT AS saved_tokens
+  FROM own o JOIN paths q ON q.c = o.conv_id AND q.d <= o.d GROUP BY 1, 2),
+ends AS (
+  SELECT d, k, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS s
+  FROM (SELECT c, d, k FROM paths QUALIFY d = max(d) OVER (PARTITION BY c)) GROUP BY 1, 2)
+SELECT o.conv_id, o.d::BIGINT AS depth, a.conv_id AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves, s.saved_tokens,
+  coalesce(e.s, sha256('')) AS ends_sha256
+FROM own o JOIN sums s USING (d, k) LEFT JOIN ends e USING (d, k) LEFT JOIN nodes a ON a.d = o.d - 1 AND a.k = o.parent
+"""
+
+
+@query(TRIE_SQL)
+def op11_band_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every prefix that rebuilt conversations share, with what it saves."""
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
+RULES_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM texts),
+often AS (SELECT r, max(n) AS most FROM (SELECT r, x, count(*) AS n FROM words GROUP BY 1, 2) GROUP BY 1),
+triples AS (SELECT *, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i FROM triples WHERE z IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, x, y, z) > 1),
+again AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS s(k) GROUP BY r),
+counted AS (
+  SELECT doc_id, t, w, l, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(most, 0) AS most
+  FROM texts LEFT JOIN again USING (r) LEFT JOIN often USING (r)),
+based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (
+  base_failed OR 10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR 100 * n_dup_lines > 30 * len(l)
+  OR 2 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > length(regexp_replace(t, '[^A-Za-z]', '', 'g'))
+  OR 100 * len(list_filter(w, lambda x: NOT regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) > 20 * n_words OR 100 * most > 20 * n_words
+  OR 100 * len(list_filter(l, lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) > 90 * len(l)
+  OR 100 * len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) > 30 * len(l)) AS kept
+FROM based
+"""
+
+
+@query(RULES_SQL)
+def op12_rule_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    """Counters of every whole text, and whether it passes all quality rules."""
+    return rule_cascade.judged(table(spark, folder, "documents"))
+
+
+SPELLING_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY 1, 2),
+hashed AS (
+  SELECT run, n, {crc_sql('''flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, (unicode(c) - 64)::BIGINT] END))''')} AS h
+  FROM runs, crc_table),
+typed AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+  FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM typed WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+cuts AS (SELECT word, n, unnest(range(0, length(word) + 1)) AS i FROM words),
+gaps AS (SELECT word, n, left(word, i::INT) AS a, substr(word, i::INT + 1) AS z FROM cuts),
+outs AS (SELECT word, n, left(word, i::INT) AS a, substr(word, i::INT + 2) AS z FROM cuts WHERE i < length(word)),
+links AS (
+  SELECT x.word, y.word AS other, y.n AS m FROM outs x JOIN outs y USING (a, z) WHERE x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM gaps x JOIN outs y USING (a, z)
+  UNION SELECT y.word, x.word, x.n FROM gaps x JOIN outs y USING (a, z)),
+best AS (
+  SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, encode(other))) AS other FROM links GROUP BY 1),
+named AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN other END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+chain AS (
+  SELECT word, word AS root, form AS next FROM named
+  UNION ALL SELECT c.word, n.word, n.form FROM chain c JOIN named n ON n.word = c.next)
+SELECT word, form, root, n, n_near, form_n FROM named JOIN (SELECT word, root FROM chain WHERE next IS NULL) USING (word)
+"""
+
+
+@query(SPELLING_SQL)
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words at one code point from each other, and the frequent form of each."""
+    return spelling.variants(table(spark, folder, "documents"))
