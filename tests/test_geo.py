@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,55 @@ def test_spatial_join_against_all_pairs(spark, broadcast, monkeypatch):
     assert sorted((r.area_id, r.device_id) for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("many_edges", [0, 2, 256])
+def test_edges_in_rows_or_lists_give_the_same(spark, many_edges):
+    """Also flat, slanted and degenerate outlines, null corners, points on corners and repeated devices."""
+    rng = random.Random(9)
+    areas = [(0, "flat", 0, [[1.0, 5.0], [2.0, 5.0], [3.0, 5.0]]), (1, "hole", 0, [[0.0, 0.0], [None, 4.0], [8.0, 8.0], [8.0, 0.0]]),
+             (2, "comb", 1, [[float(10 * (i % 2)), float(i) / 7] for i in range(60)]), (3, "point", 2, [[3.0, 3.0]])]
+    for i in range(4, 20):
+        lat, lng, size = rng.uniform(-9, 9), rng.uniform(-9, 9), 10 ** rng.uniform(-3, 1)
+        areas.append((i, f"a{i}", i % 3, [[lat + rng.uniform(-size, size), lng + rng.uniform(-size, size)] for _ in range(rng.randrange(3, 40))]))
+    points = [(i, f"d{i % 180}", "t", "ACTIVE", False, rng.uniform(-10, 10), rng.uniform(-10, 10)) for i in range(200)]
+    points += [(500 + i, f"c{i}", "t", "ACTIVE", False, *p) for i, p in enumerate(areas[2][3] + areas[5][3])]
+    points += points[:20]
+
+    def has(p, polygon):
+        hit, corners = False, [[c for c in axis if c is not None] for axis in zip(*polygon, strict=True)]
+        if not all(min(c) <= at <= max(c) for c, at in zip(corners, p[5:7], strict=True)):
+            return False  # an outline with a null corner is open
+        for i, (lat_i, lng_i) in enumerate(polygon):
+            lat_j, lng_j = polygon[i - 1]
+            if None in (lat_i, lng_i, lat_j, lng_j):
+                continue
+            hit ^= (lng_i > p[6]) != (lng_j > p[6]) and p[5] < (lat_j - lat_i) * (p[6] - lng_i) / (lng_j - lng_i) + lat_i
+        return hit
+    got = geo.spatial_join(spark.createDataFrame(points, DEVICE), spark.createDataFrame(areas, AREA), many_edges)
+    want = sorted((a[0], p[1]) for a in areas for p in points if has(p, a[3]))
+    assert sorted((r.area_id, r.device_id) for r in got.collect()) == want
+
+
+def test_an_area_of_100000_edges(spark):
+    """Against ray casting with numpy; the plan after the edges' table holds no list of edges."""
+    n = 100_000
+    angle = np.arange(n) * (2 * np.pi / n)
+    radius = 3 + np.random.default_rng(1).uniform(-1, 1, n)
+    lat, lng = 40 + radius * np.cos(angle), 10 + radius * np.sin(angle)
+    where = np.random.default_rng(2).uniform((36, 6), (44, 14), (1500, 2))
+    last_lat, last_lng = np.roll(lat, 1), np.roll(lng, 1)
+    want = []
+    for i, (y, x) in enumerate(where):
+        spans = (lng > x) != (last_lng > x)
+        want += [f"d{i}"] * (np.sum(y < (last_lat - lat)[spans] * (x - lng[spans]) / (last_lng - lng)[spans] + lat[spans]) % 2)
+    devices = spark.createDataFrame([(i, f"d{i}", "t", "ACTIVE", False, float(y), float(x)) for i, (y, x) in enumerate(where)], DEVICE)
+    areas = spark.createDataFrame([(1, "coast", 0, np.stack((lat, lng), 1).tolist()), (2, "square", 0, SQUARE)], AREA)
+    got = geo.spatial_join(devices, areas)
+    assert sorted(r.device_id for r in got.collect()) == sorted(want) and len(want) > 300
+    joined = geo._inside_detailed(devices.select("device_id", "latitude", "longitude"), areas.where("id = 1").withColumnsRenamed(
+        {"id": "area_id", "name": "area_name"}))
+    assert "array<struct" not in str([t for _, t in joined.dtypes])
+
+
 def small_map(spark):
     devices = spark.createDataFrame(
         [(1, "d1", "t", "ACTIVE", False, 5.0, 5.0), (2, "d2", "t", "OFFLINE", False, 6.0, 6.0),

@@ -56,6 +56,25 @@ def test_day_filter_prunes_partitions(spark, capsys):
     assert "PartitionFilters: []" not in text and "TakeOrderedAndProject" in text
 
 
+def test_newest_reads_the_last_days_only(spark):
+    """Thirty days of 40 records, of which the newest 60 lie in two; a day without devices counts for nothing."""
+    path = scratch_dir(spark, "lake")
+    every = spark.range(1200).select(
+        F.concat(F.lit("d"), F.col("id") % 3).alias("deviceId"), F.col("id").alias("eventId"), F.lit("x").alias("timestamp"),
+        F.expr("timestamp'2026-01-01' + make_dt_interval(cast(id div 40 as int), 0, cast(id % 40 as int))").alias("arrival_timestamp"))
+    lake.append_lake(every, path)
+    newest = lake.read_newest(spark, path, 60)
+    assert [r.eventId for r in newest.collect()] == list(range(1199, 1139, -1))
+    read = {part for f in newest.inputFiles() for part in f.split("/") if part.startswith("day=")}
+    assert read == {"day=2026-01-28", "day=2026-01-29", "day=2026-01-30"}  # in rounds of one and two days
+    assert lake.read_newest(spark, path, 40).inputFiles()[0].count("day=2026-01-30") == 1
+    assert lake.read_newest(spark, path, 5000).count() == 1200
+    lake.append_lake(every.limit(50).drop("deviceId").withColumn("arrival_timestamp", F.lit(dt.datetime(2026, 2, 1))), path)
+    lake.append_lake(every.limit(3).withColumn("arrival_timestamp", F.lit(None).cast("timestamp")), path)
+    assert [r.eventId for r in lake.read_newest(spark, path, 60).collect()] == list(range(1199, 1139, -1))
+    assert lake.read_newest(spark, path, 1203).where("arrival_timestamp is null").count() == 3
+
+
 def test_arrival_is_stamped_when_missing(spark):
     df = lake.with_arrival(nested(spark, 1).drop("arrival_timestamp"), F.lit(dt.datetime(2026, 3, 4)))
     r = df.first()

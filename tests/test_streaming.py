@@ -6,14 +6,16 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tidewatch.operators import analytics, iforest, processing, scoring, training
+from tidewatch.operators import analytics, iforest, lookup, processing, scoring, training
 from tidewatch.operators.features import rolling_features
-from tidewatch.session import scratch_dir
+from tidewatch.session import names_in, scratch_dir
 from tidewatch.sources.kafka import SourceConfig, read_stream, to_json_value, write_stream
 from tidewatch.sources.lake import read_lake
-from tidewatch.streaming import jobs, tails
+from tidewatch.streaming import heavy, jobs, tails
+from tidewatch.streaming.isolate import TooManyFailures, isolating
 
 EVENT = "device_id string, event_id bigint, ts timestamp, temperature double, humidity double, vibration double"
 T0 = dt.datetime(2026, 1, 1)
@@ -149,6 +151,74 @@ def test_bad_rows_do_not_hold_up_others(spark):
     assert got == {1: ("false", None), 2: ("true", "malformed"), 3: ("true", "malformed"), 4: ("true", "unknown_device")}
 
 
+def test_failing_rows_stand_alone(spark):
+    """Three rows of 10,000, one of them twice, raise in the features; a replay gives the same."""
+    out = scratch_dir(spark, "out")
+    frame = spark.range(10_000).select("id", F.when(F.col("id").isin(17, 4000, 9999), "x").otherwise(F.col("id").cast("string")).alias("v"))
+    frame = frame.unionByName(frame.where("id = 17")).withColumn("place", F.lit("kept")).withColumn("m", F.create_map(F.lit("a"), F.col("id")))
+    sink = isolating(lambda rows: rows.select("id", "place", F.col("v").cast("double").alias("v")), f"{out}/ok", f"{out}/dead")
+    for _ in range(2):
+        sink(frame, 0)
+    assert spark.read.parquet(f"{out}/ok").agg(F.count("v"), F.count_distinct("id")).first()[:] == (9997, 9997)
+    dead = spark.read.parquet(f"{out}/dead").collect()
+    assert sorted(r.row.id for r in dead) == [17, 17, 4000, 9999]
+    assert all("CAST_INVALID_INPUT" in r.error and r.row.place == "kept" for r in dead)
+    sink(frame.where("v <> 'x'"), 0)  # the input was mended
+    assert names_in(spark, f"{out}/dead") == [] and spark.read.parquet(f"{out}/ok").count() == 9997
+
+
+def test_faults_of_all_rows_are_not_dead_letters(spark):
+    out = scratch_dir(spark, "out")
+    frame = spark.range(200).select("id")
+    broken = isolating(lambda rows: rows.select(F.raise_error(F.lit("store is down")).alias("x")), f"{out}/ok", f"{out}/dead", most=3)
+    with pytest.raises(TooManyFailures, match="store is down"):
+        broken(frame, 0)
+    with pytest.raises(AnalysisException):
+        isolating(lambda rows: rows.select("absent"), f"{out}/ok", f"{out}/dead")(frame, 0)
+    assert names_in(spark, f"{out}/dead") == []
+    only = isolating(lambda rows: rows.select(F.raise_error(F.lit("bad")).alias("x")), f"{out}/ok", f"{out}/dead")
+    only(frame.limit(1), 1)
+    assert spark.read.parquet(f"{out}/dead").count() == 1 and names_in(spark, f"{out}/ok") == []
+
+
+def test_heavy_keys_are_carried(spark):
+    path, n = scratch_dir(spark, "heavy"), 0
+    keys = heavy.HeavyKeys(path, "device_id", counters=20)
+    for batch in range(4):
+        frame = spark.range(n, n + 3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, "warm").otherwise(
+            F.concat(F.lit("d"), F.col("id"))).alias("device_id")).unionByName(spark.createDataFrame([(None,)] * 5, "device_id string"))
+        for _ in range(2):  # a replay starts from the same note
+            assert keys.hot(spark, batch, 0.1) == (["hot"] if batch else [])
+            keys.add(frame, batch)
+        n += 3000
+    found = {r.key: r.n for r in heavy.summary(frame, "device_id", 20).collect()}
+    assert 1000 - 3000 // 20 <= found["hot"] <= 1000
+    for batch in range(4, 9):  # the hot device falls silent
+        keys.add(spark.range(3000).select(F.col("id").cast("string").alias("device_id")), batch)
+    assert keys.hot(spark, 9, 0.1) == []
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_stream_lookup_of_a_hot_device(spark, how):
+    """A registry beyond the broadcast limit: a third of the events are of one device, and no task gets them all."""
+    feed, out = Feed(spark), scratch_dir(spark, "out")
+    feed.add([*events(300), *[(None, 1000 + i, T0, 1.0, 1.0, 1.0) for i in range(30)], ("ghost", 2000, T0, 1.0, 1.0, 1.0)])
+    table = spark.createDataFrame([(d, f"t{i}") for d in ("hot", "d0", "d1") for i in range(2)] + [("unused", "t")], "device_id string, type string")
+    want = rows(feed.all().join(table, "device_id", how), *feed.all().join(table, "device_id", how).columns)
+    for hot in (None, ["hot"], []):
+        path = scratch_dir(spark, "joined")
+        joined = lookup.lookup_join(feed.stream(), table, "device_id", how, broadcast_bytes=-1, hot=hot)
+        jobs.start(joined, scratch_dir(spark, "cp"), path=path, trigger_seconds=None).awaitTermination()
+        assert rows(spark.read.schema(joined.schema).parquet(path), *joined.columns) == want
+    spread = lookup._salted(feed.all(), table, "device_id", "inner", ["hot"], 16).where("device_id = 'hot'")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    per_task = [r["count"] for r in spread.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(per_task) >= 4 and max(per_task) < 0.6 * sum(per_task)
+
+
 def test_rule_change_without_restart(spark):
     feed, out, checkpoint = Feed(spark), scratch_dir(spark, "out"), scratch_dir(spark, "cp")
     devices = spark.createDataFrame([("hot", "probe")], "device_id string, type string")

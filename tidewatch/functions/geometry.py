@@ -33,13 +33,16 @@ def edges(polygon: Column) -> Column:
         F.get(F.get(polygon, F.pmod(i - 1, F.size(polygon))), F.lit(1)).alias("lng_j")))
 
 
+def crosses(lat: Column, lng: Column, edge: Column) -> Column:
+    """Whether the ray from a point towards greater latitudes crosses an edge; the boundary is half open."""
+    spans = (edge["lng_i"] > lng) != (edge["lng_j"] > lng)
+    at = F.try_divide((edge["lat_j"] - edge["lat_i"]) * (lng - edge["lng_i"]), edge["lng_j"] - edge["lng_i"]) + edge["lat_i"]
+    return spans & (lat < at)
+
+
 def inside(lat: Column, lng: Column, polygon_edges: Column) -> Column:
-    """Ray casting with a half-open boundary: an odd number of edges is crossed."""
-    def crosses(e: Column) -> Column:
-        spans = (e["lng_i"] > lng) != (e["lng_j"] > lng)
-        at = F.try_divide((e["lat_j"] - e["lat_i"]) * (lng - e["lng_i"]), e["lng_j"] - e["lng_i"]) + e["lat_i"]
-        return spans & (lat < at)
-    return F.size(F.filter(polygon_edges, crosses)) % 2 == 1
+    """Ray casting: an odd number of edges is crossed."""
+    return F.size(F.filter(polygon_edges, lambda e: crosses(lat, lng, e))) % 2 == 1
 
 
 def bounds(polygon: Column) -> Column:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.geometry import bounds, edges, inside, parse_polygon, polygon_valid
+from tidewatch.functions.geometry import bounds, crosses, edges, inside, parse_polygon, polygon_valid
 from tidewatch.functions.readings import has_gps, heat_intensity, marker_class
 from tidewatch.operators.lookup import lookup_join
 from tidewatch.operators.sizing import estimated_bytes, spread
 from tidewatch.session import stored
 
 _SMALLEST_LEVEL = -30  # cells of 2^-30 degrees for areas without extent
+_NARROWEST_BAND = 40  # halvings of an area's extent
+MANY_EDGES = 256  # an area with more has its edges in rows
 _CELLS_PER_AREA, _ROW_BYTES, _EDGE_BYTES = 4, 256, 64  # size of the cell table, for the broadcast check
 
 
@@ -77,39 +79,89 @@ def _cell(level: Column, lat: Column, lng: Column) -> Column:
     return F.struct(level.alias("level"), F.floor(lat / size).alias("i"), F.floor(lng / size).alias("j"))
 
 
-def spatial_join(devices: DataFrame, areas: DataFrame) -> DataFrame:
-    """Pairs of devices with GPS and the areas they lie in.
-
-    An equi-join on grid cells: each area uses the grid whose cell is at least as large as its
-    bounding box, so it covers at most four cells, and each device looks into its cell of every
-    grid in use. Only areas sharing a cell are tested exactly.
-    """
-    shapes = (areas.where(F.size("polygon") > 0)
-              .select(F.col("id").alias("area_id"), F.col("name").alias("area_name"), "created_at",
-                      edges(F.col("polygon")).alias("_edges"), bounds(F.col("polygon")).alias("_b")))
+def _covered(shapes: DataFrame, *columns: str) -> DataFrame:
+    """The cells, at most four, of each area's bounding box ``_b``, in the grid that fits its extent."""
     extent = F.greatest(F.col("_b.lat1") - F.col("_b.lat0"), F.col("_b.lng1") - F.col("_b.lng0"))
     level = F.greatest(F.ceil(F.log2(extent)).cast("int"), F.lit(_SMALLEST_LEVEL))
     shapes = shapes.withColumn("_level", F.coalesce(level, F.lit(_SMALLEST_LEVEL)))
     low = _cell(F.col("_level"), F.col("_b.lat0"), F.col("_b.lng0"))
     high = _cell(F.col("_level"), F.col("_b.lat1"), F.col("_b.lng1"))
-    covered = (shapes.withColumns({"_low": low, "_high": high})
-               .withColumn("_i", F.explode(F.sequence("_low.i", "_high.i")))
-               .withColumn("_j", F.explode(F.sequence("_low.j", "_high.j")))
-               .withColumn("_cell", F.struct(F.col("_level").alias("level"), F.col("_i").alias("i"),
-                                             F.col("_j").alias("j")))
-               .select("_cell", "area_id", "area_name", "created_at", "_edges", "_b"))
-    levels = shapes.agg(F.collect_set("_level").alias("l")).scalar()
-    shape_count, edge_count = shapes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_edges")), F.lit(0))).first()
-    covered_bytes = _CELLS_PER_AREA * (shape_count * _ROW_BYTES + edge_count * _EDGE_BYTES)
-    points = (spread(devices.where(has_gps(F.col("latitude"), F.col("longitude"))), "device_id")
-              .select("device_id", "latitude", "longitude", F.explode(levels).alias("_level"))
-              .withColumn("_cell", _cell(F.col("_level"), F.col("latitude"), F.col("longitude")))
-              .drop("_level"))
+    return (shapes.withColumns({"_low": low, "_high": high})
+            .withColumn("_i", F.explode(F.sequence("_low.i", "_high.i")))
+            .withColumn("_j", F.explode(F.sequence("_low.j", "_high.j")))
+            .withColumn("_cell", F.struct(F.col("_level").alias("level"), F.col("_i").alias("i"), F.col("_j").alias("j")))
+            .select("_cell", "_level", *columns, "_b"))
+
+
+def _boxed(points: DataFrame, covered: DataFrame, covered_bytes: int) -> DataFrame:
+    """Pairs of points and areas whose bounding box they lie in, by an equi-join on the cells of all grids in use."""
+    levels = covered.agg(F.collect_set("_level").alias("l")).scalar()
+    looking = (points.withColumn("_level", F.explode(levels))
+               .withColumn("_cell", _cell(F.col("_level"), F.col("latitude"), F.col("longitude"))).drop("_level"))
     in_box = (F.col("latitude").between(F.col("_b.lat0"), F.col("_b.lat1"))
               & F.col("longitude").between(F.col("_b.lng0"), F.col("_b.lng1")))
-    return (lookup_join(points, covered, "_cell", "inner", table_bytes=covered_bytes)
-            .where(in_box & inside(F.col("latitude"), F.col("longitude"), F.col("_edges")))
-            .select("area_id", "area_name", "created_at", "device_id", "latitude", "longitude"))
+    return lookup_join(looking, covered.drop("_level"), "_cell", "inner", table_bytes=covered_bytes).where(in_box).drop("_cell")
+
+
+def _inside_detailed(points: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Points in areas of very many edges, which are rows here and never a list.
+
+    An edge lies in bands of longitude about as wide as itself (level k halves the area's extent k times), two at most. A point
+    in the area's box looks into its band of every level that the area has edges in; it is inside if it crosses an odd number
+    of the edges it meets. A short edge is met by the few points of its band only.
+    """
+    shapes = stored(shapes, "outlines").withColumn("_b", bounds(F.col("polygon")))  # else the outline is made for each use
+    edge_rows = (shapes.select("area_id", "_b", F.explode(edges(F.col("polygon"))).alias("e"))
+                 .where(F.col("e.lng_i") != F.col("e.lng_j")))  # others are never crossed
+    low, high = F.least("e.lng_i", "e.lng_j"), F.greatest("e.lng_i", "e.lng_j")
+    width = F.col("_b.lng1") - F.col("_b.lng0")
+    level = F.least(F.floor(F.log2(F.try_divide(width, high - low))).cast("int"), F.lit(_NARROWEST_BAND))
+    edge_rows = edge_rows.withColumn("k", F.greatest(level, F.lit(0)))
+
+    def band(lng: Column) -> Column:
+        return F.floor((lng - F.col("_b.lng0")) / (width / F.pow(F.lit(2.0), F.col("k"))))
+
+    def slot(at: Column) -> Column:
+        return F.struct("area_id", "k", at.alias("band")).alias("_slot")
+
+    in_bands = stored(edge_rows.withColumn("_band", F.explode(F.sequence(band(low), band(high))))
+                      .select(slot(F.col("_band")), "e", "area_id", "k"), "edge-bands")
+    used = in_bands.groupBy("area_id").agg(F.collect_set("k").alias("_ks"))
+    covered = _covered(shapes.join(used, "area_id"), "area_id", "area_name", "created_at", "_ks")
+    # equal rows of the devices count once and come back as often
+    key = ["device_id", "latitude", "longitude"]
+    counted = points.groupBy(*key).agg(F.count(F.lit(1)).alias("_copies"))
+    boxed = _boxed(counted, covered, _CELLS_PER_AREA * _ROW_BYTES * shapes.count())
+    looking = boxed.withColumn("k", F.explode("_ks")).withColumn("_slot", slot(band(F.col("longitude"))))
+    looking = looking.select("_slot", *key, "_copies", F.col("area_id").alias("_area"), "area_name", "created_at")
+    met = lookup_join(looking, in_bands.select("_slot", "e"), "_slot", "inner").where(crosses(F.col("latitude"), F.col("longitude"), F.col("e")))
+    odd = met.groupBy(F.col("_area").alias("area_id"), "area_name", "created_at", *key).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_copies").alias("_copies")).where(F.col("_n") % 2 == 1)
+    return odd.select("area_id", "area_name", "created_at", *key, F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("col")
+
+
+def spatial_join(devices: DataFrame, areas: DataFrame, many_edges: int = MANY_EDGES) -> DataFrame:
+    """Pairs of devices with GPS and the areas they lie in.
+
+    An equi-join on grid cells: each area uses the grid whose cell is at least as large as its
+    bounding box, so it covers at most four cells, and each device looks into its cell of every
+    grid in use. Only areas sharing a cell are tested exactly: against the list of their edges, or, for areas of more than
+    ``many_edges``, against edges spread over bands.
+    """
+    named = areas.where(F.size("polygon") > 0).select(F.col("id").alias("area_id"), F.col("name").alias("area_name"), "created_at", "polygon")
+    points = spread(devices.where(has_gps(F.col("latitude"), F.col("longitude"))), "device_id").select("device_id", "latitude", "longitude")
+    few = named.where(F.size("polygon") <= many_edges)
+    shapes = few.select("area_id", "area_name", "created_at", edges(F.col("polygon")).alias("_edges"), bounds(F.col("polygon")).alias("_b"))
+    plain, listed, detailed = (F.col("n") <= many_edges, F.sum(F.when(F.col("n") <= many_edges, F.col("n"))), F.count_if(F.col("n") > many_edges))
+    shape_count, edge_count, many = named.select(F.size("polygon").alias("n")).agg(
+        F.count_if(plain), F.coalesce(listed, F.lit(0)), detailed).first()
+    covered_bytes = _CELLS_PER_AREA * (shape_count * _ROW_BYTES + edge_count * _EDGE_BYTES)
+    found = (_boxed(points, _covered(shapes, "area_id", "area_name", "created_at", "_edges"), covered_bytes)
+             .where(inside(F.col("latitude"), F.col("longitude"), F.col("_edges")))
+             .select("area_id", "area_name", "created_at", "device_id", "latitude", "longitude"))
+    if not many:
+        return found
+    return found.unionByName(_inside_detailed(points, named.where(F.size("polygon") > many_edges)))
 
 
 def with_polygon(areas: DataFrame, strict: bool = True) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +23,13 @@ def dedup(events: DataFrame, key: str = "event_id", order: tuple[str, ...] = ("a
     return once if processed is None else once.join(processed.select(key).distinct(), key, "left_anti")
 
 
-def enrich(events: DataFrame, devices: DataFrame) -> DataFrame:
+def enrich(events: DataFrame, devices: DataFrame, hot: Sequence[str] | None = None) -> DataFrame:
     """Put the registry's type on events of known devices; others are dropped.
 
-    A ``device_type`` the event brought along is overridden.
+    A ``device_type`` the event brought along is overridden. ``hot`` names devices with many events, where they are known.
     """
     registry = devices.select("device_id", F.col("type").alias("device_type"))
-    return lookup_join(events.drop("device_type"), registry, "device_id", "inner")
+    return lookup_join(events.drop("device_type"), registry, "device_id", "inner", hot=hot)
 
 
 def unknown_devices(events: DataFrame, devices: DataFrame) -> DataFrame:

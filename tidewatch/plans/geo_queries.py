@@ -38,6 +38,34 @@ def point_in_polygon_join(d: Domain) -> DataFrame:
     return d.located.select("area_id", "device_id")
 
 
+#: Corners of the outline around each nation, and the SQL of corner k; // is the division of whole numbers in DuckDB, div in Spark.
+_CORNERS = 2000
+
+
+def _corner(div: str) -> tuple[str, str]:
+    side, along = f"(k {div} {_CORNERS // 4})", f"(CAST(k % {_CORNERS // 4} AS double) / CAST({_CORNERS // 4} AS double))"
+    radius = "(CAST(1 AS double) + CAST((k * 37) % 101 AS double) / CAST(50 AS double))"
+    north = f"(CASE {side} WHEN 0 THEN 1 - {along} WHEN 1 THEN -{along} WHEN 2 THEN {along} - 1 ELSE {along} END)"
+    east = f"(CASE {side} WHEN 0 THEN {along} WHEN 1 THEN 1 - {along} WHEN 2 THEN -{along} ELSE {along} - 1 END)"
+    return (f"CAST(36 + n_nationkey % 8 AS double) + {radius} * {north}", f"CAST(n_nationkey % 5 - 6 AS double) + {radius} * {east}")
+
+
+@query(f"""SELECT * FROM (WITH corners AS (SELECT n_nationkey AS area_id, k, {_corner('//')[0]} AS lat, {_corner('//')[1]} AS lng
+  FROM nation, range({_CORNERS}) AS t(k)),
+sides AS (SELECT i.area_id, i.lat AS lat_i, i.lng AS lng_i, j.lat AS lat_j, j.lng AS lng_j
+  FROM corners i JOIN corners j ON i.area_id = j.area_id AND j.k = (i.k + {_CORNERS - 1}) % {_CORNERS})
+SELECT e.area_id, d.device_id FROM devices d JOIN sides e ON d.latitude IS NOT NULL AND (e.lng_i > d.longitude) <> (e.lng_j > d.longitude)
+  AND d.latitude < (e.lat_j - e.lat_i) * (d.longitude - e.lng_i) / (e.lng_j - e.lng_i) + e.lat_i
+GROUP BY 1, 2 HAVING count(*) % 2 = 1)""")
+def point_in_detailed_polygon(d: Domain) -> DataFrame:
+    """Devices inside outlines of 2,000 corners."""
+    lat, lng = (F.expr(f"transform(sequence(0, {_CORNERS - 1}), k -> {c})") for c in _corner("div"))
+    corners = F.transform(F.arrays_zip(lat.alias("lat"), lng.alias("lng")), lambda c: F.array(c["lat"], c["lng"]))
+    outlines = d.table("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit(0).alias("created_at"),
+                                        corners.alias("polygon"))
+    return geo.spatial_join(d.devices, outlines).select("area_id", "device_id")
+
+
 @query("""SELECT a.id AS area_id, a.name, EXISTS (SELECT 1 FROM located l JOIN marked m ON l.device_id = m.device_id
   WHERE l.area_id = a.id AND m.is_anomaly) AS high_risk FROM areas a""")
 def area_at_risk(d: Domain) -> DataFrame:

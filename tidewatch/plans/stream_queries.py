@@ -12,10 +12,11 @@ from tidewatch.plans.analytics_queries import _HISTORY
 from tidewatch.plans.feature_queries import _ROUNDED_STATS, _STATS
 from tidewatch.plans.registry import query, rounded
 from tidewatch.plans.views import BASE, LITERAL_LIMIT, Domain
-from tidewatch.session import scratch_dir
+from tidewatch.session import names_in, scratch_dir
 from tidewatch.sources.kafka import SourceConfig, read_stream
 from tidewatch.sources.lake import read_lake
 from tidewatch.streaming import jobs, tails
+from tidewatch.streaming.heavy import HeavyKeys
 
 _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 PARTS = 4
@@ -106,6 +107,28 @@ def micro_batch(d: Domain) -> DataFrame:
     return d.spark.read.parquet(path).groupBy(F.col("failed").cast("boolean").alias("failed"), "reason").agg(F.count(F.lit(1)).alias("records"))
 
 
+#: An event on which the work raises; the id is arbitrary.
+_BROKEN = 777
+
+
+@query(f"""SELECT CASE WHEN e.event_id = {_BROKEN} THEN 'dead' ELSE 'processed' END AS outcome, e.event_id, p.status
+FROM telemetry e LEFT JOIN processed p ON p.original_event_id = e.event_id AND e.event_id <> {_BROKEN}
+WHERE e.event_id = {_BROKEN} OR p.status IS NOT NULL""")
+def micro_batch_isolation(d: Domain) -> DataFrame:
+    """An event breaks the work on its micro-batch; it alone becomes a dead letter."""
+    def check(events: DataFrame) -> DataFrame:
+        broken = F.col("event_id") == _BROKEN
+        return events.where(F.when(broken, F.raise_error(F.lit("a reading that can't be worked on"))).otherwise(F.lit(True)).cast("boolean"))
+    path = _run_batches(d, _stream(d, "telemetry"), "isolation",
+                        lambda p: jobs.tolerant_process_sink(lambda: d.devices, lambda: d.rules, p, check))
+    done = d.spark.read.parquet(f"{path}/processed").select(F.lit("processed").alias("outcome"), F.col("original_event_id").alias("event_id"),
+                                                            "status")
+    if not names_in(d.spark, f"{path}/dead"):
+        return done
+    dead = d.spark.read.parquet(f"{path}/dead").where(F.col("error").contains("can't be worked on"))
+    return done.unionByName(dead.select(F.lit("dead").alias("outcome"), "row.event_id", F.lit(None).cast("string").alias("status")))
+
+
 @query("SELECT event_id, device_id FROM readings")
 def stream_dedup(d: Domain) -> DataFrame:
     """Every event twice, in micro-batches that mix early and late ones."""
@@ -113,11 +136,25 @@ def stream_dedup(d: Domain) -> DataFrame:
     return _run_to_folder(d, jobs.dedup_stream(twice).select("event_id", "device_id"), "dedup")
 
 
+@query("SELECT event_id, device_id FROM readings")
+def stream_dedup_history(d: Domain) -> DataFrame:
+    """Every event twice at once, and once more in a later micro-batch, hours or days after the first."""
+    events = _stream(d, order="mixed")
+    again = F.explode(F.array(F.lit(1), F.lit(2)))
+    path = scratch_dir(d.spark, "dedup-history")
+    sink, checkpoint = jobs.history_dedup_sink(path, fold=2), scratch_dir(d.spark, "dedup-history-checkpoint")
+    jobs.start(events.withColumn("copy", again), checkpoint, batch=sink, trigger_seconds=None).awaitTermination()
+    later = _stream(d, order="time").withColumn("copy", F.lit(3))  # the same events once more, in another order
+    follow = lambda batch, batch_id: sink(batch, batch_id + PARTS)
+    jobs.start(later, scratch_dir(d.spark, "dedup-history-checkpoint"), batch=follow, trigger_seconds=None).awaitTermination()
+    return d.spark.read.parquet(f"{path}/events").select("event_id", "device_id")
+
+
 @query("SELECT original_event_id, device_id, status, device_type FROM processed")
 def stream_enrich_classify(d: Domain) -> DataFrame:
     path = _run_batches(d, _stream(d, "telemetry"), "processed",
-                        lambda p: jobs.process_sink(lambda: d.devices, lambda: d.rules, p))
-    return d.spark.read.parquet(path).select("original_event_id", "device_id", "status",
+                        lambda p: jobs.process_sink(lambda: d.devices, lambda: d.rules, f"{p}/out", HeavyKeys(f"{p}/heavy", "device_id")))
+    return d.spark.read.parquet(f"{path}/out").select("original_event_id", "device_id", "status",
                                              F.col("enriched_data.deviceType").alias("device_type"))
 
 

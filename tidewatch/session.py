@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -79,3 +80,50 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _store(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders directly in a folder of the shared store; none if it does not exist. One listing, no job."""
+    store, target = _store(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(target)) if store.exists(target) else []
+
+
+class Notes:
+    """Small facts that a sink hands from one micro-batch to the next, one JSON file per micro-batch.
+
+    A micro-batch reads the note of the one before it and writes its own, so a replay reads the same note again and a file that was
+    left half written is never read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3) -> None:
+        self.spark, self.path, self.keep = spark, path, keep
+
+    def _ids(self) -> list[int]:
+        return sorted(int(name[:-5]) for name in names_in(self.spark, self.path) if name.endswith(".json") and name[:-5].isdigit())
+
+    def before(self, batch_id: int) -> dict | None:
+        """The note of the last micro-batch before ``batch_id``."""
+        earlier = [i for i in self._ids() if i < batch_id]
+        if not earlier:
+            return None
+        store, target = _store(self.spark, f"{self.path}/{earlier[-1]}.json")
+        stream = store.open(target)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def write(self, batch_id: int, note: dict) -> None:
+        store, target = _store(self.spark, f"{self.path}/{batch_id}.json")
+        stream = store.create(target, True)
+        try:
+            stream.write(bytearray(json.dumps(note).encode()))
+        finally:
+            stream.close()
+        for i in self._ids()[: -self.keep]:
+            remove(self.spark, f"{self.path}/{i}.json")

@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tidewatch.operators.ingest import flatten
-from tidewatch.operators.lake import day_of
+from tidewatch.operators.lake import day_of, latest
 from tidewatch.schemas import ENRICHED, SENSORS
+from tidewatch.session import names_in
 
 
 def with_arrival(df: DataFrame, now: Column | None = None) -> DataFrame:
@@ -92,6 +93,32 @@ def read_lake(spark: SparkSession, path: str, schema: str | T.StructType | None
     return df.where(F.col("deviceId").isNotNull()).withColumn("day", F.col("day").cast("string"))
 
 
+def read_newest(spark: SparkSession, path: str, n: int = 1000, order: tuple[str, ...] = ("arrival_timestamp", "eventId")) -> DataFrame:
+    """The newest ``n`` records of a lake, newest first, reading only the last days that hold them.
+
+    The day folders are walked from the newest, twice as many in each round; a day is counted by its non-null devices, a single
+    column, until there are ``n``. ``order`` must begin with the time of arrival, which the days follow; records without
+    one come last. Other days are neither listed nor opened.
+    """
+    nothing = "__HIVE_DEFAULT_PARTITION__"
+    days = [name for name in reversed(names_in(spark, path)) if name.startswith("day=") and not name.endswith(nothing)]
+    days += [f"day={nothing}"] * (f"day={nothing}" in names_in(spark, path))
+    schema = lake_schema(spark, path)
+
+    def rows(some: list[str]) -> DataFrame:
+        reader = spark.read.option("basePath", path)
+        reader = reader.schema(schema) if schema else reader.option("mergeSchema", True)
+        return reader.parquet(*[f"{path}/{day}" for day in some]).where(F.col("deviceId").isNotNull()).withColumn("day", F.col("day").cast("string"))
+
+    if not days:
+        return read_lake(spark, path).orderBy(*[F.col(c).desc_nulls_last() for c in order]).limit(n)
+    held, taken, step = 0, 0, 1
+    while taken < len(days) and held < n:
+        held += rows(days[taken : taken + step]).count()
+        taken, step = min(len(days), taken + step), 2 * step
+    return latest(rows(days[:taken]), n, order)
+
+
 def skipped_files(spark: SparkSession, path: str) -> DataFrame:
     """Names of Parquet files below the lake from which ``skip_corrupt`` gets no row."""
     there = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)

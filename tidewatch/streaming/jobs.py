@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +15,13 @@ from tidewatch.operators.features import STREAM_WINDOW
 from tidewatch.operators.ingest import fill_readings, parse_events
 from tidewatch.operators.processing import enrich, reasoned, to_processed, with_status
 from tidewatch.schemas import ENGINEERED, ENRICHED, SENSORS
-from tidewatch.session import remove
+from tidewatch.session import names_in, remove, stored_as
 from tidewatch.sources.lake import lake_rows, write_lake_batch
 from tidewatch.sources.records import anomaly_rows, enriched_records, prediction_rows
+from tidewatch.streaming.heavy import HeavyKeys
+from tidewatch.streaming.isolate import isolating
+from tidewatch.streaming.seen import FOLD as SEEN_FOLD
+from tidewatch.streaming.seen import SeenIds
 from tidewatch.streaming.tails import FOLD, Sink, append_batch, carrying, rolling_sink
 
 TRIGGER_SECONDS = 5
@@ -41,7 +45,7 @@ def dedup_stream(events: DataFrame, key: str = "event_id", horizon: str = DEDUP_
     """Drop copies that arrive within the horizon after the first one, whatever their event time.
 
     The watermark is on the time of arrival, stamped per micro-batch, which never goes back: no first arrival is ever dropped
-    as late. The ids seen are forgotten after the horizon; ``dedup_sink`` covers the full history.
+    as late. The ids seen are forgotten after the horizon; ``history_dedup_sink`` covers the full history.
     """
     return (events.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", horizon)
             .dropDuplicatesWithinWatermark([key]).drop("_arrived"))
@@ -54,18 +58,42 @@ def dedup_sink(processed: Tables, path: str, key: str = "event_id") -> Sink:
     return run
 
 
-def process_batch(events: DataFrame, devices: DataFrame, rules: DataFrame) -> DataFrame:
-    return to_processed(with_status(enrich(events, devices), rules))
+def history_dedup_sink(path: str, key: str = "event_id", order: tuple[str, ...] = ("ts",), fold: int = SEEN_FOLD) -> Sink:
+    """Write the first arrival of every id ever, however far apart its copies come; of copies in one micro-batch the first in ``order``.
 
+    The sink keeps the ids it has let through (``SeenIds``) and opens only those of their buckets that may hold an id of the
+    micro-batch. ``path`` gets the rows under ``events`` and the ids under ``seen``.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        SeenIds(f"{path}/seen", key, fold).first_arrivals(batch, batch_id, order, f"{path}/events")
+    return run
+
+
+def process_batch(events: DataFrame, devices: DataFrame, rules: DataFrame, hot: Sequence[str] | None = None) -> DataFrame:
+    return to_processed(with_status(enrich(events, devices, hot), rules))
 
-def process_sink(devices: Tables, rules: Tables, path: str) -> Sink:
+
+def process_sink(devices: Tables, rules: Tables, path: str, heavy: HeavyKeys | None = None) -> Sink:
     """Enrich and classify; both tables are read anew for each micro-batch, so a changed rule
-    holds for later events without a restart."""
+    holds for later events without a restart. ``heavy`` carries the hot devices, which are then not counted in each micro-batch."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        append_batch(process_batch(batch, devices(), rules()), path, batch_id)
+        hot = None if heavy is None else heavy.hot(batch.sparkSession, batch_id)
+        append_batch(process_batch(batch, devices(), rules(), hot), path, batch_id)
+        if heavy is not None:
+            heavy.add(batch, batch_id)
     return run
 
 
+def tolerant_process_sink(devices: Tables, rules: Tables, path: str, check: Callable[[DataFrame], DataFrame] | None = None) -> Sink:
+    """As ``process_sink``, but an event on which the work raises goes to the dead letters with its error, and the others go on.
+
+    ``path`` gets the processed events under ``processed`` and the others under ``dead``; ``check`` is more work on the events.
+    """
+    def work(events: DataFrame) -> DataFrame:
+        return process_batch(events if check is None else check(events), devices(), rules())
+    return isolating(work, f"{path}/processed", f"{path}/dead")
+
+
 def isolating_sink(devices: Tables, schema: str, path: str) -> Sink:
     """Raw records with the reason why they can't be processed, or null, in one pass.
 
@@ -131,11 +159,15 @@ def score_sink(model: Callable[[], ModelParts], folder: str, fold: int = FOLD) -
     under ``unscored`` for ``score_pending``, and the stream goes on.
     """
     def write(features: DataFrame, batch_id: int) -> None:
+        scores = f"{folder}/scoring/batch={batch_id}"
         try:
-            _publish(_scored(features, model()), folder, batch_id)
+            scored = stored_as(_scored(features, model()), scores)
         except Exception as error:  # the events must not be lost
             print(f"scoring of batch {batch_id} failed, its events wait to be scored: {error}")
             features.write.mode("overwrite").parquet(f"{folder}/unscored/batch={batch_id}")
+            return
+        _publish(scored, folder, batch_id)  # if an output can't be written, the micro-batch fails and is tried again
+        remove(features.sparkSession, scores)
 
     return carrying(folder, "device_id", ("ts", "event_id"), STREAM_WINDOW - 1, SENSORS,
                     lambda rows, order: scoring.telemetry_features(rows, order=order), write, fold)
@@ -143,11 +175,7 @@ def score_sink(model: Callable[[], ModelParts], folder: str, fold: int = FOLD) -
 
 def score_pending(spark: SparkSession, model: Callable[[], ModelParts], folder: str) -> int:
     """Score the micro-batches that ``score_sink`` could not; returns how many."""
-    try:
-        waiting = spark.read.parquet(f"{folder}/unscored")
-    except Exception:
-        return 0
-    ids = [r["batch"] for r in waiting.select("batch").distinct().collect()]
+    ids = [int(name.partition("=")[2]) for name in names_in(spark, f"{folder}/unscored")]
     for batch_id in ids:
         one = f"{folder}/unscored/batch={batch_id}"
         _publish(_scored(spark.read.parquet(one), model()), folder, batch_id)
