@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.llm import reply_trees, tag_paths, voronoi
@@ -36,6 +38,87 @@ def test_main_text_inside_named_elements():
         assert tag_paths.main_text(f"<html><body>{page}</body></html>") == text
 
 
+LONG = "A paragraph of the post, with commas, and several words. It goes on, as they do, for a while."
+NOISE = "Great post, thanks for sharing this with all of us here, I really liked it, see you soon!"
+
+
+def paragraphs(n, text=LONG):
+    return "".join(f"<p>{text} {i}.</p>" for i in range(n)), "\n\n".join(f"{text} {i}." for i in range(n))
+
+
+@pytest.mark.parametrize(("before", "after", "n"), [
+    ("<div class=post>", f"</div><div id=comments>{paragraphs(8, NOISE)[0]}</div>", 1),
+    ("<article>", f"<section class='comments'>{paragraphs(8, NOISE)[0]}</section></article>", 2),
+    ("<article>", f"<ol class='comment-list'>{paragraphs(8, NOISE)[0]}</ol></article>", 2),
+    ("<div class=post>", f"</div><div class=cookie-notice><p>{NOISE}</p></div><div class=site-footer><p>{NOISE}</p></div>", 3),
+    ("<article>", f"</article><article><p>{NOISE}</p></article>", 6),
+    ("<main><article>", f"</article><section id=comments><article class=comment>{paragraphs(9, NOISE)[0]}</article></section></main>", 3),
+    (f"<div class=comments-area><article>{paragraphs(4, NOISE)[0]}</article></div><article>", "</article>", 4),
+    ("<div id=page class='has-sidebar comments-open'><div class='page-with-header'>", "</div></div>", 3),
+    ("<div class='no-sidebar'><form action=/><div class=content>", f"</div></form><div class='sidebar'>{paragraphs(2, NOISE)[0]}</div></div>", 4),
+    ("<div class='sidebar-layout'><main>", f"</main><div class=sidebar><p>{NOISE}</p></div></div>", 2),
+    ("<section class='search-results'>", f"</section><div class='related-posts'><p>{NOISE}</p></div>", 4),
+    ("<div class='comment-section'><main>", f"</main><p>{NOISE}</p></div>", 8),
+    ("<article class='post category-social tag-cookies'>", "</article>", 2),
+])
+def test_page_parts_by_name(before, after, n):
+    body, text = paragraphs(n)
+    assert tag_paths.main_text(f"<html><body class='comments-open'><nav>Home</nav>{before}{body}{after}</body></html>") == text
+
+
+def test_pages_against_plain_ratios(spark):
+    """The given pages, parsed by the standard library: the text of blocks whose tag path passes the fused ratio, path by path."""
+    def tree(page):
+        found, path, pieces, skip = [], [], [], []
+
+        def flush():
+            text = " ".join("".join(pieces).split())
+            if text:
+                found.append((tuple(path), text))
+            pieces.clear()
+
+        class Reader(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                if tag in ("b", "a", "br", "i", "em"):
+                    pieces.append(" " if tag == "br" else "")
+                    return
+                flush()
+                if tag == "p" and path and path[-1] == "p":
+                    path.pop()
+                if tag not in ("meta", "link"):
+                    path.append(tag)
+                    if tag in ("head", "nav", "footer", "script", "style") or dict(attrs).get("class") == "ad":
+                        skip.append(len(path))
+
+            def handle_endtag(self, tag):
+                if tag in path:
+                    flush()
+                    while path.pop() != tag:
+                        pass
+                    while skip and len(path) < skip[-1]:
+                        skip.pop()
+
+            def handle_data(self, data):
+                if not skip:
+                    pieces.append(data)
+        reader = Reader(convert_charrefs=True)
+        reader.feed(page)
+        reader.close()
+        flush()
+        return found
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    got = {r.page_id: r.text for r in tag_paths.extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).collect()}
+    for r in rows:
+        found = tree(r.html or "")
+        ratios = {}
+        for path, text in found:
+            n, size, points = ratios.get(path, (0, 0, 0))
+            ratios[path] = (n + 1, size + len(text), points + sum(text.count(c) for c in ".,;:!?"))
+        best = max((size / n * (1 + points) / n for n, size, points in ratios.values()), default=0)
+        chosen = {p[:-1] for p, (n, size, points) in ratios.items() if size / n * (1 + points) / n >= 0.2 * best}
+        assert got[r.page_id] == "\n\n".join(t for p, t in found if p[:-1] in chosen or p in chosen)
+
+
 def test_conversations_read_back(spark):
     hard = "\\### Assistant: </turn> ok \\s\\h\\t\\\\ ####</turn></turn>\n"
     rows = [(1, 0, "user", hard), (1, 1, "assistant", hard), (1, 1, "assistant", hard), (1, None, None, None), (2, 5, "odd: role\n###", "x"),

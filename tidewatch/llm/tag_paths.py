@@ -3,7 +3,9 @@
 Every text block has the path of tags from the root to it. Over a page, text length and punctuation are averaged per path,
 smoothed along the page, and fused; paths whose fused ratio passes a threshold are content. Blocks that stand in the same
 container as content (a headline, a short list) belong to it. Elements that are never main text by their tag or role do not
-take part; neither do forms and elements named as page parts, unless they hold the main element or most of the page's text. A page is parsed and judged on its own, so nothing is shuffled.
+take part; neither do elements named as page parts, unless they hold a main element, comment threads, unless they hold a main element
+with most of the page's text, and forms, unless they hold a main element or most of the page's text. Of several articles the much
+shorter ones are teasers. A page is parsed and judged on its own, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from tidewatch.llm.batches import slices
 
 SPREAD = 1.0  # of the smoothing, in blocks
 LEVEL = 0.5  # threshold in standard deviations of the fused ratios
+TEASER = 0.3  # an article of less than this share of the longest one's text is a teaser
 MAIN_WEIGHT = 8.0  # of paths through an element that says it is the main text
 
 # Names of the markup language and of common page parts.
@@ -37,11 +40,15 @@ _ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl",
 _SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
               "th": {"td", "th"}, "option": {"option"}}
 _ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar"}
-_ASIDE_CLASSES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion",
-                  "banner", "cookie", "cookies", "consent", "notice", "notices", "notification", "alert", "popup", "modal", "newsletter",
-                  "subscribe", "subscription", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "widget",
-                  "related", "share", "sharing", "social", "comment", "comments", "reply", "replies", "discussion", "footer", "header",
-                  "masthead", "login", "signup", "form", "search", "pagination", "pager", "hidden"}
+# Page parts whose name counts anywhere in a class name or id, or only as the whole or its last word.
+_COMMENT_NAMES = {"comment", "comments", "commentlist", "reply", "replies", "respond", "discussion", "disqus"}
+_PART_NAMES = {"adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies",
+               "consent", "gdpr", "notice", "notices", "newsletter", "subscribe", "breadcrumb", "breadcrumbs", "sidebar", "footer", "related",
+               "sharing", "navbar", "navigation"}
+_LAST_NAMES = {"ad", "ads", "banner", "notification", "alert", "popup", "modal", "subscription", "nav", "menu", "widget", "share", "social",
+               "header", "masthead", "login", "signup", "form", "search", "pagination", "pager", "hidden"}
+# Words that make a name say something about the element instead of naming it.
+_MODIFIERS = {"has", "no", "not", "non", "with", "without", "is", "open", "closed", "free", "category", "tag"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -60,28 +67,51 @@ def _is_aside(tag: str, attributes: str) -> bool:
     return False
 
 
-def _is_named_aside(tag: str, attributes: str) -> bool:
-    """Whether an element is a form or has a whole class name or id of a page part, and may still hold the main text."""
-    if tag in _FORM:
-        return True
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return False
-    found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-    return not _ASIDE_CLASSES.isdisjoint(f"{found.get('class', '')} {found.get('id', '')}".lower().split())
+_COMMENTS, _PART, _AROUND = 1, 2, 3
+
+
+def _named_part(tag: str, attributes: str) -> int:
+    """What an element is by its names: a comment thread, another page part, a form (_AROUND), or nothing of these (0)."""
+    if attributes.strip() and tag not in ("html", "body", "main"):
+        found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
+        part = 0
+        for name in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
+            words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+            if not words or not _MODIFIERS.isdisjoint(words):
+                continue
+            if not _COMMENT_NAMES.isdisjoint(words):
+                return _COMMENTS
+            if tag != "article" and (words[-1] in _LAST_NAMES or not _PART_NAMES.isdisjoint(words)):
+                part = _PART
+        if part:
+            return part
+    return _AROUND if tag in _FORM else 0
+
+
+class _Element:
+    """An open or closed element that may not take part, or an article."""
+
+    def __init__(self, depth: int, kind: int) -> None:
+        self.depth, self.kind, self.text = depth, kind, 0
+        self.mains: list[_Element] = []  # main elements inside that are no comments
+
+
+def _kept(element: _Element, total: int) -> bool:
+    if element.kind == _COMMENTS:
+        return any(2 * m.text >= total for m in element.mains)
+    return bool(element.mains) or element.kind == _AROUND and 2 * element.text > total
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     """(tag path, text) of each block that may be main text, in page order. Broken markup is read as far as it goes."""
     path: list[str] = []
     asides: list[int] = []  # depths at which elements that don't take part began
-    named: list[tuple[int, int]] = []  # depths and numbers of open elements that may not take part
-    holds_main: set[int] = set()
-    numbers = 0
+    named: list[_Element] = []  # open elements that may not take part, and main elements
     found: list[tuple[tuple[str, ...], str]] = []
-    within: list[tuple[int, ...]] = []  # numbers of such elements around each block
+    within: list[tuple[_Element, ...]] = []  # such elements around each block
     pieces: list[str] = []
     at: tuple[str, ...] = ()
-    inside: tuple[int, ...] = ()
+    inside: tuple[_Element, ...] = ()
 
     def flush() -> None:
         text = " ".join("".join(pieces).split())
@@ -94,7 +124,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
         del path[depth:]
         while asides and asides[-1] >= depth:
             asides.pop()
-        while named and named[-1][0] >= depth:
+        while named and named[-1].depth >= depth:
             named.pop()
 
     def add(raw: str) -> None:
@@ -102,7 +132,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
         if raw and not asides:
             if not pieces:
                 at = tuple(t for t in path if t not in _INLINE)
-                inside = tuple(n for _, n in named)
+                inside = tuple(named)
             pieces.append(html.unescape(raw))
 
     begin, end = 0, len(page)
@@ -141,23 +171,31 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             if tag in ("body", "article", "main") and "head" in path:
                 close(path.index("head"))
             if not attributes.rstrip().endswith("/"):
-                part = _is_named_aside(tag, attributes)
+                part = _named_part(tag, attributes)
                 if _is_aside(tag, attributes) or part and tag in _INLINE:
                     asides.append(len(path))
-                elif part:
-                    named.append((len(path), numbers))
-                    numbers += 1
-                if tag in _MAIN and not asides:
-                    holds_main.update(n for _, n in named)
+                elif part or tag in _MAIN:
+                    element = _Element(len(path), part)
+                    if not part and not asides:
+                        for around in named:
+                            around.mains.append(element)
+                    named.append(element)
                 path.append(tag)
     flush()
-    length: dict[int, int] = defaultdict(int)
+    total = 0
     for (_, text), around in zip(found, within, strict=True):
-        for n in around:
-            length[n] += len(text)
-    total = sum(len(text) for _, text in found)
-    out = {n for n, size in length.items() if n not in holds_main and 2 * size <= total}
-    return [block for block, around in zip(found, within, strict=True) if out.isdisjoint(around)]
+        total += len(text)
+        for element in around:
+            element.text += len(text)
+    left = [(block, around) for block, around in zip(found, within, strict=True) if all(not e.kind or _kept(e, total) for e in around)]
+    # articles that stand in no other one; a main element around them is no article
+    outer = {id(next((e for e in around if not e.kind and not e.mains), None)): 0 for _, around in left}
+    for (_, text), around in left:
+        outer[id(next((e for e in around if not e.kind and not e.mains), None))] += len(text)
+    outer.pop(id(None), None)
+    longest = max(outer.values(), default=0)
+    teasers = {e for e, size in outer.items() if size < TEASER * longest}
+    return [block for block, around in left if not any(id(e) in teasers for e in around)]
 
 
 def content(found: list[tuple[tuple[str, ...], str]]) -> list[bool]:
