@@ -5,11 +5,15 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.session import stored
+
 # Values that may be sorted in one task; the formula is the same for any number.
 ONE_TASK_ROWS = 1_000_000
 BUCKETS = 4096
+ACCURACY = 10_000  # of the sketch; its error is 1 / ACCURACY of the ranks
 
 
 def _value_at(df: DataFrame, col: str, rank: int, one_task_rows: int) -> float:
@@ -43,19 +47,34 @@ def _value_at(df: DataFrame, col: str, rank: int, one_task_rows: int) -> float:
     return ordered.offset(rank).limit(1).first()["v"]
 
 
-def exact_percentile(df: DataFrame, col: str, p: float, one_task_rows: int = ONE_TASK_ROWS) -> float | None:
-    """Percentile with linear interpolation between the two neighbouring ranks; nulls are left out."""
-    values = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    n = values.count()
+def exact_percentile(df: DataFrame, col: str, p: float, one_task_rows: int = ONE_TASK_ROWS, accuracy: int = ACCURACY) -> float | None:
+    """Percentile with linear interpolation between the two neighbouring ranks; nulls are left out.
+
+    Two passes: a mergeable sketch, whose error in ranks has a bound, gives two values with both ranks between them; then equal
+    values between these are counted, with map-side combine, together with all that are less. If more than
+    ``one_task_rows`` different values lie there, they are narrowed further by counting.
+    """
+    v = F.col("v")
+    values = df.select(F.col(col).cast("double").alias("v")).where(F.col(col).isNotNull())
+    sure = 2.0 / accuracy  # the sketch errs by 1 / accuracy of the ranks
+    n, bracket = values.agg(F.count(v), F.percentile_approx(v, [max(0.0, p - sure), min(1.0, p + sure)], accuracy)).first()
     if n == 0:
         return None
     position = p * (n - 1)
     at = math.floor(position)
-    low = _value_at(values, "v", at, one_task_rows)
-    if position == at:
-        return low
-    high = _value_at(values, "v", at + 1, one_task_rows)
-    return low + (high - low) * (position - at)
+    low, high = bracket
+    inside = stored(values.where(v <= high).groupBy(F.when(v >= low, v).alias("v")).agg(F.count(F.lit(1)).alias("n")), "bracket")
+    below = inside.where("v is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranked = inside.where("v is not null")
+    there, rows = ranked.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    wanted = range(at, at + 1 + (position > at))
+    if not below <= at or wanted[-1] >= below + rows or there > one_task_rows:  # few rows, or very many different values
+        found = [_value_at(values, "v", rank, one_task_rows) for rank in wanted]
+    else:
+        until = F.sum("n").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)) + F.lit(below)
+        placed = ranked.select("v", until.alias("until"), (until - F.col("n")).alias("since"))
+        found = [r["v"] for rank in wanted for r in placed.where((F.col("since") <= rank) & (F.col("until") > rank)).collect()]
+    return found[0] if len(found) == 1 else found[0] + (found[1] - found[0]) * (position - at)
 
 
 def threshold(scored: DataFrame, col: str = "score", p: float = 0.05,

@@ -171,6 +171,20 @@ def stream_counters(d: Domain) -> DataFrame:
     return tails.read_upserts(d.spark, path, "device_id", "device_id string, event_count bigint, last_seen bigint")
 
 
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT device_id) AS devices, true AS near FROM readings GROUP BY 1
+UNION ALL SELECT 'all', count(DISTINCT device_id), true FROM readings""")
+def stream_distinct_devices(d: Domain) -> DataFrame:
+    """Distinct devices per day by sketches that are merged over micro-batches, beside the exact counts they must come near (3 %)."""
+    path = _run_batches(d, _stream(d, order="mixed"), "distinct",
+                        lambda p: tails.distinct_sink(p, F.col("device_id"), F.date_format("ts", "yyyy-MM-dd"), fold=2))
+    found = tails.read_distinct(d.spark, path).select(F.coalesce("bucket", F.lit("all")).alias("day"), F.col("devices").alias("estimate"))
+    days = d.readings.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "device_id")
+    exact = days.groupBy("day").agg(F.count_distinct("device_id").alias("devices")).unionByName(
+        days.agg(F.lit("all").alias("day"), F.count_distinct("device_id").alias("devices")))
+    near = F.abs(F.col("estimate") - F.col("devices")) <= F.greatest(F.lit(1), F.col("devices") * 0.03)
+    return exact.join(found, "day", "left").select("day", "devices", F.coalesce(near, F.lit(False)).alias("near"))
+
+
 @query(f"SELECT * FROM ({_HISTORY}) WHERE position <= 50")
 def stream_history(d: Domain) -> DataFrame:
     path = _run_batches(d, _stream(d, "telemetry"), "history", lambda p: tails.history_sink(p, fold=2))
