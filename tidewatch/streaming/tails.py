@@ -13,15 +13,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from tidewatch.operators.analytics import HISTORY_LENGTH
 from tidewatch.operators.features import STREAM_WINDOW, rolling_features
 from tidewatch.operators.ordered import newest_per_key
 from tidewatch.schemas import SENSORS
-from tidewatch.session import remove, stored_as
+from tidewatch.session import Notes, remove, stored_as
 
 FOLD = 64
 ARRIVAL = "_arrival"  # the micro-batch a row came in
@@ -34,49 +34,57 @@ def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 class Versions:
-    """The newest rows of every key under ``path``: a full table now and then, and what changed since."""
+    """The newest rows of every key under ``path``: a full table now and then, and what changed since.
+
+    A note beside the table names the folders that count, so that nothing has to be listed or searched for them.
+    """
 
     def __init__(self, path: str, key: str, schema: T.StructType, fold: int = FOLD) -> None:
         self.path, self.key, self.fold = path, key, fold
         self.schema = T.StructType([*schema.fields, T.StructField("full", T.IntegerType()), T.StructField("batch", T.LongType())])
 
-    def _all(self, spark: SparkSession) -> DataFrame:
-        try:
-            return spark.read.schema(self.schema).parquet(self.path)
-        except AnalysisException:  # nothing has been written
-            return spark.createDataFrame([], self.schema)
+    def _notes(self, spark: SparkSession) -> Notes:
+        return Notes(spark, f"{self.path}-notes", keep=4)
 
-    def last_full(self, spark: SparkSession, before: int) -> int:
-        """The batch of the last full table before ``before``, or -1; reads folder names only."""
-        found = self._all(spark).where((F.col("full") == 1) & (F.col("batch") < before)).agg(F.max("batch")).first()[0]
-        return -1 if found is None else found
+    def _note(self, spark: SparkSession, before: int) -> dict:
+        """``versions``: (full, batch) of the last full table and all after it, in order; ``old``: those that the full one replaced."""
+        return self._notes(spark).before(before) or {"versions": [], "old": []}
+
+    def _folder(self, version: tuple[int, int]) -> str:
+        return f"{self.path}/full={version[0]}/batch={version[1]}"
+
+    def _read(self, spark: SparkSession, note: dict, keys: DataFrame | None) -> DataFrame:
+        if not note["versions"]:
+            return spark.createDataFrame([], T.StructType(self.schema.fields[:-2]))
+        rows = spark.read.schema(self.schema).option("basePath", self.path).parquet(*map(self._folder, note["versions"]))
+        rows = rows if keys is None else rows.join(keys, self.key, "left_semi")
+        # at most ``fold`` versions of a key's few rows; the window's shuffle by key serves what follows as well
+        newest = F.max("batch").over(W.partitionBy(self.key))
+        return rows.withColumn("_newest", newest).where("batch = _newest").drop("_newest", "full", "batch")
 
     def before(self, spark: SparkSession, batch_id: int, keys: DataFrame | None = None) -> DataFrame:
         """Rows as they were before ``batch_id``; those of ``keys`` only, if given."""
-        rows = self._all(spark).where((F.col("batch") >= max(0, self.last_full(spark, batch_id))) & (F.col("batch") < batch_id))
-        rows = rows if keys is None else rows.join(keys, self.key, "left_semi")
-        newest = rows.groupBy(self.key).agg(F.max("batch").alias("_newest"))
-        return rows.join(newest, self.key).where("batch = _newest").drop("_newest", "full", "batch")
+        return self._read(spark, self._note(spark, batch_id), keys)
 
     def now(self, spark: SparkSession) -> DataFrame:
         return self.before(spark, 1 << 62)
 
-    def due(self, spark: SparkSession, batch_id: int) -> bool:
-        return batch_id - max(0, self.last_full(spark, batch_id)) >= self.fold
-
     def write(self, changed: DataFrame, batch_id: int) -> None:
-        """The rows of the keys that a micro-batch changed; a full table when one is due."""
+        """The rows of the keys that a micro-batch changed; a full table when one is due. Folders that a full table replaced go when
+        the next one is written, as a replay still reads them."""
         spark = changed.sparkSession
-        full = self.due(spark, batch_id)
+        note = self._note(spark, batch_id)
+        versions = [tuple(v) for v in note["versions"]]
+        full = batch_id - (versions[0][1] if versions and versions[0][0] else 0) >= self.fold
         if full:
-            others = self.before(spark, batch_id).join(changed.select(self.key).distinct(), self.key, "left_anti")
+            others = self._read(spark, note, None).join(changed.select(self.key).distinct(), self.key, "left_anti")
             changed = others.unionByName(changed)
-        changed.write.mode("overwrite").parquet(f"{self.path}/full={int(full)}/batch={batch_id}")
+        own = (int(full), batch_id)
+        changed.write.mode("overwrite").parquet(self._folder(own))
+        self._notes(spark).write(batch_id, {"versions": [own] if full else [*versions, own], "old": versions if full else note["old"]})
         if full:
-            last = self.last_full(spark, batch_id)
-            old = self._all(spark).where(F.col("batch") < last).select("full", "batch").distinct().collect()  # folders
-            for row in old:
-                remove(spark, f"{self.path}/full={row['full']}/batch={row['batch']}")
+            for version in note["old"]:
+                remove(spark, self._folder(version))
 
 
 def carrying(folder: str, key: str, order: tuple[str, ...], n: int, keep: tuple[str, ...],
