@@ -20,7 +20,7 @@ from tidewatch.llm.labels import fold, logistic, probability, sample
 from tidewatch.llm.words import hash_words, mix, text_buffer
 
 TRAINING_DOCS = 4000  # labelled documents that the model is fitted to
-TRAINING_LINES = 48  # consecutive lines of each of them that the fit sees
+TRAINING_LINES = 250_000  # of all of them together, which come to the driver
 ROUNDS = 150
 THRESHOLD = 0.7
 
@@ -161,20 +161,33 @@ def _fit(features: np.ndarray, lengths: np.ndarray, first: np.ndarray, label: np
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, at_most: int = TRAINING_DOCS) -> Model:
-    """A model of labels.quality from at most at_most documents outside the held-out fold, each with TRAINING_LINES lines.
+    """A model of labels.quality from whole documents outside the held-out fold: at most at_most of them, and with at most
+    TRAINING_LINES lines together.
 
-    Only the features of these lines (a bounded number) come to the driver. Without labels every score is 0.5.
+    Only the features of these lines (a bounded number) come to the driver. Documents are taken by a hash of their id; one that
+    does not fit any more is passed over. Without labels every score is 0.5.
     """
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            lines = [sum(map(bool, (t or "").split("\n"))) for t in batch["text"].to_pylist()]
+            yield pa.record_batch({"id": batch["id"], "label": batch["label"], "lines": pa.array(lines, pa.int64())})
+
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             features, lengths, first = line_features(batch["text"])
-            rows = []
-            for i in range(batch.num_rows):
-                lines = slice(first[i], min(first[i + 1], first[i] + TRAINING_LINES))
-                rows.append(np.column_stack([features[lines], lengths[lines]]).astype(np.float32).tobytes())
+            rows = [np.column_stack([features[a:b], lengths[a:b]]).astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.record_batch({"id": batch["id"], "label": batch["label"], "lines": pa.array(rows, pa.binary())})
-    rows = (sample(docs, labels, "quality", folds, held_out, at_most)
-            .mapInArrow(compute, "id long, label int, lines binary").collect())
+
+    labelled = sample(docs, labels, "quality", folds, held_out, at_most)
+    sizes = labelled.mapInArrow(counted, "id long, label int, lines long").withColumn("place", F.xxhash64("id", "label")).collect()
+    taken, room = [], TRAINING_LINES
+    for r in sorted(sizes, key=lambda r: (r["place"], r["id"], r["label"])):
+        if r["lines"] <= room:
+            taken.append((r["id"], r["label"]))
+            room -= r["lines"]
+    chosen = docs.sparkSession.createDataFrame(taken, "id long, label int")  # at_most rows
+    rows = labelled.join(F.broadcast(chosen), ["id", "label"]).select("id", "text", "label").mapInArrow(
+        compute, "id long, label int, lines binary").collect()
     rows.sort(key=lambda r: (r["id"], r["label"]))
     parts = [np.frombuffer(bytes(r["lines"]), dtype=np.float32).reshape(-1, 3 * OWN + 2).astype(float) for r in rows]
     lines = np.concatenate(parts) if parts else np.zeros((0, 3 * OWN + 2))
@@ -206,7 +219,12 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score at least threshold; scored where they are, without a shuffle."""
+    """The rows of docs that score at least threshold; scored where they are, without a shuffle, so that rows that share an id or a text are
+    judged one by one and all columns stay.
+
+    The text is the column `text`. Null and blank texts score the share of good documents in the training sample, so all of them
+    go or all stay. An empty table gives an empty result, and without labels no row reaches the usual threshold.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, held_out))
     names = docs.columns
 
