@@ -49,7 +49,7 @@ def _signature(data: np.ndarray, size: int, rolled: np.ndarray | None) -> str:
         totals = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values, 9))))
         cuts = totals[np.concatenate(([0], edges, [len(values)]))]
         parts = cuts[1:] - cuts[:-1]
-        parts[0] += carry
+        parts[:1] += carry  # as an array, so that it wraps around silently
         sums.append(parts[:-1])
         carry = parts[-1]
     ends_open = len(data) > 0 and (len(edges) == 0 or edges[-1] < len(values))
@@ -96,7 +96,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) of every row; a null text counts as empty."""
+    """(doc_id, fingerprint) of every row; a null text counts as empty. Only id and text are read; an empty table gives an empty result."""
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch({"doc_id": batch["id"], "fingerprint": pa.array(
@@ -110,13 +110,14 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     The successor is the next row by id, then text, nulls last as if empty; after the last comes the first. The edited text has its last
     floor(n_chars / 4) characters replaced by as many (or all) first ones of the successor. Rows are range-partitioned by id
-    once; the first row of each range is sent to the range before it as well, so that no range waits for another.
+    once; the first row of each range is sent to the range before it as well, so that no range waits for another. Only id and text
+    are read; an empty table gives an empty result. Rows of one id, as those without any, lie in one range.
     Output: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint.
     """
     spark = docs.sparkSession
     last = (1 << 63) - 1
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    keys = rows.select(F.coalesce("id", F.lit(last)).alias("key"))
+    keys = rows.select(F.coalesce("id", F.lit(last)).alias("key"))  # rows without an id follow the greatest one
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = np.unique(np.array(keys.where(F.col("key") < last).approxQuantile(
         "key", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else [], dtype=np.float64).astype(np.int64))
@@ -134,39 +135,42 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     before = {least: firsts[i - 1][0] for i, (_, least) in enumerate(firsts)}
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "next", "key", "text"]
+        names = ["part", "next", "key", "nameless", "text"]
         for batch in batches:
+            nameless = batch["id"].is_null()
             key = batch["id"].fill_null(last).to_numpy()
             part = np.searchsorted(cuts, key, side="right").astype(np.int32)
-            yield pa.record_batch([pa.array(part), pa.array(np.zeros(len(key), np.int32)), pa.array(key), batch["text"]], names=names)
+            yield pa.record_batch([pa.array(part), pa.array(np.zeros(len(key), np.int32)), pa.array(key), nameless, batch["text"]], names=names)
             also = np.array([i for i, k in enumerate(key.tolist()) if k in before], dtype=np.int64)
             if len(also):
                 to = pa.array([before[k] for k in key[also].tolist()], pa.int32())
-                yield pa.record_batch([to, pa.array(np.ones(len(also), np.int32)), pa.array(key[also]), batch["text"].take(pa.array(also))],
+                at = pa.array(also)
+                yield pa.record_batch([to, pa.array(np.ones(len(also), np.int32)), pa.array(key[also]), nameless.take(at), batch["text"].take(at)],
                                       names=names)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # part, key, text, fingerprint of the row whose successor has not come yet
+        held: tuple | None = None  # part, id, text, fingerprint of the row whose successor has not come yet
         for whole in batches:
             for begin in range(0, whole.num_rows, 256):
                 batch = whole.slice(begin, 256)
                 out = []
-                for part, is_next, key, text in zip(*(batch[c].to_pylist() for c in ("part", "next", "key", "text")), strict=True):
+                columns = (batch[c].to_pylist() for c in ("part", "next", "key", "nameless", "text"))
+                for part, is_next, key, nameless, text in zip(*columns, strict=True):
                     if is_next and (held is None or held[0] != part):
                         continue  # of rows that share the first id of the next range, the first was enough
                     own = fingerprint(text.encode())
                     if held is not None:
                         n = len(held[2])
                         edited = (held[2][: n - n // 4] + text[: n // 4]).encode()
-                        out.append((None if held[1] == last else held[1], n, hashlib.sha256(edited).hexdigest(), held[3],
+                        out.append((held[1], n, hashlib.sha256(edited).hexdigest(), held[3],
                                     fingerprint(edited), own))
-                    held = None if is_next else (part, key, text, own)
+                    held = None if is_next else (part, None if nameless else key, text, own)
                 if out:
                     columns = list(zip(*out, strict=True))
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.string()] * 4), strict=True)],
                                           names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint"])
 
-    return (rows.mapInArrow(placed, "part int, next int, key long, text string")
-            .repartition(parts, "part").sortWithinPartitions("part", "next", "key", "text")
+    return (rows.mapInArrow(placed, "part int, next int, key long, nameless boolean, text string")
+            .repartition(parts, "part").sortWithinPartitions("part", "next", "key", "nameless", "text")
             .mapInArrow(compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
                                   "next_fingerprint string"))
