@@ -126,12 +126,15 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The rows of docs in training order, a row once for each copy of its document; columns as in docs.
 
     Documents stay whole: the one at which a source's target falls is taken if at least half of it is within the target.
-    Rows that share an id are taken together, as often as the first of them; rows without an id are left out.
+    Rows that share an id are taken together, as often as the first of them; rows without an id that share text and source
+    are taken together as well.
     """
-    counted = (plan(docs, id_col, text_col, source_col, schedules, most).where("id is not null")
+    known = F.col(f"`{id_col}`")
+    known = known.cast("string" if dict(docs.dtypes)[id_col] == "string" else "long")
+    named = F.coalesce(known, F.xxhash64(F.lit(0), F.col(f"`{text_col}`"), F.col(f"`{source_col}`")).cast(docs.select(known).schema[0].dataType))
+    rows = docs.select(F.struct("*").alias("row"), named.alias("id"))
+    counted = (plan(docs.select(named.alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source")),
+                    schedules=schedules, id_col="id", text_col="text", source_col="source", most=most)
                .withColumn("copies", F.filter("copies", lambda c: 2 * c["words"] >= F.col("size")))
-               .groupBy("id").agg(F.min_by("copies", F.struct("source_key", "size")).alias("_copies"))
-               .withColumnRenamed("id", "_id").where(F.size("_copies") > 0))
-    copies = docs.join(counted, docs[id_col] == F.col("_id")).withColumn("_copy", F.explode("_copies"))
-    return (copies.orderBy("_copy.position", "_id", "_copy.copy")
-            .select(*[docs[c] for c in docs.columns]))
+               .groupBy("id").agg(F.min_by("copies", F.struct("source_key", "size")).alias("copies")).where(F.size("copies") > 0))
+    return (rows.join(counted, "id").withColumn("c", F.explode("copies")).orderBy("c.position", "id", "c.copy").select("row.*"))
