@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, chosen_path, compact_windows, crf, curriculum, piecewise, toxicity
+from tidewatch.llm import components as components_module
 from tidewatch.llm.components import components
 from tidewatch.llm.segments import maximal_segments
 from tidewatch.llm.words import distinct, hash_words, shingles
@@ -126,14 +128,28 @@ def test_keep_one_keeps_columns(odd_docs, no_docs):
     ids = [r.doc_id for r in kept.collect()]
     assert 1 in ids and 2 not in ids and 9 not in ids and ids.count(None) == 2
     assert chosen_path.keep_one(no_docs).count() == 0
+    clash = odd_docs.withColumns({c: F.lit("x") for c in ("_dropped", "row", "kept", "component_id")})
+    assert sorted(map(str, chosen_path.keep_one(clash).select(*odd_docs.columns).collect())) == sorted(map(str, kept.collect()))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_components(spark, monkeypatch, few):
+    """By star contractions and in one task."""
+    monkeypatch.setattr(components_module, "FEW_EDGES", few)
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (6, 6), (7, None), (3, 1), (9, 8), (8, 4)], "a long, b long")
     assert sorted(tuple(r) for r in components(edges).collect()) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (8, 4), (9, 4)]
     assert components(edges.limit(0)).count() == 0
     chain = spark.range(200).selectExpr("id AS a", "id + 1 AS b")
     assert {r.component for r in components(chain).collect()} == {0}
+    rng = random.Random(2)
+    pairs = [(rng.randrange(-2000, 2000), rng.randrange(-2000, 2000)) for _ in range(1500)]
+    least = {}
+    for _ in range(60):  # slow and plain
+        for a, b in pairs:
+            least[a] = least[b] = min(least.get(a, a), least.get(b, b))
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    got = {r.id: r.component for r in components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()}
+    assert got == {i: c for i, c in least.items() if i in linked}
 
 
 def test_passages(odd_docs, no_docs, spark):
@@ -173,11 +189,78 @@ def test_every_exact_passage_is_found(spark):
                 assert any(s["first"] <= at and at + 50 <= s["last"] for s in found[i].spans)
 
 
+@pytest.mark.parametrize("line_words", [20, 30, 40, 46])
+def test_passages_around_a_common_line(spark, prose, line_words):
+    """100 pairs of documents that share a passage, part of which is a line that 300 others have as well, also twice."""
+    line, rows = prose(line_words), []
+    for i in range(300):
+        rows.append((1000 + i, f"{prose(80)} {line} {prose(80)}" + (f" {line} {prose(30)}" if i % 3 == 0 else "")))
+    for i in range(100):
+        extra = max(52, line_words + 10) - line_words
+        before, after = prose(extra // 2), prose(extra - extra // 2)
+        first = f"{line} {prose(60)} " if i % 4 == 0 else ""
+        rows += [(2000 + 2 * i, f"{first}{prose(50)} {before} {line} {after} {prose(50)}"), (2001 + 2 * i, f"{prose(70)} {before} {line} {after} {prose(30)}")]
+    found = {r.doc_id: r for r in compact_windows.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    passage = max(52, line_words + 10)
+    caught = [i for i in range(100) if found[2001 + 2 * i].class_id == 2000 + 2 * i
+              and any(s["first"] <= 70 and s["last"] >= 69 + passage for s in found[2001 + 2 * i].spans)]
+    assert len(caught) == 100
+    assert all(found[1000 + i].n_links == 0 for i in range(300))
+
+
+def test_dense_stretches_against_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        there = rng.random(40) < rng.choice([0.5, 0.8, 0.9])
+        span, miss = int(rng.integers(1, 20)), float(rng.choice([1.5, 4, 8]))
+        good = [(i, j) for i in range(40) for j in range(i + span - 1, 40) if there[i] and there[j]
+                and there[i : j + 1].sum() - miss * (~there[i : j + 1]).sum() >= 0]
+        want = [(i, j) for i, j in good if not any((a, b) != (i, j) and a <= i and j <= b for a, b in good)]
+        assert compact_windows._dense(there, span, miss) == want
+
+
+def test_altered_passages_against_brute_force(spark, prose):
+    """Passages of 60 words of which every 25th or so is another word, each in two documents or in four."""
+    rng, rows, pairs = random.Random(4), [], 0
+    for i in range(60):
+        passage = prose(60).split()
+        for copy in range(4 if i % 3 == 0 else 2):
+            own = [w if not copy or rng.random() > 0.02 else "altered" + w for w in passage]
+            rows.append((10 * i + copy, f"{prose(rng.randint(0, 60))} {' '.join(own)} {prose(rng.randint(0, 60))}"))
+    texts = {i: words(t) for i, t in rows}
+    found = {r.doc_id: r for r in compact_windows.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = 0
+    for i, t in texts.items():
+        sets = {j: [frozenset(zip(*(u[a + k : a + 50 - 4 + k] for k in range(5)), strict=True)) for a in range(len(u) - 49)] for j, u in texts.items()
+                if j // 10 == i // 10 and j < i}
+        own = [frozenset(zip(*(t[a + k : a + 50 - 4 + k] for k in range(5)), strict=True)) for a in range(len(t) - 49)]
+        if any(len(x & y) >= 0.8 * len(x | y) for x in own for u in sets.values() for y in u):
+            pairs += 1
+            missed += found[i].n_links == 0
+        else:
+            assert found[i].n_links == 0 or not sets
+    assert pairs >= 60 and missed <= 0.02 * pairs
+
+
+def test_texts_that_share_an_id(spark, prose):
+    """A copied text, an unlike text, a shorter one, a null and an empty one under one id; columns named like the operator's."""
+    a, b, c = prose(80), prose(60), prose(120)
+    rows = [(1, a), (2, a), (2, "keep me please"), (2, None), (2, ""), (2, f"{b} {c}"), (3, b), (4, f"{prose(20)} {b}"), (4, "short"), (None, a), (5, a), (5, a)]
+    docs = spark.createDataFrame([(i, t, len(t or ""), "x", "y", "z", 1) for i, t in rows],
+                                 "doc_id long, text string, n_chars long, _id string, _spans string, marks string, id int")
+    cut = compact_windows.without_repeats(docs)
+    assert cut.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in cut.collect())
+    assert got == Counter([(1, a), (2, "keep me please"), (2, None), (2, ""), (2, f"{b} {c}"), (4, rows[7][1].rsplit(" ", 60)[0]), (4, "short"), (None, a)])
+    assert all(r.n_chars == len(r.text or "") for r in cut.collect())
+
+
 def test_windows_are_those_of_brute_force(spark, prose):
     text = prose(300)
     rows = compact_windows.windows(spark.createDataFrame([(1, text)], "id long, text string"), 40).collect()
     for k in range(compact_windows.HASHES):
-        own = sorted((r.l, r.r) for r in rows if r.k == k)
+        low, high, functions = compact_windows._unpacked(np.array([r.at for r in rows]))
+        own = sorted(zip(low[functions == k].tolist(), high[functions == k].tolist(), strict=True))
         covered = {}
         for low, high in own:
             assert high - low + 1 >= 40
@@ -202,6 +285,23 @@ def test_segments_against_quadratic():
         assert all(a[1] < b[0] for a, b in zip(got, got[1:], strict=False))
 
 
+def test_all_maximal_segments_against_recursion():
+    """The best segment, then the best ones left and right of it, and so on, are the maximal ones."""
+    rng = np.random.default_rng(6)
+
+    def plain(values, begin):
+        total = np.concatenate(([0], np.cumsum(values)))
+        best = max(((total[b] - total[a], a, b) for a in range(len(values)) for b in range(a + 1, len(values) + 1)), default=(0, 0, 0))
+        if best[0] <= 0:
+            return []
+        _, a, b = best
+        return [*plain(values[:a], begin), (begin + a, begin + b - 1), *plain(values[b:], begin + b)]
+    for _ in range(60):
+        values = np.where(rng.random(45) < 0.5, -0.7, rng.normal(0.4, 1.5, 45))
+        hits = np.flatnonzero(values != -0.7)
+        assert [(a, b) for a, b, _ in maximal_segments(hits, values[hits], -0.7)] == plain(values, 0)
+
+
 def test_bpe_equals_tiktoken(spark, odd_docs, no_docs):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     with open(path, "rb") as lines:
@@ -216,6 +316,12 @@ def test_bpe_equals_tiktoken(spark, odd_docs, no_docs):
         assert list(r.ids) == own.encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode()
     assert bpe.encode(no_docs, ranks, public_tokenizers.PATTERN).count() == 0
+    digests = bpe.round_trip(docs.withColumns({"_text": F.lit("clash"), "n_tokens": F.lit(0)}), ranks, public_tokenizers.PATTERN)
+    want = sorted(str((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                       hashlib.sha256((r.text or "").encode()).hexdigest()))
+                  for r in docs.collect() for ids in [own.encode_ordinary(r.text or "")])
+    assert sorted(str(tuple(r)) for r in digests.collect()) == want
+    assert bpe.round_trip(no_docs, ranks, public_tokenizers.PATTERN).count() == 0
 
 
 def test_fingerprints(odd_docs, no_docs):
@@ -232,6 +338,53 @@ def test_fingerprints(odd_docs, no_docs):
     assert piecewise.fingerprint(b"") == "3::"
 
 
+def test_fingerprints_against_scalar_arithmetic(prose):
+    """Rolling hash, pieces and signatures byte by byte with Python's whole numbers, and the greatest id beside rows without one."""
+    mask = 2**64 - 1
+
+    def scramble(x, seed):
+        x = (x + 0x9E3779B97F4A7C15 * (2 * seed + 1)) & mask
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+    of_byte, turns = [scramble(b, 61) for b in range(256)], [scramble(k, 67) | 1 for k in range(piecewise.WINDOW)]
+
+    def signature(data, size):
+        pieces, total = [], 0
+        for i in range(len(data)):
+            rolled = sum(of_byte[data[i - back]] * turns[back] for back in range(min(i + 1, piecewise.WINDOW))) & mask
+            value = scramble(rolled, 3) >> 16
+            total = (total + scramble(value, 9)) & mask
+            if value % size == 0:
+                pieces.append(total)
+                total, ended = 0, True
+            else:
+                ended = False
+        if data and not ended:
+            pieces.append(total)
+        if len(pieces) > piecewise.CHARACTERS:
+            pieces = [*pieces[: piecewise.CHARACTERS - 1], sum(pieces[piecewise.CHARACTERS - 1 :]) & mask]
+        return "".join(chr(piecewise._LETTERS[scramble(p, 5) >> 58]) if isinstance(piecewise._LETTERS[0], (int, np.integer))
+                       else piecewise._LETTERS[scramble(p, 5) >> 58].decode() for p in pieces)
+
+    def plain(data):
+        size = piecewise.SMALLEST
+        while size * piecewise.CHARACTERS < len(data):
+            size *= 2
+        while size > piecewise.SMALLEST and len(signature(data, size)) < piecewise.CHARACTERS // 2:
+            size //= 2
+        return f"{size}:{signature(data, size)}:{signature(data, 2 * size)}"
+    for text in ("", "a", "aaaa" * 200, prose(40), prose(500), "é中" * 90, prose(3) * 50):
+        assert piecewise.fingerprint(text.encode()) == plain(text.encode())
+
+
+def test_the_greatest_id_is_no_null(spark, prose):
+    last = (1 << 63) - 1
+    rows = [(last, prose(9)), (None, prose(8)), (1, prose(7)), (None, None)]
+    got = piecewise.beside_next(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, key long")).collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in got) == sorted((str(i), len(t or "")) for i, t in rows)
+
+
 def test_fingerprint_likeness(spark, prose):
     text = prose(800)
     pair = [(piecewise.fingerprint(text.encode()), piecewise.fingerprint(t.encode()))
@@ -270,6 +423,11 @@ def test_curriculum(spark, odd_docs, no_docs):
     assert curriculum.plan(no_docs).count() == 0
     mixed = curriculum.mixed(odd_docs)
     assert mixed.columns == odd_docs.columns
+    clash = odd_docs.withColumns({c: F.lit("x") for c in ("_id", "_copies", "_copy", "row", "c", "copies", "position")})
+    assert Counter(map(str, curriculum.mixed(clash).select(*odd_docs.columns).collect())) == Counter(map(str, mixed.collect()))
+    two = odd_docs.where("doc_id in (1, 3)").withColumn("source", F.lit("s"))
+    alone = curriculum.mixed(two.unionByName(two.withColumn("doc_id", F.lit(None).cast("long"))))  # rows without an id are not lost
+    assert {r.doc_id for r in alone.collect()} == {1, 3, None}
     at = [r.position for r in curriculum.in_order(curriculum.plan(odd_docs)).collect()]
     assert at == sorted(at)
 

@@ -146,6 +146,14 @@ def test_branches_by_rank(spark):
     assert [r.leaf for r in reply_trees.conversations(tree, best=1).collect()] == [4]
 
 
+def test_repeated_messages_count_once(spark):
+    rows = [(1, 1, None, "user", "a", 1.0), (1, 1, 2, "user", "b", 1.0), (1, 2, 1, "assistant", "c", 1.0), (1, 2, 1, "assistant", "c", 1.0)]
+    messages = spark.createDataFrame(rows, "conv long, msg long, parent long, role string, text string, score double")
+    got = reply_trees.conversations(reply_trees.once(messages)).collect()
+    assert [r.formatted for r in got] == ["### User:\na</turn>\n### Assistant:\nc</turn>\n"]
+    assert reply_trees.once(messages.limit(0)).count() == 0
+
+
 def test_long_conversation(spark):
     rows = spark.range(300).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
     r = reply_trees.conversations(reply_trees.as_tree(rows)).first()

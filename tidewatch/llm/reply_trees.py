@@ -62,6 +62,13 @@ def as_tree(rows: DataFrame) -> DataFrame:
                            F.lit(0.0).alias("score"))
 
 
+def once(messages: DataFrame) -> DataFrame:
+    """messages with one row for each (conv, msg): the first by parent (null first), role, text and score. ``paths`` and
+    ``conversations`` expect such a table, as a message that is there twice would be on twice as many paths."""
+    first = F.min(F.struct(F.col("parent").isNotNull().alias("answers"), "parent", "role", "text", "score"))
+    return messages.groupBy("conv", "msg").agg(first.alias("m")).select("conv", "msg", "m.parent", "m.role", "m.text", "m.score")
+
+
 def _jumps(messages: DataFrame) -> list[DataFrame]:
     """Tables (conv, msg, up, total, steps): up is 2**i replies above msg, or null where the root is passed; in the last one
     it is null for every message that a root is above. A parent that is not there makes a root."""
@@ -88,7 +95,7 @@ def paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     """(conv, leaf, rank, msg, above): the messages of the chosen paths, above counting the replies between msg and the leaf.
 
     A branch is ranked by the mean score of its messages (null: 0), then the lesser leaf; best: how many of a tree are taken, all
-    by default. Messages whose replies run in a circle are on no path.
+    by default. Messages whose replies run in a circle are on no path. Each (conv, msg) must be there once (see ``once``).
     """
     tables = _jumps(messages)
     answered = messages.where("parent is not null").select("conv", F.col("parent").alias("msg")).distinct()
