@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,16 @@ import pyarrow.compute as pc
 STEP = 512
 #: Bytes of text that a function takes at a time; a longer text is a slice of its own.
 STEP_BYTES = 4 << 20
+#: Bytes of sorted rows that are joined with the ones before them at a time.
+JOINED_BYTES = 8 << 20
+
+
+def release() -> None:
+    """Give memory that is free back to the machine: Python workers live on, and the next task runs in another one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, if it has one
+    if trim is not None:
+        trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
@@ -26,6 +37,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             end = max(begin + 1, min(end, begin + 4 * STEP))
             yield batch.slice(begin, end - begin)
             begin = end
+        release()
+    release()
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str, at_most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, bool]]:
@@ -35,9 +48,7 @@ def runs(batches: Iterator[pa.RecordBatch], key: str, at_most: int) -> Iterator[
     """
     held: list[pa.RecordBatch] = []
     count, passing = 0, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _pieces(batches):
         keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
         if passing is not None:
             n = len(keys) if keys[-1] == passing else int(np.argmax(keys != passing))
@@ -62,6 +73,16 @@ def runs(batches: Iterator[pa.RecordBatch], key: str, at_most: int) -> Iterator[
     if count:
         rows = _joined(held)
         yield from _groups(rows, np.array([0, rows.num_rows]), at_most)
+    del held
+    release()
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        step = max(1, batch.num_rows * JOINED_BYTES // max(batch.nbytes, 1))
+        for begin in range(0, batch.num_rows, step):
+            yield batch.slice(begin, step)
+        release()
 
 
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -37,10 +37,21 @@ BLOCKED = 4096  # a cluster beyond this is branched by trees once more, and what
 MISS = 1e-5  # a vertex whose pairs at the threshold are parted by all trees with a higher chance is joined exactly
 HUBS = 32  # if the vertices to join exactly meet in more nodes each on average, those near the hub of a group are connected first
 BUCKETS = 1 << 16  # in which shingles are counted to tell rare ones
+NODE_ROWS = 50_000  # of tree nodes, and
+SET_ROWS = 4_000  # of full sets, that a task gets at least where they are counted
 BROADCAST_ROWS = 500_000  # vertex names of 16 bytes that may be broadcast
 _FACTORS = mix(np.arange(COORDINATES, dtype=np.uint64), 91) | np.uint64(1)
 
 
+def _dealt(df: DataFrame, key: str, rows: int | None, per_task: int) -> DataFrame:
+    """df sorted by key in partitions that hold all rows of a key; no more of them than rows, if known, are worth."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(key)
+    if rows is not None and rows < per_task * parts:
+        dealt = dealt.coalesce(max(1, math.ceil(rows / per_task)))
+    return dealt.sortWithinPartitions(key)
+
+
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -93,7 +104,7 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), width)
 
 
-def _branch(nodes: DataFrame, alike: float, level: int) -> DataFrame:
+def _branch(nodes: DataFrame, alike: float, level: int, rows: int | None) -> DataFrame:
     """One level over (node, tree, vertex, sketch): star links inside small nodes, members of large ones for the next level.
 
     Output (kind 0: vertex a looks like b, also through others; kind 1: node a now holds vertex b).
@@ -135,8 +146,7 @@ def _branch(nodes: DataFrame, alike: float, level: int) -> DataFrame:
             if len(a):
                 yield pa.record_batch({"kind": pa.array(np.zeros(len(a), np.int32)), "a": pa.array(a), "b": pa.array(b),
                                        "tree": pa.nulls(len(a), pa.int32()), "sketch": pa.nulls(len(a), pa.binary())})
-    return (nodes.repartition("node").sortWithinPartitions("node")
-            .mapInArrow(compute, "kind int, a long, b long, tree int, sketch binary"))
+    return _dealt(nodes, "node", rows, NODE_ROWS).mapInArrow(compute, "kind int, a long, b long, tree int, sketch binary")
 
 
 def _looks_alike(vertices: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -147,14 +157,14 @@ def _looks_alike(vertices: DataFrame, threshold: float) -> tuple[DataFrame, Data
     """
     alike = threshold - 4.2 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
     nodes = vertices.select(F.posexplode("paths").alias("tree", "node"), "vertex", "sketch")
-    links = split = None
+    links = split = left = None
     for level in range(LEVELS):
-        out = stored(_branch(nodes, alike, level), "branches")
+        out = stored(_branch(nodes, alike, level, left), "branches")
         here = out.where("kind = 0").select("a", "b")
         links = here if links is None else links.unionAll(here)
         deeper = out.where("kind = 1").select(F.col("a").alias("node"), "tree", F.col("b").alias("vertex"), "sketch")
-        nodes = deeper
-        if deeper.isEmpty():
+        nodes, left = deeper, deeper.count()
+        if not left:
             break
         split = deeper.select("vertex", "tree") if split is None else split.unionAll(deeper.select("vertex", "tree"))
     else:
@@ -171,8 +181,11 @@ def _looks_alike(vertices: DataFrame, threshold: float) -> tuple[DataFrame, Data
     return links, depth.groupBy("vertex").agg(more.alias("more")).where(F.col("more") + TREES * whole > math.log(MISS)).select("vertex")
 
 
-def _verified(groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b) star links of the components inside each group of (node, vertex, set), confirmed on the full sets."""
+def _verified(meetings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) star links of the components inside each group of (node, vertex), confirmed on the full sets of (vertex, set)."""
+    meetings = stored(meetings, "meetings")
+    groups = meetings.join(sets, "vertex").select("node", "vertex", "set")
+
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts, whole in runs(batches, "node", 1 << 30):
             vertex = rows["vertex"].to_numpy()
@@ -203,7 +216,7 @@ def _verified(groups: DataFrame, percent: int) -> DataFrame:
                 moved = np.flatnonzero(root != np.arange(m))
                 if len(moved):
                     yield pa.record_batch({"a": pa.array(vertex[lo:hi][moved]), "b": pa.array(vertex[lo:hi][root[moved]])})
-    return (groups.repartition("node").sortWithinPartitions("node").mapInArrow(compute, "a long, b long"))
+    return _dealt(groups, "node", meetings.count(), SET_ROWS).mapInArrow(compute, "a long, b long")
 
 
 def _meetings(clusters: DataFrame) -> DataFrame:
@@ -337,12 +350,12 @@ def _joined_exactly(sets: DataFrame, labels: DataFrame, percent: int) -> DataFra
     prefixes = stored(_prefixes(sets, percent), "prefixes")
     apart = _apart(prefixes, labels)
     if _across(apart).count() > HUBS * sets.count():  # most of a large group is connected by one comparison of each vertex
-        hubs = stored(_verified(_around_hubs(apart).join(sets, "vertex").select("node", "vertex", "set"), percent), "hubs")
+        hubs = stored(_verified(_around_hubs(apart), sets, percent), "hubs")
         labels = _relabelled(labels, hubs)
         apart = _apart(prefixes, labels)
     if apart.isEmpty():
         return labels
-    rest = stored(_verified(_across(apart).join(sets, "vertex").select("node", "vertex", "set"), percent), "rest")
+    rest = stored(_verified(_across(apart), sets, percent), "rest")
     return labels if rest.isEmpty() else _relabelled(labels, rest)
 
 
@@ -376,11 +389,12 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
         texts = _numbered(docs, id_col, text_col).join(wanted, "id").select(F.col("id"), "text")
         return _named_sets(texts, width)
 
-    verified = _verified(met.join(sets_of(clusters.select("vertex")), "vertex").select("node", "vertex", "set"), percent)
+    verified = _verified(met, sets_of(clusters.select("vertex")), percent)
     same = components(verified).select(F.col("id").alias("vertex"), F.col("component").alias("label"))
     exactly = stored(huge.select("vertex").unionAll(unsure).distinct(), "exactly")
     if not exactly.isEmpty():
-        same = _joined_exactly(sets_of(exactly).join(exactly, "vertex", "left_semi"), stored(same, "labels"), percent)
+        sets = stored(sets_of(exactly).join(exactly, "vertex", "left_semi"), "exact-sets")  # read four times
+        same = _joined_exactly(sets, stored(same, "labels"), percent)
     same = same.withColumnRenamed("label", "group")
     placed = vertices.select("vertex", "id").join(same, "vertex", "left")
     group = F.coalesce("group", "vertex")
@@ -415,5 +429,6 @@ def _named_sets(texts: DataFrame, width: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that near_groups does not keep; rows with an id that is kept all stay."""
-    dropped = near_groups(docs, width, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs[id_col] == F.col("_dropped"), "left_anti")
+    dropped = near_groups(docs, width, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("id"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    return rows.join(dropped, "id", "left_anti").select("row.*")
