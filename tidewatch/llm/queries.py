@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tidewatch.llm.bpe import decode, encode, read_ranks
+from tidewatch.llm.bpe import read_ranks, round_trip
 from tidewatch.llm import (compact_windows, crf, curriculum, piecewise, prefix_trie, reply_trees, rule_cascade, spelling, tag_paths,
                            toxicity, voronoi)
 from tidewatch.llm.chosen_path import near_groups
@@ -67,30 +67,7 @@ def vocabulary(spark: SparkSession) -> dict[bytes, int]:
 @query()
 def op7_bpe_rank_queue(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the token ids of every whole text and of the bytes they decode to."""
-    ranks = vocabulary(spark)
-    ids = encode(table(spark, folder, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return decode(ids, ranks).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-MIX_SQL = r"""
-WITH RECURSIVE sized AS (
-  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
-    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-sources AS (
-  SELECT k, sum(size)::DOUBLE AS s, 3.0 * sum(size)::DOUBLE AS cap,
-    ((row_number() OVER (ORDER BY encode(k)) - 1) % 3 + 1)::DOUBLE AS w FROM sized GROUP BY k),
-rounds AS (  -- fill in rounds: those above their limit are held, their excess goes to the rest by weight
-  SELECT 0 AS r, k, s, cap, w, false AS held, 0.0::DOUBLE AS t FROM sources
-  UNION ALL
-  SELECT r + 1, k, s, cap, w, held OR share > cap, CASE WHEN held OR share > cap THEN cap ELSE share END
-  FROM (SELECT *, (sum(s) OVER (PARTITION BY r) - coalesce(sum(cap) FILTER (held) OVER (PARTITION BY r), 0)) * w
-      / nullif(sum(w) FILTER (NOT held) OVER (PARTITION BY r), 0) AS share FROM rounds) WHERE r < 30),
-targets AS (SELECT k, s, t FROM rounds WHERE r = 30)
-SELECT d.doc_id, d.size, t.s::BIGINT AS source_size, round(t.t, 6) AS target FROM sized d JOIN targets t USING (k)
-"""
+    return round_trip(table(spark, folder, "documents"), vocabulary(spark), public_tokenizers.PATTERN)
 
 
 @query()
