@@ -8,15 +8,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Rows of one Arrow batch that a function takes at a time.
 STEP = 512
 #: Bytes of text that a function takes at a time; a longer text is a slice of its own.
 STEP_BYTES = 4 << 20
+#: Rows of an Arrow batch of documents.
+DOCUMENTS = 2000
 #: Bytes of sorted rows that are joined with the ones before them at a time.
 JOINED_BYTES = 8 << 20
 
 
+def by_documents(spark: SparkSession, rows: int = DOCUMENTS) -> None:
+    """From now on, Arrow batches of the session have at most so many rows: tables of whole documents are heavy, and the executor and
+    its Python workers hold two batches each at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(rows, int(spark.conf.get(key, None) or rows))))
+
+
 def release() -> None:
     """Give memory that is free back to the machine: Python workers live on, and the next task runs in another one."""
     pa.default_memory_pool().release_unused()
