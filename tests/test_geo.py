@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -204,3 +205,40 @@ def test_device_log(spark):
     assert got == {"d1": ("t", "ACTIVE", False, None, None), "d2": ("t", "OFFLINE", True, 6.0, 6.0),
                    "d3": ("new", "ACTIVE", False, 1.0, 2.0), "d4": ("t", "ACTIVE", False, 50.0, 50.0)}
     assert {(r.seq, r.code) for r in registry.device_conflicts(devices, log).collect()} == {(5, 409), (6, 404)}
+
+
+def crowded_map(spark, n_areas=400, n_points=300):
+    """Areas that nearly all lie over each other, some with null corners, ids twice or null; devices repeat, some without an id."""
+    rng = random.Random(21)
+    areas = []
+    for i in range(n_areas):
+        lat, lng = rng.uniform(-1, 1), rng.uniform(-1, 1)
+        corners = [[lat + rng.uniform(-4, 4), lng + rng.uniform(-4, 4)] for _ in range(rng.choice([1, 3, 4, 5, 8, 9, 12]))]
+        if i % 37 == 5:
+            corners[0][i % 2] = None
+        areas.append((None if i % 97 == 9 else i - i % 2 if i % 50 == 1 else i, f"a{i}", None if i % 61 == 3 else (i * 7) % 40, corners))
+    points = [(i, None if i % 71 == 4 else f"d{i % (n_points - 20)}", "t", "ACTIVE", False, rng.uniform(-4, 4), rng.uniform(-4, 4))
+              for i in range(n_points)]
+    points += points[:5] + [(900, "far", "t", "ACTIVE", False, 80.0, 80.0), (901, "lost", "t", "ACTIVE", False, None, 0.0)]
+
+    def has(p, polygon):
+        corners = [[c for c in axis if c is not None] for axis in zip(*polygon, strict=True)]
+        if p[5] is None or not all(c and min(c) <= at <= max(c) for c, at in zip(corners, p[5:7], strict=True)):
+            return False
+        return sum((lng_i > p[6]) != (lng_j > p[6]) and p[5] < (lat_j - lat_i) * (p[6] - lng_i) / (lng_j - lng_i) + lat_i
+                   for (lat_i, lng_i), (lat_j, lng_j) in zip(polygon, [polygon[-1], *polygon[:-1]], strict=True)
+                   if None not in (lat_i, lng_i, lat_j, lng_j)) % 2 == 1
+    pairs = [(a, p) for a in areas for p in points if has(p, a[3])]
+    return spark.createDataFrame(points, DEVICE), spark.createDataFrame(areas, AREA), areas, pairs
+
+
+def test_pairs_decide_about_the_tasks(spark, monkeypatch):
+    """Few rows that give many pairs are dealt to many tasks; no area of few edges is tested by a list."""
+    monkeypatch.setattr(geo, "PAIRS_PER_TASK", 200)
+    devices, areas, _, pairs = crowded_map(spark, 150, 200)
+    got = geo.spatial_join(devices, areas)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    tasks = [int(n) for n in re.findall(r"RepartitionByExpression \[[^\]]*\], (\d+)", plan)]
+    assert min(tasks) >= 8 and max(tasks) > 2 * len(pairs) // 200
+    found = sorted((str(r.area_id), str(r.device_id), r.latitude) for r in got.collect())
+    assert found == sorted((str(a[0]), str(p[1]), p[5]) for a, p in pairs) and len(found) > 2000
