@@ -232,6 +232,18 @@ def crowded_map(spark, n_areas=400, n_points=300):
     return spark.createDataFrame(points, DEVICE), spark.createDataFrame(areas, AREA), areas, pairs
 
 
+def counted_joins(monkeypatch):
+    """The numbers of pairs that the spatial joins from now on list."""
+    listed, join = [], geo.spatial_join
+
+    def counting(devices, areas, *rest):
+        pairs = join(devices, areas, *rest)
+        listed.append(pairs.count())
+        return pairs
+    monkeypatch.setattr(geo, "spatial_join", counting)
+    return listed
+
+
 def test_pairs_decide_about_the_tasks(spark, monkeypatch):
     """Few rows that give many pairs are dealt to many tasks; no area of few edges is tested by a list."""
     monkeypatch.setattr(geo, "PAIRS_PER_TASK", 200)
@@ -242,3 +254,17 @@ def test_pairs_decide_about_the_tasks(spark, monkeypatch):
     assert min(tasks) >= 8 and max(tasks) > 2 * len(pairs) // 200
     found = sorted((str(r.area_id), str(r.device_id), r.latitude) for r in got.collect())
     assert found == sorted((str(a[0]), str(p[1]), p[5]) for a, p in pairs) and len(found) > 2000
+
+
+def test_first_area_without_all_pairs(spark, monkeypatch):
+    devices, areas, _, pairs = crowded_map(spark)
+    listed = counted_joins(monkeypatch)
+    got = {r.device_id: (r.created_at, r.area_id, r.area_name) for r in geo.first_located(devices, areas, 10).collect()}
+    want = {}
+    for a, p in pairs:
+        if p[1] is not None:
+            want[p[1]] = min(want.get(p[1], ((True, 10**9), (True, 0), "")), ((a[2] is not None, a[2]), (a[0] is not None, a[0]), a[1]),
+                             key=lambda k: (k[0][0], k[0][1] or 0, k[1][0], k[1][1] or 0, k[2]))
+    assert got == {d: (c[1], i[1], name) for d, (c, i, name) in want.items()}
+    assert len(listed) > 1 and sum(listed) < len(pairs) / 3
+    assert geo.first_located(devices, areas.where("id < 0")).collect() == []

@@ -20,6 +20,8 @@ FEW_EDGES = 8  # an area with no more has its corners in columns
 _CELLS_PER_AREA, _ROW_BYTES, _EDGE_BYTES = 4, 256, 64  # size of the cell table, for the broadcast check
 _FINER = 2  # halvings of the fitting cell, so that fewer points outside a box are met; at most 25 cells an area
 PAIRS_PER_TASK = 50_000_000  # pairs of points and areas of one cell that a task compares
+STEP_ROWS = 256  # areas, or points, in the first step of a search for one match
+_STEPS_OF = 1024  # slices that are dealt to the steps, at most
 
 
 def members(area_devices: DataFrame, devices: DataFrame) -> DataFrame:
@@ -208,6 +210,36 @@ def spatial_join(devices: DataFrame, areas: DataFrame, many_edges: int = MANY_ED
     return reduce(DataFrame.unionByName, found[1:] if not few_count and found[1:] else found)
 
 
+def _in_steps(rows: DataFrame, slices: int) -> tuple[DataFrame, list[int]]:
+    """Rows with their slice ``_slice`` (from 0) as steps ``_step``, each four times as large as all before it, and the steps in order."""
+    rows = stored(rows.withColumn("_step", F.floor(F.log2(F.col("_slice") + 1) / 2).cast("int")).drop("_slice"), "steps")
+    return rows, sorted(r[0] for r in rows.select("_step").distinct().collect()) if slices > 1 else [0]
+
+
+def first_located(devices: DataFrame, areas: DataFrame, step_rows: int = STEP_ROWS) -> DataFrame:
+    """Per device the first area, in (created_at, id) order, that it lies in: the pairs of ``spatial_join`` with the least
+    (created_at, area_id, area_name).
+
+    Areas come in steps of that order, the first one small. Only devices that are in no area of the steps before look at the next,
+    so a device in many areas isn't paired with all of them.
+    """
+    shapes = areas.where(F.size("polygon") > 0).select("id", "name", "created_at", "polygon")
+    slices = max(1, min(_STEPS_OF, shapes.count() // step_rows))
+    ordered, steps = _in_steps(shapes.repartitionByRange(slices, "created_at", "id").withColumn("_slice", F.spark_partition_id()), slices)
+    waiting = devices.where(F.col("device_id").isNotNull() & has_gps(F.col("latitude"), F.col("longitude"))).select(
+        "device_id", "latitude", "longitude")
+    found = []
+    for step in steps:
+        located = spatial_join(waiting, ordered.where(F.col("_step") == step))
+        first = located.groupBy("device_id").agg(F.min(F.struct("created_at", "area_id", "area_name")).alias("a"))
+        found.append(stored(first.select("device_id", "a.*"), "first-areas"))
+        if step != steps[-1]:
+            waiting = stored(waiting.join(found[-1].select("device_id"), "device_id", "left_anti"), "waiting")
+            if waiting.isEmpty():
+                break
+    return reduce(DataFrame.unionByName, found)
+
+
 def with_polygon(areas: DataFrame, strict: bool = True) -> DataFrame:
     return areas.withColumn("polygon", parse_polygon(F.col("polygon"), strict))
 

@@ -76,7 +76,7 @@ def area_at_risk(d: Domain) -> DataFrame:
 LEFT JOIN (SELECT device_id, arg_min(area_name, created_at * 1000000 + area_id) AS name FROM located GROUP BY device_id) f
   ON m.device_id = f.device_id""")
 def geo_area_fallback(d: Domain) -> DataFrame:
-    return geo.resolve_area(geo.devices_for_map(d.devices, d.areas, d.area_devices), d.located)
+    return geo.resolve_area(geo.devices_for_map(d.devices, d.areas, d.area_devices), geo.first_located(d.devices, d.shapes))
 
 
 @query("""SELECT count(*) AS total_devices, count(CASE WHEN is_anomaly THEN 1 END) AS anomalous,
