@@ -268,3 +268,15 @@ def test_first_area_without_all_pairs(spark, monkeypatch):
     assert got == {d: (c[1], i[1], name) for d, (c, i, name) in want.items()}
     assert len(listed) > 1 and sum(listed) < len(pairs) / 3
     assert geo.first_located(devices, areas.where("id < 0")).collect() == []
+
+
+def test_members_of_areas_are_not_stored(spark, monkeypatch):
+    devices, areas, rows, pairs = crowded_map(spark, 80, 100)
+    store = geo.stored
+    purposes = []
+    monkeypatch.setattr(geo, "stored", lambda df, purpose: purposes.append(purpose) or store(df, purpose))
+    got = sorted((str(r.area_id), r.name, str(r.device_id), r.device_count) for r in geo.geo_area_members(areas, geo.spatial_join(devices, areas)).collect())
+    count = {a[0]: sum(b[0] == a[0] for b, _ in pairs) if a[0] is not None else 0 for a in rows}
+    want = [(str(a[0]), a[1], str(p[1]), count[a[0]]) for b, p in pairs for a in rows if a[0] is not None and a[0] == b[0]]
+    want += [(str(a[0]), a[1], "None", 0) for a in rows if not count[a[0]]]
+    assert got == sorted(want) and "located" not in purposes
