@@ -280,3 +280,18 @@ def test_members_of_areas_are_not_stored(spark, monkeypatch):
     want = [(str(a[0]), a[1], str(p[1]), count[a[0]]) for b, p in pairs for a in rows if a[0] is not None and a[0] == b[0]]
     want += [(str(a[0]), a[1], "None", 0) for a in rows if not count[a[0]]]
     assert got == sorted(want) and "located" not in purposes
+
+
+def test_areas_at_risk_without_all_pairs(spark, monkeypatch):
+    devices, areas, rows, pairs = crowded_map(spark)
+    listed = counted_joins(monkeypatch)
+    some = geo.some_located(devices, areas, 10)
+    found = [(r.area_id, r.device_id) for r in some.collect()]
+    assert len(found) == len(set(a for a, _ in found)) and set(found) <= {(a[0], p[1]) for a, p in pairs}
+    assert {a for a, _ in found} == {a[0] for a, p in pairs if a[0] is not None and p[1] is not None}
+    assert len(listed) > 1 and sum(listed) < len(pairs) / 3
+    marked = devices.withColumn("is_anomaly", F.lit(True))
+    risk = sorted((str(r.area_id), r.name, r.high_risk) for r in geo.areas_at_risk(areas, some, marked).collect())
+    hit = {a[0] for a, p in pairs if p[1] is not None}
+    assert risk == sorted((str(a[0]), a[1], a[0] is not None and a[0] in hit) for a in rows)
+    assert geo.some_located(devices.where("id < 0"), areas).collect() == []

@@ -240,6 +240,29 @@ def first_located(devices: DataFrame, areas: DataFrame, step_rows: int = STEP_RO
     return reduce(DataFrame.unionByName, found)
 
 
+def some_located(devices: DataFrame, areas: DataFrame, step_rows: int = STEP_ROWS) -> DataFrame:
+    """(area_id, device_id): one device of every area that has any in it, of the pairs of ``spatial_join``. Devices without an id
+    take no part.
+
+    Devices come in steps by a hash, the first one small. Only areas without a device of the steps before look at the next, so an
+    area with many isn't paired with all of them.
+    """
+    points = devices.where(F.col("device_id").isNotNull() & has_gps(F.col("latitude"), F.col("longitude"))).select(
+        "device_id", "latitude", "longitude")
+    slices = max(1, min(_STEPS_OF, points.count() // step_rows))
+    dealt, steps = _in_steps(points.withColumn("_slice", F.pmod(F.xxhash64(*points.columns), F.lit(slices))), slices)
+    waiting = areas.where(F.col("id").isNotNull() & (F.size("polygon") > 0)).select("id", "name", "created_at", "polygon")
+    found = []
+    for step in steps:
+        located = spatial_join(dealt.where(F.col("_step") == step), waiting)
+        found.append(stored(located.groupBy("area_id").agg(F.min("device_id").alias("device_id")), "some-devices"))
+        if step != steps[-1]:
+            waiting = stored(waiting.join(found[-1].select(F.col("area_id").alias("id")), "id", "left_anti"), "waiting")
+            if waiting.isEmpty():
+                break
+    return reduce(DataFrame.unionByName, found)
+
+
 def with_polygon(areas: DataFrame, strict: bool = True) -> DataFrame:
     return areas.withColumn("polygon", parse_polygon(F.col("polygon"), strict))
 

@@ -9,6 +9,7 @@ from tidewatch.functions.readings import has_gps
 from tidewatch.operators import devices, geo
 from tidewatch.plans.registry import query, rounded
 from tidewatch.plans.views import Domain
+from tidewatch.session import stored
 
 
 @query("""SELECT a.id AS area_id, a.name, m.device_id, count(m.device_id) OVER (PARTITION BY a.id) AS device_count
@@ -69,7 +70,8 @@ def point_in_detailed_polygon(d: Domain) -> DataFrame:
 @query("""SELECT a.id AS area_id, a.name, EXISTS (SELECT 1 FROM located l JOIN marked m ON l.device_id = m.device_id
   WHERE l.area_id = a.id AND m.is_anomaly) AS high_risk FROM areas a""")
 def area_at_risk(d: Domain) -> DataFrame:
-    return geo.areas_at_risk(d.areas, d.located, d.marked)
+    bad = stored(d.marked.where("is_anomaly"), "anomalous")
+    return geo.areas_at_risk(d.areas, geo.some_located(bad, d.shapes), bad)
 
 
 @query("""SELECT m.* REPLACE (coalesce(f.name, m.area_name) AS area_name) FROM mapped m
