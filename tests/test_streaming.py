@@ -186,6 +186,27 @@ def test_failing_rows_stand_alone(spark):
     assert names_in(spark, f"{out}/dead") == [] and spark.read.parquet(f"{out}/ok").count() == 9997
 
 
+def test_parts_take_their_own_devices(spark, monkeypatch):
+    """A part of a micro-batch is joined with no more devices than it has; the outcome is that of all devices."""
+    seen, process = [], jobs.process_batch
+
+    def counting(rows, devices, *rest):
+        seen.append(devices.count())
+        return process(rows, devices, *rest)
+    monkeypatch.setattr(jobs, "process_batch", counting)
+    out = scratch_dir(spark, "out")
+    rows = [(f"d{i}" if i % 50 else None, i, T0, 50.0, 1.0, 0.1) for i in range(400)] + [("unknown", 999, T0, 1.0, 1.0, 0.1)]
+    devices = spark.createDataFrame([(f"d{i}", "probe") for i in range(800)], "device_id string, type string")
+    rules = spark.createDataFrame([(1, "temperature", 60.0)], "id int, metric string, threshold double")
+    broken = F.when(F.col("event_id") == 77, F.raise_error(F.lit("bad reading"))).otherwise(F.lit(True)).cast("boolean")
+    frame = spark.createDataFrame(rows, EVENT).withColumns({"correlation_id": F.lit("c"), "event_type": F.lit("t")})
+    jobs.tolerant_process_sink(lambda: devices, lambda: rules, out, lambda events: events.where(broken))(frame, 0)
+    assert seen[0] == 392 and min(seen) <= 1 and sum(seen) < 5 * 392
+    done = sorted(r.original_event_id for r in spark.read.parquet(f"{out}/processed").collect())
+    assert done == [i for i in range(400) if i % 50 and i != 77]
+    assert [r.row.event_id for r in spark.read.parquet(f"{out}/dead").collect()] == [77]
+
+
 def test_faults_of_all_rows_are_not_dead_letters(spark):
     out = scratch_dir(spark, "out")
     frame = spark.range(200).select("id")
