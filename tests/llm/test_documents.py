@@ -505,3 +505,54 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, model).count() == 0
     blank = toxicity.toxicity(odd_docs, labels.limit(0)).collect()
     assert {r.score for r in blank} == {0.5}
+
+
+def test_mixing_moves_whole_texts_once(spark, monkeypatch):
+    """In partitions of about 100 rows the mix has the order of the plan, and texts pass through one exchange."""
+    rng = random.Random(3)
+    rows = [(7 * i - 300, "w " * rng.randint(0, 40) if i % 50 else None, rng.choice(["a", "b", "b", "c", None])) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(curriculum, "PART_ROWS", 100)
+    mixed = curriculum.mixed(docs)
+    taken = F.filter("copies", lambda c: 2 * c["words"] >= F.col("size"))
+    want = [r.id for r in curriculum.in_order(curriculum.plan(docs).withColumn("copies", taken)).collect()]
+    assert mixed.rdd.getNumPartitions() == 8 and [r.doc_id for r in mixed.collect()] == want
+    plan = mixed.select("*")._jdf.queryExecution().executedPlan().toString()  # not run yet
+    assert re.findall(r"\bExchange (\w+\([a-z_]+)", plan) == ["shufflepartitionidpassthrough(direct_shuffle_partition_id", "hashpartitioning(key"]
+
+
+def test_shared_halves_against_brute_force(spark, monkeypatch):
+    """Halves of one document, of several, and of so many rows that they come in pieces; those met in a task need no exchange."""
+    monkeypatch.setattr(compact_windows, "PIECE", 64)
+    rng, batches = np.random.default_rng(2), []
+    for _ in range(4):
+        half = np.where(rng.random(400) < 0.5, 1, rng.integers(2, 900, 400))
+        batches.append((half, rng.integers(0, 300, 400), rng.integers(0, 1 << 40, 400)))
+    told = pa.Table.from_batches([compact_windows._told(*b) for b in batches])
+    holders, rows = {}, [r for b in batches for r in zip(*(c.tolist() for c in b), strict=True)]
+    for half, i, _ in rows:
+        holders.setdefault(half, set()).add(i)
+    got = compact_windows._of_two(spark.createDataFrame(told.to_pandas(), "half long, id long, starts long, known boolean")).collect()
+    assert Counter(map(tuple, got)) == Counter((i, at) for half, i, at in rows if len(holders[half]) > 1)
+    assert sum(half == 1 and not known for half, known in zip(told["half"].to_pylist(), told["known"].to_pylist(), strict=True)) == 4
+
+
+def test_runs_lead_to_their_first_document(spark, monkeypatch):
+    monkeypatch.setattr(compact_windows, "PIECE", 64)
+    rng = random.Random(5)
+    rows = list({(rng.choice([1, 1, *range(2, 200)]), rng.randint(-300, 300), rng.randint(0, 9)) for _ in range(3000)})
+    got = compact_windows._to_first(spark.createDataFrame(rows, "run long, id long, p int")).collect()
+    first = {run: min((i, p) for r, i, p in rows if r == run) for run, _, _ in rows}
+    assert Counter(map(tuple, got)) == Counter((i, p, first[run][0], p - first[run][1]) for run, i, p in rows if i != first[run][0])
+
+
+def test_labels_meet_vertices_not_shingles(spark):
+    """A set has one row of prefix shingles to be joined with its label, however many they are."""
+    sets = spark.createDataFrame([(v, [v * 100 + k for k in range(100)] + [7]) for v in range(1, 6)], "vertex long, set array<long>")
+    prefixes = chosen_path._prefixes(sets, 80)
+    assert prefixes.count() == 5 and {len(r.tokens) for r in prefixes.collect()} == {21}
+    apart = chosen_path._apart(prefixes, spark.createDataFrame([(1, 1), (2, 1)], "vertex long, label long"))
+    held = {r.vertex: set(r.tokens) for r in prefixes.collect()}
+    labels = {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    want = {(t, v) for v, ts in held.items() for t in ts if len({labels[u] for u in held if t in held[u]}) > 1}
+    assert {(r.token, r.vertex) for r in apart.collect()} == want

@@ -273,7 +273,7 @@ def _bucket(values: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, vertex, common) of (vertex, set): so many of a set's rarest shingles that two sets at the threshold share one of
+    """(vertex, tokens, common) of (vertex, set): so many of a set's rarest shingles that two sets at the threshold share one of
     them, and how common the set's shingles are on average."""
     shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
 
@@ -288,15 +288,17 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
             place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             some = place < (sizes + 1 + (-percent * sizes) // 100)[owner]
             mean = np.bincount(owner, weights=count, minlength=len(sizes)) / np.maximum(sizes, 1)
-            yield pa.record_batch({"token": pa.array(values[order][some]), "vertex": batch["vertex"].take(pa.array(owner[some])),
-                                   "common": pa.array(mean[owner[some]])})
-    return sets.mapInArrow(compute, "token long, vertex long, common double")
+            ends = np.concatenate(([0], np.cumsum(np.bincount(owner[some], minlength=len(sizes))))).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(values[order][some]))
+            yield pa.record_batch({"vertex": batch["vertex"], "tokens": tokens, "common": pa.array(mean)})
+    return sets.mapInArrow(compute, "vertex long, tokens array<long>, common double")
 
 
 def _apart(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
     """(token, vertex, label, m, hub) of prefix shingles with m vertices that don't all have the same of labels (vertex, label),
     which only those in some link have; hub is the vertex with the most common shingles."""
-    rows = prefixes.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+    named = prefixes.join(labels, "vertex", "left")  # before there is a row for each shingle
+    rows = named.select(F.explode("tokens").alias("token"), "vertex", F.coalesce("label", "vertex").alias("label"), "common")
     groups = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.max_by("vertex", F.struct("common", "vertex")).alias("hub"),
                                        F.min("label").alias("low"), F.max("label").alias("high"))
     return stored(rows.join(groups.where("low <> high").select("token", "m", "hub"), "token"), "apart")
@@ -429,6 +431,7 @@ def _named_sets(texts: DataFrame, width: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that near_groups does not keep; rows with an id that is kept all stay."""
-    dropped = near_groups(docs, width, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("id"))
+    dropped = stored(near_groups(docs, width, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("id")), "dropped")
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
     return rows.join(dropped, "id", "left_anti").select("row.*")

@@ -5,6 +5,9 @@ words; a share that asks for more than `most` times the source is cut there and
 cumulative demand of a source, inverted, gives the time at which each of its documents (and each repetition) is due, and the
 mix is sorted by that time. A source's documents follow one another in the order of a hash of their id. Running totals are
 built from slices of a bounded number of rows, so that a source with a large share of all rows is spread over many tasks.
+
+Whole texts are moved once: sizes alone say when each piece of a source is due, so a document goes straight to the parts of the mix
+that its piece reaches into, and its own time is worked out there.
 """
 
 from __future__ import annotations
@@ -16,6 +19,9 @@ from pyspark.sql import functions as F
 from tidewatch.session import stored
 
 SLICE_ROWS = 1024  # aimed at; a slice's rows are ordered in one task
+PART_ROWS = 4096  # of the mix, at least, in a partition
+PIECES = 8  # of each source for every partition of the mix; a piece lies in one partition or, at its ends, in two
+_NEAR = 1e-9  # of the time from 0 to 1: more than rounding makes
 #: The part of a weight schedule between two times, and the area before and under it.
 SEGMENT = "array<struct<t0 double, t1 double, w0 double, w1 double, area0 double, area1 double>>"
 
@@ -87,12 +93,33 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     A source without words has target 0, and an empty table gives an empty result. Rows of one id, source and size that are
     told apart by nothing else are interchangeable. Other columns are not read. The same rows give the same result.
     """
-    key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
-    sized = stored(docs.select(F.col(id_col).alias("id"), key.alias("key"), word_count(F.col(text_col)).alias("size")), "sizes")
+    sized = stored(docs.select(F.col(id_col).alias("id"), _key(source_col), word_count(F.col(text_col)).alias("size")), "sizes")
+    return _planned(sized, schedules, most)
+
+
+def _key(source_col: str) -> Column:
+    source = F.col(source_col)
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string"))).alias("key")
+
+
+def _place() -> Column:
+    """Where a row of an id stands in its source, from 0 to 1."""
+    return F.shiftrightunsigned(F.xxhash64("id", F.lit(20)), 11).cast("double") / F.lit(float(1 << 53))
+
+
+def _copy(k: Column) -> Column:
+    """(copy, words, position) of the row's k-th copy."""
+    start = F.col("_begin") + k * F.col("source_size")
+    words = F.least(F.col("size"), F.greatest(F.round("target").cast("long") - start, F.lit(0).cast("long")))
+    return F.struct(k.cast("int").alias("copy"), words.alias("words"), _due(start + words / 2).alias("position"))
+
+
+def _planned(sized: DataFrame, schedules: tuple[str, ...], most: int) -> DataFrame:
+    """The plan of (id, key, size)."""
     targets = _targets(sized, schedules, float(most))
     # The hash of the id says in which slice of its source a row lies. Sources are cut alike, as the largest needs it, so that
     # they need not meet their rows for it.
-    place = F.shiftrightunsigned(F.xxhash64("id", F.lit(20)), 11).cast("double") / F.lit(float(1 << 53))
+    place = _place()
     counts = sized.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     slices = F.lit(int(counts.agg(F.max(F.ceil(F.col("n") / SLICE_ROWS))).first()[0] or 1))
     sliced = sized.withColumn("place", place).withColumn("slice", F.floor(F.col("place") * slices).cast("long"))
@@ -103,14 +130,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     within = W.partitionBy("key", "slice").orderBy("place", "id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = (sliced.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
               .join(offsets, ["key", "slice"]).withColumn("_begin", F.col("offset") + F.col("_before")))
-    goal = F.round("target").cast("long")
-
-    def copy(k: Column) -> Column:
-        start = F.col("_begin") + k * F.col("source_size")
-        words = F.least(F.col("size"), F.greatest(goal - start, F.lit(0).cast("long")))
-        return F.struct(k.cast("int").alias("copy"), words.alias("words"), _due(start + words / 2).alias("position"))
-
-    copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), copy), lambda c: c["words"] > 0)
+    copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), _copy), lambda c: c["words"] > 0)
     return placed.select("id", F.col("key").alias("source_key"), "size", "source_size", "target",
                          copies.alias("copies"))
 
@@ -133,8 +153,44 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     known = known.cast("string" if dict(docs.dtypes)[id_col] == "string" else "long")
     named = F.coalesce(known, F.xxhash64(F.lit(0), F.col(f"`{text_col}`"), F.col(f"`{source_col}`")).cast(docs.select(known).schema[0].dataType))
     rows = docs.select(F.struct("*").alias("row"), named.alias("id"))
-    counted = (plan(docs.select(named.alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source")),
-                    schedules=schedules, id_col="id", text_col="text", source_col="source", most=most)
+    sized = stored(docs.select(named.alias("id"), _key(f"`{source_col}`"), word_count(F.col(f"`{text_col}`")).alias("size")), "sizes")
+    if sized.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        by_row = docs.select(F.struct("*").alias("row"), named.alias("id"), _key(f"`{source_col}`"), word_count(F.col(f"`{text_col}`")).alias("size"))
+        return _in_parts(by_row, sized, schedules, most)
+    counted = (_planned(sized, schedules, most)
                .withColumn("copies", F.filter("copies", lambda c: 2 * c["words"] >= F.col("size")))
                .groupBy("id").agg(F.min_by("copies", F.struct("source_key", "size")).alias("copies")).where(F.size("copies") > 0))
     return (rows.join(counted, "id").withColumn("c", F.explode("copies")).orderBy("c.position", "id", "c.copy").select("row.*"))
+
+
+def _in_parts(rows: DataFrame, sized: DataFrame, schedules: tuple[str, ...], most: int) -> DataFrame:
+    """row of (row, id, key, size), whose ids are all different, in training order. sized: the rows without row.
+
+    A piece of a source, of which there is a bounded number, is due from the time of its first word to that of its last one. It goes
+    whole to each part of the mix that has some of this time, where it is ordered and what is due in other parts is left out.
+    """
+    spark = rows.sparkSession
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), sized.count() // PART_ROWS))
+    piece = F.floor(_place() * (PIECES * parts)).cast("int").alias("piece")
+    earlier = W.partitionBy("key").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    pieces = (sized.groupBy("key", piece).agg(F.sum("size").alias("words"))
+              .withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+              .join(_targets(sized, schedules, float(most)), "key"))
+    start = F.col("offset") + F.col("copy") * F.col("source_size")
+    copies = stored(pieces.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).where(start < F.round("target"))
+                    .withColumns({"from": _due(start) - _NEAR, "to": _due(start + F.col("words")) + _NEAR}), "pieces")
+    shares = [n / parts for n in range(1, parts)]
+    edges = (copies.agg(F.percentile("from", shares, F.col("words"))).first()[0] if shares else None) or []
+    edges = F.array(*[F.lit(float("-inf")), *map(F.lit, edges), F.lit(float("inf"))])
+    into = F.filter(F.sequence(F.lit(0), F.lit(parts - 1)), lambda t: (F.get(edges, t) <= F.col("to")) & (F.get(edges, t + 1) > F.col("from")))
+    reached = copies.select("key", "piece", F.struct("copy", into.alias("parts")).alias("into"), "offset", "source_size", "target", "segments")
+    reached = reached.groupBy("key", "piece").agg(F.collect_list("into").alias("into"), *[F.first(c).alias(c) for c in ("offset", "source_size", "target", "segments")])
+    sent = (rows.withColumn("place", _place()).withColumn("piece", F.floor(F.col("place") * (PIECES * parts)).cast("int"))
+            .join(F.broadcast(reached), ["key", "piece"]).withColumn("into", F.explode("into"))
+            .select("row", "id", "key", "size", "place", "piece", "offset", "source_size", "target", "segments", "into.copy", F.explode("into.parts").alias("part")))
+    within = W.partitionBy("part", "key", "piece", "copy").orderBy("place", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    due = (sent.repartitionById(parts, F.col("part"))
+           .withColumn("_begin", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+           .withColumn("c", _copy(F.col("copy"))).where((F.col("c.words") > 0) & (2 * F.col("c.words") >= F.col("size")))
+           .where((F.col("c.position") >= F.get(edges, F.col("part"))) & (F.col("c.position") < F.get(edges, F.col("part") + 1))))
+    return due.sortWithinPartitions("c.position", "id", "copy").select("row.*")
