@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidewatch.session import stored
 
 SLICE_ROWS = 1024  # aimed at; a slice's rows are ordered in one task
-PART_ROWS = 4096  # of the mix, at least, in a partition
+PART_ROWS = 2048  # of the mix, at least, in a partition
 PIECES = 8  # of each source for every partition of the mix; a piece lies in one partition or, at its ends, in two
 _NEAR = 1e-9  # of the time from 0 to 1: more than rounding makes
 #: The part of a weight schedule between two times, and the area before and under it.
