@@ -16,6 +16,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidewatch.llm import bpe, chosen_path, compact_windows, crf, curriculum, piecewise, toxicity
 from tidewatch.llm import components as components_module
 from tidewatch.llm.components import components
@@ -547,3 +548,17 @@ def test_labels_meet_vertices_not_shingles(spark):
     labels = {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
     want = {(t, v) for v, ts in held.items() for t in ts if len({labels[u] for u in held if t in held[u]}) > 1}
     assert {(r.token, r.vertex) for r in apart.collect()} == want
+
+
+def test_encoder_remembers_no_more_than_asked(spark, prose, monkeypatch):
+    """The pipeline's workers remember less than an encoder that is alone, and the ids do not depend on it."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b" c": 257}
+    short, long = (bpe.TextEncoder(ranks, bpe.SPACED_PATTERN, n) for n in (20, 5000))
+    texts = [prose(100) + ", and." for _ in range(5)]
+    assert [short(t) for t in texts] == [long(t) for t in texts]
+    for table in (short.token.__self__, short.after_space.__self__):
+        assert len(table) <= 20 and len(table.older) <= 20
+    asked = {}
+    monkeypatch.setattr(bpe, "encode", lambda docs, ranks, pattern, **options: asked.update(options) or docs)
+    corpus_pipeline.encoding(spark, spark.range(1), "")
+    assert asked["remembered"] <= 100_000 < bpe.REMEMBERED

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.batches import slices
 
-#: Encoded pre-tokens that a worker remembers; only speed depends on it.
+#: Encoded pre-tokens that a worker remembers, in each generation of two tables; only speed and memory (about 170 bytes each) depend on it.
 REMEMBERED = 600_000
 #: Longer pre-tokens are encoded anew each time.
 REMEMBERED_CHARS = 64
@@ -198,16 +198,16 @@ class Encoder:
 class Remembered(dict):
     """Keeps the last values computed for keys: a full generation becomes the older one, and what is asked for returns from it."""
 
-    def __init__(self, compute: Callable[[str], bytes]) -> None:
+    def __init__(self, compute: Callable[[str], bytes], most: int) -> None:
         super().__init__()
-        self.compute, self.older = compute, {}
+        self.compute, self.most, self.older = compute, most, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
         if len(key) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
@@ -221,13 +221,13 @@ class TextEncoder:
     same way whatever stands around it; the ids of frequent pieces are remembered. Other texts go through the pattern whole.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED) -> None:
         self.matches = regex.compile(pattern).findall
         # Whether a piece at a space depends on its neighbours: white space beside a space, at the start or at the end.
         self.uneven = re.compile(r" \s|^\s| $").search if pattern == SPACED_PATTERN else lambda text: True
         encoder = Encoder(ranks)
-        self.token = Remembered(lambda piece: array("i", encoder.encode(piece.encode("utf-8"))).tobytes()).__getitem__
-        self.after_space = Remembered(lambda piece: self._by_pattern(" " + piece)).__getitem__
+        self.token = Remembered(lambda piece: array("i", encoder.encode(piece.encode("utf-8"))).tobytes(), remembered).__getitem__
+        self.after_space = Remembered(lambda piece: self._by_pattern(" " + piece), remembered).__getitem__
 
     def _by_pattern(self, text: str) -> bytes:
         return b"".join(map(self.token, self.matches(text)))
@@ -241,15 +241,15 @@ class TextEncoder:
         return self._by_pattern(first) + b"".join(map(self.after_space, others))
 
 
-_ENCODERS: dict[tuple[str, int], TextEncoder] = {}
+_ENCODERS: dict[tuple[str, int, int], TextEncoder] = {}
 
 
-def _encoder(ranks: dict[bytes, int], pattern: str) -> TextEncoder:
+def _encoder(ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED) -> TextEncoder:
     """The encoder of this Python worker, with what it remembers from earlier tasks; one vocabulary at a time."""
-    key = (pattern, hash(tuple(ranks.items())))
+    key = (pattern, hash(tuple(ranks.items())), remembered)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = TextEncoder(ranks, pattern)
+        _ENCODERS[key] = TextEncoder(ranks, pattern, remembered)
     return _ENCODERS[key]
 
 
@@ -284,17 +284,18 @@ def _encoded(texts: pa.Array, ids_of: TextEncoder) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(b"".join(blobs), dtype=np.int32), np.array([len(b) // 4 for b in blobs], dtype=np.int64)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids",
+           remembered: int = REMEMBERED) -> DataFrame:
     """docs with ids_col: the token ids of the whole text; each match of pattern is encoded on its own.
 
     A null or empty text has no ids. There are no special tokens: their spellings are ordinary text. ids_col replaces a column
-    of that name; all other columns are kept.
+    of that name; all other columns are kept. remembered: as REMEMBERED, for executors that other work has filled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # one vocabulary, about 50,000 short entries
     names = [c for c in docs.columns if c != ids_col]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _encoder(shared.value, pattern)
+        ids_of = _encoder(shared.value, pattern, remembered)
         for batch in slices(batches, text_col):
             ids, counts = _encoded(batch.column(batch.schema.get_field_index(text_col)), ids_of)
             offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
