@@ -550,6 +550,63 @@ def test_labels_meet_vertices_not_shingles(spark):
     assert {(r.token, r.vertex) for r in apart.collect()} == want
 
 
+def test_first_rows_of_groups_as_they_pass(spark):
+    """Groups of one row to many, also cut by the ends of Arrow batches; nothing is held in a window."""
+    rng = random.Random(5)
+    rows = [(key, 3 if key == 9 else 0, rng.randrange(3) if key == 9 else 0, rng.randrange(-20, 20), rng.randrange(1 << 40))
+            for key in range(60) for _ in range(rng.choice([1, 2, 3, 5, 40]))]
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[:3], []).append(r[3:])
+    want = Counter()
+    for (key, salts, salt), held in groups.items():
+        crowd = len(held) > 2 or salts > 0
+        want.update((key, salts, salt, i, at, *min(held), crowd) for i, at in held if crowd or i != min(held)[0])
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    try:
+        for size in ("3", before):
+            spark.conf.set(batch, size)
+            headed = compact_windows._headed(spark.createDataFrame(rows, "key long, salts int, salt int, id long, at long"))
+            assert Counter(map(tuple, headed.collect())) == want
+    finally:
+        spark.conf.set(batch, before)
+    assert "Window" not in headed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_texts_are_moved_once(spark, prose):
+    """Candidates take their parts of both texts along one exchange; Arrow batches may end between the sides."""
+    texts = {i: prose(200).split() for i in range(6)}
+    for i in range(1, 6):
+        texts[i][20 * i : 20 * i + 80] = texts[0][10 * i : 10 * i + 80]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string")
+    rows = [(i, 0, 190, 0, 0, 190) for i in range(1, 6)] + [(3, 50, 130, 0, 10, 100)]
+    candidates = spark.createDataFrame(rows, "id long, lo int, hi int, rep long, rlo int, rhi int")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    try:
+        spark.conf.set(batch, "3")
+        found = compact_windows._verified(candidates, docs, 46, 80)
+        assert Counter(map(tuple, found.collect())) == Counter(
+            [(i, 20 * i, 20 * i + 79, 0, 10 * i, 10 * i + 79) for i in range(1, 6)] + [(3, 60, 134, 0, 30, 104)])
+    finally:
+        spark.conf.set(batch, before)
+    plan = found.select("*")._jdf.queryExecution().executedPlan().toString()  # not run yet
+    assert "Exchange hashpartitioning(candidate" in plan and plan.count("Exchange hashpartitioning(") <= 3
+
+
+def test_spans_of_long_slopes():
+    """Equal and falling values, of which a search passes one after another, are done as by looking at each."""
+    rng = np.random.default_rng(8)
+    for values in (np.full(900, 7), np.arange(900)[::-1], np.append(np.arange(900), [0, 3, 1]), rng.integers(0, 9, 900)):
+        ranked, begin = values.astype(np.uint64), np.array([0, 300, 300, len(values)])
+        left, right = compact_windows._spans(np.arange(len(values)), ranked, begin)
+        for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+            low, high = (0, 299) if i < 300 else (300, len(values) - 1)
+            assert a == max((j + 1 for j in range(low, i) if values[j] <= values[i]), default=low)
+            assert b == min((j - 1 for j in range(i + 1, high + 1) if values[j] < values[i]), default=high)
+
+
 def test_encoder_remembers_no_more_than_asked(spark, prose, monkeypatch):
     """The pipeline's workers remember less than an encoder that is alone, and the ids do not depend on it."""
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b" c": 257}
