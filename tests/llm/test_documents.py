@@ -209,6 +209,79 @@ def test_passages_around_a_common_line(spark, prose, line_words):
     assert all(found[1000 + i].n_links == 0 for i in range(300))
 
 
+def test_near_copies_in_a_crowd(spark, prose):
+    """100 pairs of documents share two lines of 27 words, one word of which is another one in the copy; 15 earlier documents or more have
+    either line alone."""
+    lines, rng = [prose(27).split() for _ in range(20)], random.Random(6)
+    rows = [(i, f"{prose(40)} {' '.join(lines[i % 20])} {prose(40)}") for i in range(300)]
+    for i, (a, b) in enumerate(rng.sample([(a, b) for a in range(20) for b in range(a)], 100)):
+        passage = lines[a] + lines[b]
+        altered = [w if k != 8 + i % 38 else "altered" for k, w in enumerate(passage)]
+        rows += [(1000 + 2 * i + copy, f"{prose(50)} {' '.join(p)} {prose(50)}") for copy, p in enumerate((passage, altered))]
+    found = {r.doc_id: r for r in compact_windows.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = [i for i in range(100) if found[1001 + 2 * i].class_id == 1000 + 2 * i
+              and any(s["first"] <= 50 and s["last"] >= 103 for s in found[1001 + 2 * i].spans)]
+    assert len(caught) >= 99  # a pair agrees on too few hash functions with 0.2 %
+    assert all(found[i].n_links == 0 for i in range(300))
+
+
+def test_rarest_places_of_runs():
+    """Every run that lacks few enough places, be they the rarest or the most common ones, shares a chosen place with the other document."""
+    rng, lengths = np.random.default_rng(9), compact_windows._lengths(20, 80)
+    for _ in range(200):
+        there = np.flatnonzero(rng.random(120) < 0.97)
+        n, free = rng.integers(2, 5, len(there)), rng.random(len(there)) >= rng.choice([0, 0.3, 0.8])
+        chosen = compact_windows._rarest(rng.integers(0, 9, len(there)), there, n, np.zeros(len(there), np.int64), free, lengths)
+        assert not (chosen & ~free).any()
+        for length, misses in lengths:
+            for a in range(120 - length + 1):
+                inside = np.flatnonzero((there >= a) & (there < a + length))
+                lacked = length - len(inside)
+                # the other document may lack the chosen ones first
+                assert lacked > misses or chosen[inside].sum() > misses - lacked or chosen[inside].sum() == free[inside].sum()
+
+
+def test_passages_have_a_run_that_lacks_few():
+    """Of the places of any passage at the threshold some run of _lengths lacks no more than it may, wherever the missing ones are."""
+    rng = np.random.default_rng(10)
+    for span, percent in ((46, 80), (46, 70), (20, 90), (16, 50)):
+        lengths, miss = compact_windows._lengths(span, percent), 2 * percent / (100 - percent)
+        for size in range(span, 4 * span):
+            lost = int(size / (miss + 1) + 1e-9)
+            for at in {0, size // 2, size // 2 - lost // 2, span - lost // 2, *rng.integers(0, size, 6).tolist()}:
+                there = np.ones(size, dtype=bool)
+                there[max(0, min(at, size - lost)) :][:lost] = False
+                for passage in (there, rng.permutation(there)):
+                    gone = np.append(0, np.cumsum(~passage))
+                    assert any((gone[n:] - gone[:-n] <= m).any() for n, m in lengths if n <= size)
+
+
+def test_turns_of_documents(spark, monkeypatch):
+    """Shared places know how many documents come before theirs, also where a shingle's places come in pieces."""
+    monkeypatch.setattr(compact_windows, "PIECE", 16)
+    rng = random.Random(3)
+    rows = sorted({(rng.choice([1, 1, 1, rng.randrange(2, 60)]), rng.randrange(40), rng.randrange(3) << compact_windows._REGION | rng.randrange(90)) for _ in range(500)})
+    holders, want = {}, Counter()
+    for shingle, i, _ in rows:
+        holders.setdefault(shingle, set()).add(i)
+    regions = set()
+    for shingle, i, place in rows:
+        region = shingle, i, place >> compact_windows._REGION
+        if len(holders[shingle]) > 1:
+            want[shingle, i, place, len([j for j in holders[shingle] if j < i]), region not in regions] += 1
+        regions.add(region)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    try:
+        for size in ("7", before):
+            spark.conf.set(batch, size)
+            got = compact_windows._shared_places(spark.createDataFrame(rows, "shingle long, id long, place long")).collect()
+            assert Counter((r.shingle, r.id, r.place, r.turn, r.first) for r in got) == want
+            assert all(r.n == min(16, sum(s == r.shingle for s, _, _ in rows)) for r in got)
+    finally:
+        spark.conf.set(batch, before)
+
+
 def test_dense_stretches_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(300):
