@@ -692,3 +692,28 @@ def test_encoder_remembers_no_more_than_asked(spark, prose, monkeypatch):
     monkeypatch.setattr(bpe, "encode", lambda docs, ranks, pattern, **options: asked.update(options) or docs)
     corpus_pipeline.encoding(spark, spark.range(1), "")
     assert asked["remembered"] <= 100_000 < bpe.REMEMBERED
+
+
+def test_runs_of_a_crowd_against_brute_force(spark, prose):
+    """Every run of 50 words that several documents have, also in windows of all of them, is linked with the first document that has it."""
+    rng, pool = random.Random(11), [prose(rng_words).split() for rng_words in (50, 52, 60, 75, 90)]
+    texts = {}
+    for i in range(60):
+        parts = [prose(rng.randint(5, 40)).split()]
+        for passage in rng.sample(pool, rng.randint(0, 3)):
+            begin = rng.randint(0, len(passage) - 40)
+            parts += [passage[begin:] if rng.random() < 0.5 else passage, prose(rng.randint(1, 9)).split()]
+        texts[i] = [w for part in parts for w in part]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string")
+    crowded = compact_windows.windows(docs).select("id", "at")
+    links = {}
+    for r in compact_windows._exact(crowded, docs, 46).collect():
+        assert texts[r.id][r.first : r.last + 1] == texts[r.rep][r.rep_first : r.rep_last + 1]
+        links.setdefault((r.id, r.rep), []).append((r.first, r.last))
+    where = {}
+    for i, t in texts.items():
+        for at in range(len(t) - 49):
+            where.setdefault(tuple(t[at : at + 50]), []).append((i, at))
+    shared = [(i, at, places[0][0]) for places in where.values() for i, at in places if i != places[0][0]]
+    assert len(shared) > 500
+    assert all(any(a <= at and at + 49 <= b for a, b in links[i, rep]) for i, at, rep in shared)
